@@ -112,7 +112,7 @@ def rounded(seed: int, level: int):
 
 
 def mix(docs: DataFrame, factor: float = 1.5, most: float = 2.0, seed: int = 42, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """docs' (key, source) with size, source_size, target, copies (0 .. most) and taken = copies * size."""
+    """docs' (key, source) with size, source_size, target, copies (0 .. most), taken = copies * size and tie, a hash of the row."""
     common.prepare(docs.sparkSession)
     sized = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), n_words(text).alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("tie"))
     sized = common.written(sized, "sizes")
@@ -139,5 +139,13 @@ def mix(docs: DataFrame, factor: float = 1.5, most: float = 2.0, seed: int = 42,
         tree = tree_out.where("open").drop("last", "open").withColumn("node", F.floor(F.col("node") / FAN).cast("long"))
         nodes, level = (0 if nodes == 1 else -(-nodes // FAN)), level + 1
     copies = (F.col("whole") + F.round("p").cast("long")).alias("copies")
-    out = reduce(DataFrame.unionByName, done).select(F.col("id").alias(key), F.col("source").alias(source), "size", "source_size", "target", copies)
+    out = reduce(DataFrame.unionByName, done).select(F.col("id").alias(key), F.col("source").alias(source), "size", "source_size", "target", copies, "tie")
     return out.withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def expanded(docs: DataFrame, mixed: DataFrame, seed: int = 42, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with each row as often as the mix takes it."""
+    times = mixed.groupBy(F.col("tie").alias("__tie"), F.col(key).alias("__id")).agg(F.sum("copies").alias("__n")).where("__n > 0")
+    tied = docs.withColumn("__tie", F.xxhash64(F.lit(seed), F.col(key), F.col(text)))
+    joined = tied.join(times.withColumnRenamed("__tie", "__t"), (F.col("__tie") == F.col("__t")) & F.col(key).eqNullSafe(F.col("__id"))).dropDuplicates(["__tie", key])
+    return joined.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*docs.columns)
