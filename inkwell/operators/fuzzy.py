@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from inkwell.functions import text as T
 
@@ -38,7 +39,7 @@ def osa(a: str, b: str, cap: int) -> int:
     return min(one.get(len(b), over), over)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def osa_distance(pairs: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Edit distance of two columns under a cap: Spark's own has no transpositions."""
     for a, b, cap in pairs:
