@@ -64,9 +64,9 @@ def gram_text(x: Column) -> Column:
 
 
 def grams(x: Column, n: int = 3) -> Column:
-    """Character n-grams in order; none where the text is shorter."""
-    size = F.length(x)
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.substring(x, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """Character n-grams in order; none where the text is shorter. One pass of a look-ahead: `substring` would count from the start for each."""
+    found = F.regexp_extract_all(x, F.lit(f"(?s)(?![\\uDC00-\\uDFFF])(?=(.{{{n}}}))"), F.lit(1))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def one_no_accents(text: str) -> str:

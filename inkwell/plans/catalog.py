@@ -105,7 +105,7 @@ def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of queries in one job: for each benchmark item its first two words; the best document of each."""
     items = table(spark, sf_dir, "benchmark").select("item_id", T.tok_index(F.col("text")).alias("t")).where("size(t) > 1").select("item_id", F.slice("t", 1, 2).alias("t"))
     # A query set is small by nature; its size is checked when the plans are broadcast.
-    plans = {str(r.item_id): language.plan(f"{r.t[0]} OR {r.t[1]}") for r in items.limit(1000).collect()}
+    plans = {str(r.item_id): language.plan(f'"{r.t[0]}" OR "{r.t[1]}"') for r in items.limit(1000).collect()}
     found = lexical.pool(lexical.index_of(documents(spark, sf_dir)), plans, limit=1, size=1)
     return found.select(F.col("query").cast("long").alias("item_id"), "doc_id", r6("bm25").alias("bm25"))
 
@@ -160,8 +160,8 @@ def rank_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     RANK_SQL
-    + """, cut AS (SELECT doc_id, content, coalesce(least(nullif(strpos(replace(lower(content), 'ß', 'ss'), 'the'), 0), nullif(strpos(replace(lower(content), 'ß', 'ss'), 'of'), 0)), 1) AS at FROM page),
-    w AS (SELECT doc_id, content, greatest(at - 80, 1) AS s FROM cut)
+    + """, cut AS (SELECT doc_id, content, coalesce(least(nullif(strpos(replace(lower(content), 'ß', 'ss'), 'the'), 0), nullif(strpos(replace(lower(content), 'ß', 'ss'), 'of'), 0)), 1) AS place FROM page),
+    w AS (SELECT doc_id, content, greatest(place - 80, 1) AS s FROM cut)
     SELECT doc_id, CASE WHEN s > 1 THEN '…' ELSE '' END || trim(regexp_replace(substr(content, s, 160), '\\s+', ' ', 'g')) || CASE WHEN s + 160 <= length(content) THEN '…' ELSE '' END AS snippet FROM w"""
 )
 def rank_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,8 +247,8 @@ def top_terms_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {WORDS_SQL}, kept AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM words JOIN terms USING (doc_id, term)),
-steps AS (SELECT s.doc_id, s.i, a.i AS ai, a.term AS at, b.i AS bi, b.term AS bt FROM kept s JOIN kept a ON a.doc_id = s.doc_id AND a.i BETWEEN s.i - 3 AND s.i JOIN kept b ON b.doc_id = s.doc_id AND b.i BETWEEN s.i - 3 AND s.i AND a.i < b.i AND a.term <> b.term),
-counts AS (SELECT doc_id, least(at, bt) AS "left", greatest(at, bt) AS "right", count(*) AS n FROM steps GROUP BY 1, 2, 3)
+steps AS (SELECT s.doc_id, s.i, a.i AS ai, a.term AS a_term, b.i AS bi, b.term AS b_term FROM kept s JOIN kept a ON a.doc_id = s.doc_id AND a.i BETWEEN s.i - 3 AND s.i JOIN kept b ON b.doc_id = s.doc_id AND b.i BETWEEN s.i - 3 AND s.i AND a.i < b.i AND a.term <> b.term),
+counts AS (SELECT doc_id, least(a_term, b_term) AS "left", greatest(a_term, b_term) AS "right", count(*) AS n FROM steps GROUP BY 1, 2, 3)
 SELECT doc_id, "left", "right", n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, "left", "right") AS r FROM counts) WHERE r <= 16""")
 def cooccurrence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)

@@ -25,7 +25,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, doc_id, query, opened_at): events dealt over the documents."""
     n = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"))
-    return table(spark, sf_dir, "events").crossJoin(F.broadcast(n)).select("event_id", (F.col("event_id") % F.col("n")).alias("doc_id"), F.col("event_type").alias("query"), F.col("ts").alias("opened_at"))
+    return table(spark, sf_dir, "events").crossJoin(F.broadcast(n)).select("event_id", (F.col("event_id") % F.col("n")).alias("doc_id"), F.col("event_type").alias("query"), F.col("ts").cast("timestamp").alias("opened_at"))
 
 
 DOCS_SQL = """docs AS (
