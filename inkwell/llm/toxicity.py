@@ -71,6 +71,18 @@ class Model:
         return self.bias + sum(self.weights.get(f, 0.0) for f in found)
 
 
+def largest(at: np.ndarray, of: np.ndarray, by: np.ndarray, n: int, size: int, rounds: int = 40) -> float:
+    """Largest eigenvalue of A'A by power iteration; A has by[i] in row at[i] and column of[i]."""
+    v, value = np.ones(size), 0.0
+    for _ in range(rounds):
+        v = np.bincount(of, np.bincount(at, v[of] * by, n)[at] * by, size)
+        value = float(np.linalg.norm(v))
+        if not value:
+            return 0.0
+        v /= value
+    return value
+
+
 def fit(rows: list[tuple[int, list[int]]], swaps: list[tuple[list[int], list[int]]], size: int, penalty: float, ridge: float = 0.1, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Logistic weights by accelerated gradient steps on: mean log loss + ridge * |w|^2 / rows + penalty * mean squared score change over the swaps."""
     y = np.array([r[0] for r in rows], float)
@@ -81,15 +93,19 @@ def fit(rows: list[tuple[int, list[int]]], swaps: list[tuple[list[int], list[int
     s_by = np.array([x for a, b in swaps for x in (*[1.0] * len(a), *[-1.0] * len(b))])
     base = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     w, bias, v, vb = np.zeros(size), base, np.zeros(size), base
-    step = 1.0 / (0.25 * (1 + np.bincount(at, minlength=1).max(initial=1)) + 2 * penalty * np.bincount(s_at, minlength=1).max(initial=0))
+    n = len(y)
+    curve = 0.25 / n * largest(np.concatenate((at, np.arange(n))), np.concatenate((of, np.full(n, size))), np.ones(len(at) + n), n, size + 1) + ridge / n
+    if len(swaps):
+        curve += 2 * penalty / len(swaps) * largest(s_at, s_of, s_by, len(swaps), size)
+    step = 1.0 / (1.2 * curve)  # 1.2: power iteration comes from below
     for k in range(rounds):
         z = np.bincount(at, v[of], len(y)) + vb
-        g = (1 / (1 + np.exp(-z)) - y) / len(y)
-        grad = np.bincount(of, g[at], size) + ridge / len(y) * v
+        g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) / n
+        grad = np.bincount(of, g[at], size) + ridge / n * v
         if len(swaps):
             change = np.bincount(s_at, v[s_of] * s_by, len(swaps))
             grad += 2 * penalty / len(swaps) * np.bincount(s_of, change[s_at] * s_by, size)
-        new_w, new_b = v - step * len(y) ** 0.5 * grad, vb - step * len(y) ** 0.5 * g.sum()
+        new_w, new_b = v - step * grad, vb - step * g.sum()
         v, vb = new_w + k / (k + 3) * (new_w - w), new_b + k / (k + 3) * (new_b - bias)
         w, bias = new_w, new_b
     return w, bias
