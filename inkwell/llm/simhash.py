@@ -12,7 +12,7 @@ to all that an anchor holds: no link is missed, whatever the data. A linear code
 one table lookup. With 4 bits a fingerprint has 21 copies on average, and a pair of unlike ones meets with a chance of 1 in 300.
 
 Equal fingerprints are one class before anything is compared. An anchor with very many of them is dealt as a grid of
-blocks. Each block gives the edges of a spanning forest, not its pairs; components then come from rounds of large and
+blocks. Each group of blocks gives the edges of a spanning forest, not its pairs; components then come from rounds of large and
 small stars, each written to the shared folder.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower case. Null and empty texts have fingerprint 0, linked like any other. Repeated rows, null ids
@@ -147,15 +147,28 @@ def forest(points: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.nda
         i, j = np.nonzero(np.bitwise_count(fp[mine, None] ^ fp[None, :]) <= threshold)
         i = mine[i]
         near = np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(other[i] ^ other[j]) <= threshold
-        i, j = place[i[near]], place[j[near]]
-        while len(i):
-            low = np.minimum(label[i], label[j])
-            np.minimum.at(label, label[i], low)
-            np.minimum.at(label, label[j], low)
-            while (label[label] != label).any():
-                label = label[label]
-            open_ = label[i] != label[j]
-            i, j = i[open_], j[open_]
+        label = merged(label, place[i[near]], place[j[near]])
+    linked = label != np.arange(len(nodes))
+    return nodes[linked], nodes[label[linked]]
+
+
+def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels, each the smallest place of its group, after the groups of i and j are joined pair by pair."""
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, label[i], low)
+        np.minimum.at(label, label[j], low)
+        while (label[label] != label).any():
+            label = label[label]
+        open_ = label[i] != label[j]
+        i, j = i[open_], j[open_]
+    return label
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges that connect what the edges (a, b) connect."""
+    nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    label = merged(np.arange(len(nodes)), place[: len(a)], place[len(a) :])
     linked = label != np.arange(len(nodes))
     return nodes[linked], nodes[label[linked]]
 
@@ -182,11 +195,11 @@ def links(points: DataFrame, threshold: int, near: int) -> DataFrame:
         rows, home = pdf[["node", "fp", "other"]].to_numpy(np.int64), pdf["home"].to_numpy()
         cuts = np.flatnonzero(np.diff(pdf["anchor"].to_numpy()) | np.diff(pdf["cell"].to_numpy())) + 1
         found = [forest(np.ascontiguousarray(r), h, threshold) for r, h in zip(np.split(rows, cuts), np.split(home, cuts), strict=True) if len(r) > 1 and h.any()]
-        a, b = (np.concatenate([x[i] for x in found]) if found else np.empty(0, np.int64) for i in (0, 1))
+        a, b = spanning(*(np.concatenate([x[i] for x in found]) if found else np.empty(0, np.int64) for i in (0, 1)))
         return pd.DataFrame({"a": a, "b": b})
 
     n = points.count()
-    groups = max(common.partitions(spark), -(-21 * n // GROUP_ROWS))
+    groups = max(1, -(-21 * n // GROUP_ROWS))  # by rows alone: a node has one edge for each group, however many anchors it is at
     full = spread.groupBy("anchor").count().where(F.col("count") > BLOCK) if n > BLOCK else None
     if full is not None and not full.isEmpty():
         # A grid of blocks: members in strips, homes in strips, each strip of one with each of the other.
