@@ -7,7 +7,7 @@ partition each text meets the next as the sorted rows stream by, and only the la
 so that each text crosses the network once.
 
 Null texts count as empty. An empty text has no hashes; one shorter than k has the hash of the whole text. Two empty fingerprints
-are alike (1.0). Rows are in order of (id, text), null ids first; repeated rows follow one another; the last row's next is the first. Columns other than id and text are ignored. An empty table gives no rows.
+are alike (1.0). Rows are in order of id and then of a hash of the text, null ids first; repeated rows follow one another; the last row's next is the first. Columns other than id and text are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -116,7 +116,10 @@ def edited_and_next(docs: DataFrame, k: int = K, w: int = W, key: str = "doc_id"
     common.prepare(spark)
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind_of_id = rows.schema["id"].dataType.simpleString()
-    ordered = rows.repartitionByRange(common.partitions(spark), F.col("id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    # Range partitioning samples its keys to the driver: a hash of the text, not the text, breaks ties of the id.
+    keyed = rows.withColumn("tie", F.xxhash64("text"))
+    order = (F.col("id").asc_nulls_first(), F.col("tie"))
+    ordered = keyed.repartitionByRange(common.partitions(spark), *order).sortWithinPartitions(*order, "text").drop("tie")
     results = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_hashes long"
     types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
     nothing = (None,) * len(types)
