@@ -22,7 +22,7 @@ and ties are kept: a component's id is its smallest id that is not null, or null
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import combinations
 
@@ -44,6 +44,10 @@ GOLAY = 0b110001110101
 BLOCK = 16384
 #: Rows of a group of anchors that one task compares.
 GROUP_ROWS = 400_000
+#: Texts from which common shingles are learned, and how many of these are known.
+SAMPLED, MOST_USUAL = 8_000, 100_000
+#: Bins of a set's hashes, and what a bin can hold; larger sets pass unbounded.
+BINS, MOST_BIN = 256, 65535
 
 
 def majority(hashes: np.ndarray) -> np.ndarray:
@@ -51,31 +55,37 @@ def majority(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
 
 
-def sketch(text: str | None, width: int, tables: int = 1) -> list[int]:
-    """Unsigned fingerprints of a text: over its shingles' hashes, then over those hashes mixed anew."""
+def hashed(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles in order, some at a time: bounds what a very long text needs."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return [0] * tables
+        return
     joined = b" ".join(words)
     n = max(1, len(words) - width + 1)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     first, last = starts[:n].tolist(), (ends[width - 1 :] if len(words) >= width else ends[-1:]).tolist()
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros((tables, 64), np.int64)
-    for at in range(0, n, 1 << 16):  # bounds what a very long text needs
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(first[at : at + (1 << 16)], last[at : at + (1 << 16)], strict=True)], dtype=np.uint64)
-        for t in range(tables):
-            ones[t] += majority(h)
-            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            h ^= h >> np.uint64(31)
-    return [int("".join("1" if c else "0" for c in row * 2 > n), 2) for row in ones]
+    for at in range(0, n, 1 << 16):
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(first[at : at + (1 << 16)], last[at : at + (1 << 16)], strict=True)], dtype=np.uint64)
+
+
+def majority_of(parts: Iterable[np.ndarray]) -> int:
+    """The unsigned fingerprint over hashes; 0 where there are none."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in parts:
+        ones, n = ones + majority(h), n + len(h)
+    return int("".join("1" if c else "0" for c in ones * 2 > n), 2)
 
 
 def fingerprint(text: str | None, width: int) -> int:
     """The unsigned fingerprint of a text."""
-    return sketch(text, width)[0]
+    return majority_of(hashed(text, width))
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *hashed(text, width)]))
 
 
 def fingerprints(docs: DataFrame, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -250,27 +260,141 @@ def bits_at(similarity: float, bits: int, slack: float) -> int:
     return int(bits * rate + slack * math.sqrt(bits * rate * (1 - rate)))
 
 
-def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 6, slack: float = 1.5, key: str = "doc_id", text: str = "text") -> DataFrame:
+def prefix(own: np.ndarray, similarity: float, common_: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first hashes of a set in an order of all hashes, so many that sets of the similarity share one of them: rare before common ones.
+
+    common_: the hashes known as common, in order; rank: how common each is.
+    """
+    most = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1
+    if not len(own) or not len(common_):
+        return own[:most]
+    at = np.minimum(np.searchsorted(common_, own), len(common_) - 1)
+    return own[np.argsort(np.where(common_[at] == own, rank[at], 0), kind="stable")[:most]]
+
+
+def usual(docs: DataFrame, width: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that several of some sampled texts have, in order, and how many. They order the prefixes and so save work; any order gives the same links."""
+    n = docs.count()
+    drawn = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLED / max(1, n))))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, width).view(np.int64))], names=["token"])
+
+    counts = drawn.distinct().mapInArrow(each, "token long").groupBy("token").count().where("count >= 4")
+    rows = counts.orderBy(F.desc("count"), "token").limit(MOST_USUAL).collect()
+    tokens, times = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], times[order]
+
+
+def bins(own: np.ndarray) -> bytes:
+    """How many of a set's hashes fall in each of BINS bins: two sets share at most the sum of the lesser counts."""
+    return np.minimum(np.bincount((own & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), MOST_BIN).astype("<u2").tobytes()
+
+
+def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(token, node, n, centre) for tokens of two nodes and more: centre is one of the token's nodes, of four at most for tokens with the same nodes."""
+    pdf = pdf.drop_duplicates(["token", "node"])
+    pdf = pdf[pdf["token"].duplicated(keep=False)]
+    token, node = pdf["token"].to_numpy(np.int64), pdf["node"].to_numpy(np.int64)
+    salt = (token.view(np.uint64) & np.uint64(3)) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.lexsort(((node.view(np.uint64) ^ salt) * np.uint64(0xBF58476D1CE4E5B9), token))
+    pdf = pdf.iloc[order]
+    return pdf[["token", "node", "n"]].assign(centre=pdf.groupby("token", sort=False)["node"].transform("first"))
+
+
+def apart(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Pairs (a, b), a < b, of nodes that share a token, lie in different groups and have sizes that allow the similarity."""
+    pdf = pdf.sort_values("token")
+    token, node, n, root = (pdf[c].to_numpy(np.int64) for c in ("token", "node", "n", "root"))
+    # Tokens of one group only have no pairs.
+    starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+    mixed = np.repeat(np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts), np.diff([*starts, len(token)]))
+    token, node, n, root = token[mixed], node[mixed], n[mixed], root[mixed]
+    found, held, i, step = [np.empty((0, 2), np.int64)], 0, np.arange(len(token)), 1
+    while len(i := i[: np.searchsorted(i, len(token) - step)]) and len(i := i[token[i] == token[i + step]]):
+        j = i + step
+        ok = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+        found.append(np.stack((np.minimum(node[i[ok]], node[j[ok]]), np.maximum(node[i[ok]], node[j[ok]])), axis=1))
+        held += ok.sum()
+        if held > 1 << 21:
+            found = [np.unique(np.concatenate(found), axis=0)]
+            held = 0
+        step += 1
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, slack: float = 1.5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of like texts: that with the smallest id (null last).
 
-    A fingerprint of 64 bits tells texts of similarity 0.8 poorly: they differ in about 10 bits. So each text gets
-    `tables` fingerprints; anchors of any may bring two texts together, and they link if that fingerprint and the next
-    differ, over 128 bits, by no more than the similarity asks for. Six tables bring 92 % of pairs of similarity 0.8 together and nearly all above 0.85.
+    Texts are alike if their sets of shingles have the Jaccard similarity or more; groups are the connected components of these links. Each
+    link is verified on the whole sets, and none is missed: two such sets share a shingle in the prefixes of both, in whatever order of all shingles.
+
+    Trials come first: pairs that the anchors of the fingerprints bring together, and each shared prefix shingle's nodes with one of them. What they link
+    is a group already, so that of the nodes at a shingle only pairs of different groups are left to be compared, however many copies there are.
     """
-    common.prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    common.prepare(spark)
     ids = (F.xxhash64(F.lit(1), F.col(key), F.col(text)), F.xxhash64(F.lit(2), F.col(text), F.col(key)))
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), ids[0].alias("r1"), ids[1].alias("r2"))
+    tokens, times = usual(docs, width, text)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([sketch(t, width, tables) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64).reshape(-1, tables)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(list(fps), pa.list_(pa.int64()))], names=["id", "r1", "r2", "fps"])
-
-    found = common.written(rows.mapInArrow(each, f"id {rows.schema['id'].dataType.simpleString()}, r1 long, r2 long, fps array<long>").withColumn("node", F.xxhash64("fps")), "sketches")
-    classes = found.groupBy("node").agg(F.first("fps").alias("fps"))
-    by_table = classes.select("node", F.posexplode("fps").alias("table", "fp"), "fps")
-    points = common.written(by_table.select("node", "table", "fp", F.element_at("fps", (F.col("table") + 1) % tables + 1).alias("other")), "points")
-    roots = components(links(points, bits_at(similarity, 128, slack), 1))
+            sets = [shingle_set(t, width) for t in b.column(1).to_pylist()]
+            node, fp = (np.array(x, dtype=np.uint64).view(np.int64) for x in ([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], [majority_of([s]) for s in sets]))
+            first = pa.array([prefix(s, similarity, tokens, times).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(node), pa.array(fp), pa.array([len(s) for s in sets], pa.int64()), first, pa.array([bins(s) for s in sets], pa.binary())], names=["id", "r1", "r2", "node", "fp", "n", "prefix", "bins"])
+
+    found = common.written(rows.mapInArrow(each, f"id {rows.schema['id'].dataType.simpleString()}, r1 long, r2 long, node long, fp long, n long, prefix array<long>, bins binary"), "sketches")
+    # A node is a set of shingles; rows with the same set are one node.
+    nodes = common.written(found.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.min(F.struct("r1", "r2")).alias("lead")), "nodes")
+    points = nodes.select("node", F.lit(0).alias("table"), "fp", F.lit(0).cast("long").alias("other"))
+    groups = max(1, -(-found.agg(F.sum(F.size("prefix"))).first()[0] // GROUP_ROWS)) if not points.isEmpty() else 1
+    bucket = F.pmod(F.xxhash64("token"), F.lit(groups)).alias("g")
+    shared = common.written(found.select("node", "n", F.explode("prefix").alias("token")).groupBy(bucket).applyInPandas(lambda pdf: meet(pdf), "token long, node long, n long, centre long"), "shared")
+
+    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    stars = shared.where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    trials = common.written(links(points, bits_at(similarity, 64, slack), 1).unionByName(stars).select(*pair).distinct(), "trials")
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
+            ca, cb = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u2").reshape(-1, BINS) for k in (4, 5))
+            same = np.minimum(np.minimum(ca, cb).sum(axis=1, dtype=np.int64), np.minimum(na, nb))
+            ok = (same >= similarity * (na + nb - same) - 1e-9) | (np.minimum(na, nb) > MOST_BIN)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, width).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    def verified(pairs: DataFrame, what: str) -> DataFrame:
+        """The pairs whose sets are alike: those that the bins allow, then by the sets themselves."""
+        of = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bins").alias(f"c{c}"))
+        bound = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "ca", "cb")
+        left = common.written(bound.mapInArrow(possible, "a long, b long"), f"{what}-possible")
+        asked = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
+        leads = nodes.join(asked, "node").select("node", "lead.r1", "lead.r2")
+        # Repeated rows have the same r1 and r2.
+        texts = rows.select("r1", "r2", "text").join(leads, ["r1", "r2"]).select("node", "text").dropDuplicates(["node"])
+        sets = common.written(texts.mapInArrow(whole, "node long, shingles array<long>"), f"{what}-sets")
+        both = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+        same = F.size(F.array_intersect("sa", "sb"))
+        return common.written(both.where(same / (F.size("sa") + F.size("sb") - same) >= similarity).select("a", "b"), what)
+
+    linked = verified(trials, "links")
+    roots = components(linked)
+    rooted = shared.join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
+    left = rooted.groupBy(bucket).applyInPandas(lambda pdf: apart(pdf, similarity), "a long, b long").distinct().join(trials, ["a", "b"], "left_anti")
+    more = verified(left, "more-links")
+    if not more.isEmpty():
+        roots = components(linked.unionByName(more))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "r1", "r2")).alias("first")
     kept = found.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(first).select("first.r1", "first.r2")
     marked = docs.withColumns({"__r1": ids[0], "__r2": ids[1]})

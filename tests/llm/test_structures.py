@@ -258,6 +258,29 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_is_exact(spark):
+    """Pairs on both sides of 0.8, a chain, a repeated line that two texts share, and a large group around one text."""
+    rng = np.random.default_rng(9)
+    text = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    rows = []
+    for k in range(60):  # the last words replaced: 300 shingles each, 300 - m of them shared
+        base, m = text(304), (33, 34)[k % 2]  # 267 of 333 shared: 0.802; 266 of 334: 0.796
+        rows += [base, base[: len(base) - m] + text(m)]
+    line = text(6)
+    rows += [text(200) + line * 300, text(200) + line * 300]
+    base = text(304)
+    rows += [base[: 304 - k] + text(k) for k in (0, *rng.integers(5, 30, 150))]
+    sets = [shingles(" ".join(r)) for r in rows]
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) / len(a | sets[j]) >= 0.8 and root[i] != root[j]:
+                root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == set(root)
+    assert len(set(root)) == 30 + 60 + 2 + 1
+
+
 # --- chat ---
 
 
@@ -304,3 +327,14 @@ def test_pipeline(spark):
     for n, i in enumerate(ids):
         assert all(alike(sets[i], sets[j]) < 0.9 or not sets[i] for j in ids[n + 1 :])
     assert set(mixed) <= set(one) and set(encoded) == set(mixed)
+
+
+def test_pipeline_keeps_the_similarity(spark):
+    """What is lost has a like one of 0.8 or more among the stage's input, and no two that stay are so alike."""
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    one = {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()}
+    alike = lambda a, b: len(a & b) / len(a | b) if a or b else 1.0
+    assert all(max(alike(sets[i], sets[j]) for j in sets if j != i) >= 0.8 for i in sets if i not in one)
+    ids = sorted(one)
+    assert all(alike(sets[i], sets[j]) < 0.8 for n, i in enumerate(ids) for j in ids[n + 1 :])
