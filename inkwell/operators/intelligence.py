@@ -20,8 +20,8 @@ PROFILES = {
 }
 #: Least tokens and lead for a language, most evidence of a word.
 LEAST_TOKENS, LEAST_LEAD, MOST_EVIDENCE = 12, 2, 3
-#: Sampled characters and share at the start, terms, pairs, window, letters of a term, headings and their length.
-SAMPLE, HEAD, MOST_TERMS, MOST_PAIRS, WINDOW, TERM_LETTERS, MOST_HEADINGS, HEADING_CHARS = 200_000, 0.75, 24, 16, 4, 3, 32, 120
+#: Share of a sample at the start, terms, pairs, window, letters of a term, headings and their length.
+HEAD, MOST_TERMS, MOST_PAIRS, WINDOW, TERM_LETTERS, MOST_HEADINGS, HEADING_CHARS = 0.75, 24, 16, 4, 3, 32, 120
 #: Heading patterns.
 MARKDOWN = "^#{1,6}\\s+(.+?)\\s*#*\\s*$"
 NUMBERED = "^\\d+(?:\\.\\d+)*[.)]?\\s+(\\S.*)$"
@@ -33,11 +33,13 @@ def stopwords() -> list[str]:
     return sorted({w for words in PROFILES.values() for w in words.split()})
 
 
-def sample(content: Column) -> Column:
-    """The text, or start and end of a very long one."""
+def sample(content: Column, most: int | None = None) -> Column:
+    """The whole text; with a bound, start and end of a longer one."""
     body = F.replace(T.text_of(content), F.lit("\0"), F.lit(" "))
-    head = int(SAMPLE * HEAD)
-    return F.when(F.length(body) <= SAMPLE, body).otherwise(F.concat(F.substring(body, 1, head), F.lit("\n"), F.substring(body, -(SAMPLE - head), SAMPLE - head)))
+    if most is None:
+        return body
+    head = int(most * HEAD)
+    return F.when(F.length(body) <= most, body).otherwise(F.concat(F.substring(body, 1, head), F.lit("\n"), F.substring(body, -(most - head), most - head)))
 
 
 def language(tokens: Column) -> Column:
@@ -132,11 +134,11 @@ def pairs(docs: DataFrame, terms: DataFrame, most: int = MOST_PAIRS) -> DataFram
 
 
 def analysis(docs: DataFrame) -> DataFrame:
-    """(doc_id, language, title, headings, sections, terms, pairs, analyzed_chars, truncated)."""
+    """(doc_id, language, title, headings, sections, terms, pairs, analyzed_chars, truncated); whole texts are analysed, so none is truncated."""
     terms = top_terms(docs)
     by_doc = terms.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "term", "n"))), lambda x: F.struct(x["term"].alias("term"), x["n"].alias("n"))).alias("terms"))
     paired = pairs(docs, terms).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "left", "right"))), lambda x: F.struct(x["left"].alias("left"), x["right"].alias("right"))).alias("pairs"))
-    size = docs.select("doc_id", F.length(sample(F.col("content"))).alias("analyzed_chars"), (F.length(T.text_of(F.col("content"))) > SAMPLE).alias("truncated"))
+    size = docs.select("doc_id", F.length(sample(F.col("content"))).alias("analyzed_chars"), F.lit(False).alias("truncated"))
     return structure(docs).join(language_by_rows(docs), "doc_id").join(by_doc, "doc_id", "left").join(paired, "doc_id", "left").join(size, "doc_id")
 
 

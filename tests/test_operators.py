@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
-from inkwell.operators import fuzzy, lexical
+from inkwell.operators import fuzzy, graph, intelligence, lexical
 from inkwell.operators.search import Engine
 from inkwell.plans import language
 from inkwell.sources import files
@@ -95,3 +95,14 @@ def test_extraction(spark, tmp_path):
     assert "Hi" in got["m.eml"][0] and "Body text" in got["m.eml"][0]
     assert got["t.html"][0].split() == ["One", "Two", "&", "three"]
     assert got["j.json"] == ('{"a": "b"}', "ok") and got["broken.docx"] == (None, "failed")
+
+
+def test_middle_of_long_text(spark):
+    """A heading, frequent words, their pairs and the language in the middle of a text of more than 200,000 characters count."""
+    text = "x\n" * 80_000 + "# Middle Part\n" + "zebra quagga the of and to in is it for that with was on\n" * 50 + "x\n" * 40_000
+    long = spark.createDataFrame([(1, "s", "a.txt", "/d/a.txt", text)], "doc_id long, source string, name string, path string, content string")
+    got = intelligence.analysis(long).first()
+    assert len(text) > 200_000 and (got.title, got.headings, got.language, got.sections) == ("Middle Part", ["Middle Part"], "en", 1)
+    assert {(t.term, t.n) for t in got.terms} >= {("zebra", 50), ("quagga", 50)} and ("quagga", "zebra") in {(p.left, p.right) for p in got.pairs}
+    assert (got.analyzed_chars, got.truncated) == (len(text), False)
+    assert graph.nodes(long).first().lexical["zebra"] >= 50
