@@ -11,8 +11,8 @@ from pyspark.sql.types import IntegerType
 
 from inkwell.functions import text as T
 
-#: Words and trigrams of a document's fingerprint, least trigrams, least word, shared share, candidates, text that is verified.
-MOST_WORDS, MOST_GRAMS, LEAST_GRAMS, LEAST_WORD, LEAST_SHARE, MOST_CANDIDATES, VERIFIED_CHARS = 32, 64, 8, 3, 0.2, 50, 4000
+#: Words and trigrams of a document's fingerprint, least trigrams, least word, shared share, candidates of a page.
+MOST_WORDS, MOST_GRAMS, LEAST_GRAMS, LEAST_WORD, LEAST_SHARE, MOST_CANDIDATES = 32, 64, 8, 3, 0.2, 50
 MOST_CORRECTIONS, MOST_SUGGESTIONS = 12, 3
 
 
@@ -60,7 +60,7 @@ def within_edits(token: Column, word: Column) -> Column:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, gram): trigrams of each document's rarest words, taken from all of them position by position."""
-    folded = T.tok_fold(F.concat_ws(" ", F.col("name"), F.substring(T.text_of(F.col("content")), 1, 200_000)))
+    folded = T.tok_fold(F.concat_ws(" ", F.col("name"), T.text_of(F.col("content"))))
     words = docs.select("doc_id", F.explode(F.array_distinct(folded)).alias("word")).where(F.length("word") >= LEAST_WORD)
     df = words.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("word")))
     rarest = df.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "word"))).where(F.col("r") <= MOST_WORDS)
@@ -77,20 +77,21 @@ def query_tokens(query: str) -> list[str]:
     return tokens if sensible else []
 
 
-def candidates(prints: DataFrame, tokens: list[str], limit: int = MOST_CANDIDATES) -> DataFrame:
-    """(doc_id, score): best share, over the tokens, of a token's trigrams that a document's fingerprint has."""
+def candidates(prints: DataFrame, tokens: list[str], limit: int | None = MOST_CANDIDATES) -> DataFrame:
+    """(doc_id, score): best share, over the tokens, of a token's trigrams that a document's fingerprint has; a page of the best, or all without a limit."""
     spark = prints.sparkSession
     rows = [(t, g, len(gs)) for t in tokens for gs in [set(T.one_grams(t))] for g in sorted(gs)]
     asked = spark.createDataFrame(rows, "token string, gram string, n int")
     shared = prints.join(F.broadcast(asked), "gram").groupBy("doc_id", "token", "n").agg(F.count(F.lit(1)).alias("hits"))
     share = shared.withColumn("share", F.col("hits") / F.col("n")).where(F.col("share") >= LEAST_SHARE)
-    return share.groupBy("doc_id").agg(F.max("share").alias("score")).orderBy(F.desc("score"), "doc_id").limit(limit)
+    rated = share.groupBy("doc_id").agg(F.max("share").alias("score"))
+    return rated if limit is None else rated.orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
 def verified(docs: DataFrame, tokens: list[str]) -> DataFrame:
     """docs in which every token resolves, with evidence: an array of (token, rule, distance)."""
     asked = F.explode(F.array(*(F.lit(t) for t in tokens))).alias("token")
-    folded = docs.select("doc_id", T.fold(T.text_of(F.col("name"))).alias("n"), F.substring(T.fold(T.text_of(F.col("content"))), 1, VERIFIED_CHARS).alias("t"))
+    folded = docs.select("doc_id", T.fold(T.text_of(F.col("name"))).alias("n"), T.fold(T.text_of(F.col("content"))).alias("t"))
     rows = folded.select("*", asked)
     rule = F.when(F.contains("n", "token"), "exact-name").when(F.contains("t", "token"), "exact-text")
     plain = rows.withColumn("rule", rule)
@@ -99,7 +100,7 @@ def verified(docs: DataFrame, tokens: list[str]) -> DataFrame:
     edits = near.where(F.col("d") <= T.edit_budget(F.col("token"))).groupBy("doc_id", "token").agg(F.min("d").alias("distance")).withColumn("rule", F.lit("edit"))
     resolved = plain.where("rule is not null").select("doc_id", "token", F.lit(0).alias("distance"), "rule").unionByName(edits)
     whole = resolved.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("token", "rule", "distance"))).alias("evidence")).where(F.size("evidence") == len(tokens))
-    return docs.join(F.broadcast(whole), "doc_id")
+    return docs.join(whole, "doc_id")
 
 
 def search(docs: DataFrame, prints: DataFrame, query: str, limit: int = 20) -> DataFrame:
@@ -107,8 +108,8 @@ def search(docs: DataFrame, prints: DataFrame, query: str, limit: int = 20) -> D
     tokens = query_tokens(query)
     if not tokens:
         return docs.limit(0).withColumns({"score": F.lit(0.0), "evidence": F.array().cast("array<struct<token:string,rule:string,distance:int>>")})
-    # At most MOST_CANDIDATES rows.
-    found = docs.join(F.broadcast(candidates(prints, tokens)), "doc_id")
+    # Every candidate is verified; only the page is limited.
+    found = docs.join(candidates(prints, tokens, None), "doc_id")
     return verified(found, tokens).orderBy(F.desc("score"), F.lower("name"), "path").limit(limit)
 
 

@@ -106,3 +106,16 @@ def test_middle_of_long_text(spark):
     assert {(t.term, t.n) for t in got.terms} >= {("zebra", 50), ("quagga", 50)} and ("quagga", "zebra") in {(p.left, p.right) for p in got.pairs}
     assert (got.analyzed_chars, got.truncated) == (len(text), False)
     assert graph.nodes(long).first().lexical["zebra"] >= 50
+
+
+def test_fuzzy_reads_all(spark):
+    """A near word behind 4,000 and behind 200,000 characters, and a true match behind more than 50 candidates with better shares."""
+    filler = "zz yy xx " * 500
+    rows = [(i, "n", f"/{i}", "alphabetx") for i in range(60)]  # shares more of the asked word, but is no match for the other word
+    rows += [(100, "n", "/100", filler + "alphabet rivers"), (101, "n", "/101", filler * 50 + "alphabet rivres")]
+    docs = spark.createDataFrame(rows, "doc_id long, name string, path string, content string")
+    got = {r.doc_id: [(e.rule, e.distance) for e in r.evidence] for r in fuzzy.verified(docs, ["alphabet", "rivers"]).collect()}
+    assert got == {100: [("exact-text", 0), ("exact-text", 0)], 101: [("exact-text", 0), ("edit", 1)]}
+    prints = docs.select("doc_id", F.explode(F.array(*(F.lit(g) for g in T.one_grams("alphabet")))).alias("gram"))
+    assert {r.doc_id for r in fuzzy.search(docs, prints, "alphabet rivers").collect()} == {100, 101}
+    assert {r.gram for r in fuzzy.fingerprints(docs.where("doc_id = 101")).collect()} >= {"alp", "vre"}
