@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a file that is read, of a member of an archive when unpacked, and characters of its text.
-MOST_BYTES, MOST_MEMBER, MOST_CHARS = 64 << 20, 32 << 20, 5_000_000
+#: Bytes of a file that is read, and of a member of an archive when unpacked; beyond them a file has a status and no text.
+MOST_BYTES, MOST_MEMBER = 64 << 20, 32 << 20
 PLAIN = ("txt", "md", "markdown", "csv", "tsv", "log", "json", "jsonl", "xml", "yaml", "yml", "toml", "ini", "py", "sql", "rst")
 
 
@@ -96,7 +96,7 @@ def text_of(extension: str, data: bytes | None, readers: dict[str, Callable[[byt
         text = reader(data)
     except Exception:  # a file of any content is data, not a reason to stop the scan
         return None, "failed"
-    return (text[:MOST_CHARS], "ok") if text else (None, "empty")
+    return (text, "ok") if text else (None, "empty")
 
 
 def extracted(raw: DataFrame, readers: dict[str, Callable[[bytes], str | None]] | None = None) -> DataFrame:

@@ -119,3 +119,11 @@ def test_fuzzy_reads_all(spark):
     prints = docs.select("doc_id", F.explode(F.array(*(F.lit(g) for g in T.one_grams("alphabet")))).alias("gram"))
     assert {r.doc_id for r in fuzzy.search(docs, prints, "alphabet rivers").collect()} == {100, 101}
     assert {r.gram for r in fuzzy.fingerprints(docs.where("doc_id = 101")).collect()} >= {"alp", "vre"}
+
+
+def test_long_text_is_whole(spark, tmp_path):
+    """A text of more than five million characters is kept whole, and a change at its end changes the hash."""
+    for name in "ab":
+        (tmp_path / f"{name}.txt").write_text("x" * 5_000_001 + name)
+    got = {r.name: r for r in files.scan(spark, str(tmp_path)).select("name", "status", "content_hash", F.length("content").alias("n")).collect()}
+    assert {(r.n, r.status) for r in got.values()} == {(5_000_002, "ok")} and got["a.txt"].content_hash != got["b.txt"].content_hash
