@@ -64,7 +64,7 @@ def phrase_table(spark: SparkSession, plans: dict[str, Plan]) -> DataFrame:
 
 def occurrences(index: Index, phrases: DataFrame) -> DataFrame:
     """(query, phrase, doc_id, f): how often a document has each phrase, its tokens adjacent and in order within one column."""
-    met = index.postings.join(F.broadcast(phrases), "token").where((F.col("only") == "") | (F.col("only") == F.col("col")))
+    met = index.postings.join(phrases, "token").where((F.col("only") == "") | (F.col("only") == F.col("col")))
     whole = met.where("n = 1").groupBy("query", "phrase", "doc_id").agg(F.count(F.lit(1)).alias("f"))
     starts = met.where("n > 1").groupBy("query", "phrase", "doc_id", "col", (F.col("pos") - F.col("k")).alias("start"), "n").agg(F.count(F.lit(1)).alias("hits")).where("hits = n")
     return whole.unionByName(starts.groupBy("query", "phrase", "doc_id").agg(F.count(F.lit(1)).alias("f")))
@@ -76,7 +76,7 @@ def matches(index: Index, plans: dict[str, Plan], docs: DataFrame | None = None)
     docs: those that may be returned; document frequencies and lengths still count the whole index.
     """
     spark = index.docs.sparkSession
-    found = occurrences(index, phrase_table(spark, plans))
+    found = occurrences(index, F.broadcast(phrase_table(spark, plans)))
     stats = index.lengths.agg(F.count(F.lit(1)).alias("N"), F.avg("n_tokens").alias("avg"))
     frequency = found.groupBy("query", "phrase").agg(F.count(F.lit(1)).alias("n_p"))
     scoring = [(q, i) for q, plan in plans.items() for i in plan.scoring()]
@@ -111,6 +111,26 @@ def pool(index: Index, plans: dict[str, Plan], limit: int = 20, size: int | None
     return index.docs.join(F.broadcast(cut), "doc_id")
 
 
+def best_of_any(index: Index, queries: DataFrame) -> DataFrame:
+    """(query, doc_id, bm25): the best document, by rank, then path, of each query of (query, tokens), any of whose tokens may match.
+
+    Queries of any number: they stay a table, and meet the postings by token.
+    """
+    phrases = queries.select("query", F.explode(F.array_distinct("tokens")).alias("token"))
+    found = index.postings.join(phrases.select("token").distinct(), "token", "left_semi").groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("f"))
+    stats = index.lengths.agg(F.count(F.lit(1)).alias("N"), F.avg("n_tokens").alias("avg"))
+    idf = F.log((F.col("N") - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5))
+    # One row of statistics.
+    weights = found.groupBy("token").agg(F.count(F.lit(1)).alias("n_p")).crossJoin(F.broadcast(stats)).select("token", "avg", F.when(idf > 0, idf).otherwise(LEAST_IDF).alias("idf"))
+    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg")))
+    parts = found.join(index.lengths, "doc_id").join(weights, "token").select("token", "doc_id", part.alias("part"))
+    # Queries of the same tokens are one.
+    asked = phrases.groupBy("query").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
+    rated = asked.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token")).join(parts, "token").groupBy("tokens", "doc_id").agg((-F.sum("part")).alias("bm25"))
+    best = rated.join(index.docs.select("doc_id", "path"), "doc_id").groupBy("tokens").agg(F.min(F.struct("bm25", "path", "doc_id")).alias("best"))
+    return asked.join(best, "tokens").select("query", "best.doc_id", "best.bm25")
+
+
 def vocabulary(index: Index, limit: int = 50_000) -> DataFrame:
     """(token, occurrences), most frequent first."""
     return index.postings.groupBy("token").agg(F.count(F.lit(1)).alias("occurrences")).orderBy(F.desc("occurrences"), "token").limit(limit)

@@ -121,6 +121,25 @@ def test_fuzzy_reads_all(spark):
     assert {r.gram for r in fuzzy.fingerprints(docs.where("doc_id = 101")).collect()} >= {"alp", "vre"}
 
 
+
+def test_batch_takes_every_item(spark, tmp_path, small):
+    """More items than a thousand, each with its best document as the plans for single queries give it."""
+    from pyspark.sql import Window
+
+    from inkwell.plans import catalog, corpus
+
+    items = corpus.table(spark, small, "benchmark").select("text").crossJoin(spark.range(60)).select(F.row_number().over(Window.orderBy("id", "text")).cast("long").alias("item_id"), "text")
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    os.symlink(f"{small}/documents.parquet", tmp_path / "documents.parquet")
+    asked = {r.item_id: tuple(T.one_tok_index(r.text)[:2]) for r in items.collect()}
+    got = {r.item_id: (r.doc_id, r.bm25) for r in catalog.bm25_batch(spark, str(tmp_path)).collect()}
+    index = lexical.index_of(corpus.documents(spark, small))
+    pairs = sorted({t for t in asked.values() if len(t) > 1})
+    want = {r.query: (r.doc_id, r.bm25) for r in lexical.pool(index, {str(i): language.plan(f'"{a}" OR "{b}"') for i, (a, b) in enumerate(pairs)}, limit=1, size=1).collect()}
+    assert len(asked) > 1000 and set(got) == {i for i, t in asked.items() if t in pairs and str(pairs.index(t)) in want}
+    assert all(got[i] == (want[str(pairs.index(asked[i]))][0], pytest.approx(want[str(pairs.index(asked[i]))][1], abs=1e-6)) for i in got)
+
+
 def test_long_text_is_whole(spark, tmp_path):
     """A text of more than five million characters is kept whole, and a change at its end changes the hash."""
     for name in "ab":
