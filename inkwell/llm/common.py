@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +18,12 @@ from inkwell.session import ship
 BATCH_BYTES = 4 << 20
 #: Rows of one Arrow batch at most.
 BATCH_ROWS = 2048
+#: Rows that the Parquet reader decodes at once: its buffers hold their whole texts.
+READER_ROWS = 512
+#: A key is hot where it has more rows than this and than a thousandth of all.
+HOT_ROWS = 1000
+#: Folders of this application's tables.
+TOPS: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,19 +35,35 @@ def prepare(spark: SparkSession) -> None:
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir that driver and executors share; a temporary one where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir that driver and executors share. Where it is unset a local session (tests) gets a temporary one; a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/inkwell-{what}-{uuid.uuid4().hex}"
+    """A path for a table of this application; all of them go when the application ends, or by `clean`."""
+    top = f"{shared_folder(spark)}/inkwell-{spark.sparkContext.applicationId}"
+    if top not in TOPS:
+        TOPS.add(top)
+        atexit.register(clean, spark)
+    return f"{top}/{what}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the tables that this application has written to the shared folder. Results that are not read yet are lost."""
+    with contextlib.suppress(Exception):  # at the end of an application its JVM may be gone
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        path = hadoop.Path(f"{shared_folder(spark)}/inkwell-{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -49,6 +73,24 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def salted_join(left: DataFrame, right: DataFrame, on: str, n: str, spread: Column, how: str = "left") -> DataFrame:
+    """left joined to right, which has one row for each key and, in column n, how many rows of left have it.
+
+    Rows of hot keys are dealt by `spread` over several tasks, and their row of right is repeated. There are fewer than 1000 such keys.
+    """
+    total, most = right.agg(F.sum(n), F.max(n)).first()
+    least = max(HOT_ROWS, (total or 0) // 1000)
+    held = right.drop(n)
+    if (most or 0) <= least:
+        return left.join(held, on, how)
+    hot = [bytes(k) if isinstance(k, bytearray) else k for (k,) in right.where(F.col(n) > least).select(on).collect()]
+    salts = -(-most // max(HOT_ROWS, total // (2 * partitions(left.sparkSession))))
+    of_key = F.when(F.col(on).isin(hot), F.lit(salts)).otherwise(F.lit(1))
+    dealt = left.withColumn("__salt", F.pmod(spread, of_key))
+    repeated = held.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), of_key.cast("long") - 1)))
+    return dealt.join(repeated, [on, "__salt"], how).drop("__salt")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
