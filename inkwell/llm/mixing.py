@@ -31,13 +31,20 @@ from . import common
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Documents of a group on the lowest level, and residuals that meet on each level above.
 FAN = 4096
-WORDS = "[^\\x20\\x09-\\x0D]+"
+BLANKS = " \t\n\x0b\f\r"
+#: A word with the white space after it.
+WORD = "[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*"
 
 
 def n_words(text: str) -> Column:
-    """Number of words, without building them: places where one starts."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    return F.coalesce(F.regexp_count(body, F.lit(WORDS)), F.lit(0)).cast("long")
+    """Number of words: the length of the text with one letter for each word. (regexp_count makes an array of all words.)"""
+    return F.length(F.regexp_replace(F.ltrim(F.coalesce(F.col(text), F.lit("")), F.lit(BLANKS)), WORD, "x")).cast("long")
+
+
+def identity(docs: DataFrame) -> tuple[Column, Column]:
+    """Two hashes of a row's columns; rows that are equal in all columns have the same."""
+    columns = [F.to_json(f.name) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in docs.schema]
+    return F.xxhash64(F.lit(1), *columns), F.xxhash64(F.lit(2), *reversed(columns))
 
 
 def ranked(sources: DataFrame) -> DataFrame:
@@ -95,7 +102,7 @@ def rounded(seed: int, level: int):
     """Round one group; the residual stays open unless it is the last of its source."""
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "tie"], ascending=[False, True], kind="stable")
+        pdf = pdf.sort_values(["size", "tie", "r1"], ascending=[False, True, True], kind="stable")
         first = int(pdf["tie"].iloc[0]) & 0x7FFFFFFFFFFFFFFF
         draws = np.random.default_rng([seed, level, first, len(pdf)]).random(len(pdf) + 1)
         p, at = chain(pdf["p"].to_numpy(copy=True), draws[:-1])
@@ -112,9 +119,9 @@ def rounded(seed: int, level: int):
 
 
 def mix(docs: DataFrame, factor: float = 1.5, most: float = 2.0, seed: int = 42, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """docs' (key, source) with size, source_size, target, copies (0 .. most), taken = copies * size and tie, a hash of the row."""
+    """docs' (key, source) with size, source_size, target, copies (0 .. most), taken = copies * size, and r1 and r2, hashes of the row."""
     common.prepare(docs.sparkSession)
-    sized = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), n_words(text).alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("tie"))
+    sized = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), n_words(text).alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.col(text), F.col(source)).alias("tie"), *(h.alias(n) for h, n in zip(identity(docs), ("r1", "r2"), strict=True)))
     sized = common.written(sized, "sizes")
     band = F.floor(F.log2(F.col("size") + 1) * 2)
     counts = sized.groupBy("source", band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
@@ -123,8 +130,8 @@ def mix(docs: DataFrame, factor: float = 1.5, most: float = 2.0, seed: int = 42,
     plan = counts.withColumnRenamed("source", "s").join(goal.withColumnRenamed("source", "g"), F.col("s").eqNullSafe(F.col("g"))).select("s", "band", "n_groups", "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     tree = sized.withColumn("b", band).join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("band")))
-    tree = tree.select("id", "source", "size", "tie", "source_size", "target", F.floor(rate).cast("long").alias("whole"), (rate - F.floor(rate)).alias("p"), "band", F.pmod(F.xxhash64("tie"), F.col("n_groups")).alias("node"))
-    columns = "id {id}, source string, size long, tie long, source_size long, target double, whole long, p double, band long, node long, last boolean, open boolean"
+    tree = tree.select("id", "source", "size", "tie", "r1", "r2", "source_size", "target", F.floor(rate).cast("long").alias("whole"), (rate - F.floor(rate)).alias("p"), "band", F.pmod(F.xxhash64("tie"), F.col("n_groups")).alias("node"))
+    columns = "id {id}, source string, size long, tie long, r1 long, r2 long, source_size long, target double, whole long, p double, band long, node long, last boolean, open boolean"
     columns = columns.format(id=tree.schema["id"].dataType.simpleString())
     level, nodes, done = 0, int(counts.agg(F.max("n_groups")).first()[0] or 1), []
     while True:
@@ -139,13 +146,13 @@ def mix(docs: DataFrame, factor: float = 1.5, most: float = 2.0, seed: int = 42,
         tree = tree_out.where("open").drop("last", "open").withColumn("node", F.floor(F.col("node") / FAN).cast("long"))
         nodes, level = (0 if nodes == 1 else -(-nodes // FAN)), level + 1
     copies = (F.col("whole") + F.round("p").cast("long")).alias("copies")
-    out = reduce(DataFrame.unionByName, done).select(F.col("id").alias(key), F.col("source").alias(source), "size", "source_size", "target", copies, "tie")
+    out = reduce(DataFrame.unionByName, done).select(F.col("id").alias(key), F.col("source").alias(source), "size", "source_size", "target", copies, "r1", "r2")
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def expanded(docs: DataFrame, mixed: DataFrame, seed: int = 42, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with each row as often as the mix takes it."""
-    times = mixed.groupBy(F.col("tie").alias("__tie"), F.col(key).alias("__id")).agg(F.sum("copies").alias("__n")).where("__n > 0")
-    tied = docs.withColumn("__tie", F.xxhash64(F.lit(seed), F.col(key), F.col(text)))
-    joined = tied.join(times.withColumnRenamed("__tie", "__t"), (F.col("__tie") == F.col("__t")) & F.col(key).eqNullSafe(F.col("__id"))).dropDuplicates(["__tie", key])
-    return joined.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*docs.columns)
+def expanded(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """docs with each row as often as the mix takes it; mixed is what `mix` gave for docs. Rows equal in all columns are one, with the copies of all."""
+    times = mixed.groupBy("r1", "r2").agg(F.sum("copies").alias("n")).where("n > 0")
+    marked = docs.select(F.struct(*docs.columns).alias("row"), *(h.alias(n) for h, n in zip(identity(docs), ("r1", "r2"), strict=True)))
+    joined = marked.join(times, ["r1", "r2"]).dropDuplicates(["r1", "r2"])  # dealt by both, so texts cross once
+    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("row.*")
