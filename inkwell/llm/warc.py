@@ -2,7 +2,9 @@
 
 Writing: each page is a record; of equal payloads of at least `least_bytes` the page with the smallest id is a
 response, the others are revisits that name it. Records end with two line ends, so Spark's text writer with that
-separator writes them as valid WARC files, compressed as a whole, into the given folder of any file system that Spark can write.
+separator writes them as valid WARC files, compressed as a whole, into the given folder of any file system that Spark can write. Pages
+of like length share archives, so that their rows bound their bytes; a page's html crosses the network once, and copies of one
+page are dealt over several tasks.
 
 Reading: the files come back as binary rows and are parsed by Content-Length; digests are taken from the payload
 again and compared. Each file's captures, sorted by URL key, time and id, are a run.
@@ -11,8 +13,10 @@ Merging: splitters from a bounded sample cut the key space into ranges; each run
 pieces of all runs that fall into one range are merged by a loser tree. Ranges follow one another, so the whole is
 ordered. A URL with very many captures is cut by time.
 
+Offsets and lengths of the index are places in the uncompressed archive.
+
 Null html is an empty payload, a null URL has the empty key and no Target-URI, null ids come first and are written without their field. Repeated
-rows are records of their own. Other columns are ignored. An empty table gives no files' records and no rows.
+rows are records of their own, with one Record-ID. Other columns are ignored, unless one is named as the capture time; where that is null the time of pages without one is used. An empty table gives no files' records and no rows.
 """
 
 from __future__ import annotations
@@ -30,8 +34,9 @@ from pyspark.sql import functions as F
 from . import common
 
 END = "\r\n"
-#: Rows of one archive at most.
-FILE_ROWS = 2000
+#: Shelves of archives: pages of more than so many bytes, rows of an archive at most. A longer page than the last has an archive's bytes in view.
+SHELVES = ((-1, 2000), (32 << 10, 64), (1 << 20, 0))
+ARCHIVE_BYTES = 64 << 20
 #: Keys that the driver sees to choose the splitters.
 SPLIT_SAMPLE = 10_000
 #: Captures of a range on average.
@@ -40,13 +45,17 @@ RANGE_ROWS = 50_000
 EPOCH = "2024-01-01T00:00:00Z"
 
 
-def with_records(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """pages with payload_digest, payload_bytes, record_type and refers_to."""
-    digested = pages.withColumn("payload_digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("payload_bytes", F.octet_length("html").cast("long"))
-    first = digested.where(F.col("payload_bytes") >= least_bytes).groupBy(F.col("payload_digest").alias("same")).agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    joined = digested.join(first, digested["payload_digest"] == first["same"], "left")
+def repeats(digested: DataFrame, least_bytes: int) -> DataFrame:
+    """(payload_digest, first_id, n) of payloads that several pages have."""
+    long_enough = digested.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest")
+    return common.written(long_enough.agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1"), "repeats")
+
+
+def with_records(digested: DataFrame, first: DataFrame) -> DataFrame:
+    """digested pages with record_type and refers_to."""
+    joined = common.salted_join(digested, first, "payload_digest", "n", F.xxhash64("page_id", "url"))
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first_id"))).drop("same", "first_id")
+    return joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first_id"))).drop("first_id")
 
 
 def fields(*pairs: tuple[str, Column]) -> Column:
@@ -54,11 +63,22 @@ def fields(*pairs: tuple[str, Column]) -> Column:
     return F.concat(*(F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(END)), F.lit("")) for name, value in pairs))
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = 100) -> None:
-    """Write pages (page_id, url, html, and captured, a timestamp, where it is known) as WARC files."""
-    time = F.col("captured") if "captured" in pages.columns else F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH).cast("timestamp")) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(1 << 31)))
+def write(pages: DataFrame, path: str, least_bytes: int = 100, captured: str | None = None) -> None:
+    """Write pages (page_id, url, html) as WARC files. captured: the column that has the time of capture."""
+    usual = F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH).cast("timestamp")) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(1 << 31)))
+    time = F.coalesce(F.col(captured).cast("timestamp"), usual) if captured else usual
     given = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"))
-    records = with_records(given, least_bytes)
+    digested = given.withColumn("payload_digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("payload_bytes", F.octet_length("html").cast("long"))
+    first = repeats(digested, least_bytes)
+    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    ends = [least for least, _ in SHELVES[1:]] + [None]
+    for (more_than, rows), most in zip(SHELVES, ends, strict=True):
+        if more_than < longest:
+            shelf = digested.where((F.col("payload_bytes") > more_than) & (F.lit(True) if most is None else F.col("payload_bytes") <= most))
+            write_records(with_records(shelf, first), path, rows or max(1, ARCHIVE_BYTES // longest))
+
+
+def write_records(records: DataFrame, path: str, file_rows: int) -> None:
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END + END))
     block = F.when(F.col("record_type") == "response", F.concat(http, F.col("html"))).otherwise(http)
@@ -70,7 +90,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 100) -> None:
         ("X-Payload-Length", F.col("payload_bytes")), ("X-Page-ID", F.col("page_id")), ("Content-Type", F.lit("application/http; msgtype=response")), ("Content-Length", F.octet_length(block)),
     )
     text = records.select(F.concat(F.lit("WARC/1.1" + END), head, F.lit(END), block).alias("value"))
-    text.write.option("lineSep", END + END).option("maxRecordsPerFile", FILE_ROWS).option("compression", "gzip").text(path)
+    text.write.mode("append").option("lineSep", END + END).option("maxRecordsPerFile", file_rows).option("compression", "gzip").text(path)
 
 
 def url_key(url: str | None) -> str:
