@@ -2,7 +2,7 @@
 
 The cache is a table (tokenizer, digest, n_tokens). A call joins the digests of its texts to it, encodes each
 distinct text that it lacks once, appends those counts and joins again. The tokenizer's version is the SHA-256 of
-its file, so that a changed file never meets old counts. Only digests meet in the joins; a text crosses the
+its files and its libraries' versions, so that a changed file or library never meets old counts. Only digests meet in the joins; a text crosses the
 network at most once, and only where the cache lacks it.
 
 Null texts count as empty (0 tokens). Rows are kept as they come, repeated ones and null ids too; columns of the
@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 from collections.abc import Callable, Iterator
+from importlib import metadata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +30,15 @@ PLAIN = re.compile("[\t\n\r -~\xa0-ɏ‐-‧€]*")
 CACHE = "tokenizer string, digest binary, n_tokens long"
 
 
-def file_version(path: str) -> str:
-    with open(path, "rb") as f:
-        return hashlib.sha256(f.read()).hexdigest()
+def version_of(*paths: str | None) -> str:
+    """What counts depend on: the tokenizer's files and the libraries that read them."""
+    parts = hashlib.sha256()
+    for path in filter(None, paths):
+        with open(path, "rb") as f:
+            parts.update(hashlib.sha256(f.read()).digest())
+    for library in ("tokenizers", "tiktoken", "sentencepiece"):
+        parts.update(f"{library} {metadata.version(library)}".encode())
+    return parts.hexdigest()
 
 
 def json_counter(path: str, ranks_path: str | None = None) -> Callable[[list[str]], list[int]]:
@@ -47,6 +55,9 @@ def json_counter(path: str, ranks_path: str | None = None) -> Callable[[list[str
     own = Tokenizer.from_file(path)
     own.no_truncation()
     own.no_padding()
+    with open(path, encoding="utf-8") as f:
+        added = [t["content"] for t in json.load(f)["added_tokens"]]
+    special = re.compile("|".join(map(re.escape, added)) or "(?!)")
     slow = lambda texts: [len(e.ids) for e in own.encode_batch_fast(texts, add_special_tokens=False)]
     if not ranks_path:
         return slow
@@ -58,7 +69,7 @@ def json_counter(path: str, ranks_path: str | None = None) -> Callable[[list[str
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def count(texts: list[str]) -> list[int]:
-        return [len(fast.encode_ordinary(t)) if PLAIN.fullmatch(t) and "<|" not in t else slow([t])[0] for t in texts]
+        return [len(fast.encode_ordinary(t)) if PLAIN.fullmatch(t) and not special.search(t) else slow([t])[0] for t in texts]
 
     return count
 
@@ -98,9 +109,10 @@ class DigestCache:
 def count_tokens(docs: DataFrame, cache: DigestCache, tokenizer: str, ranks: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_tokens) for each row of docs; the cache afterwards has every distinct text of docs."""
     common.prepare(docs.sparkSession)
-    version = file_version(tokenizer)
+    version = version_of(tokenizer, ranks)
     body = F.coalesce(F.col(text), F.lit(""))
-    texts = docs.select(F.unhex(F.sha2(body.cast("binary"), 256)).alias("digest"), body.alias("body"))
+    digest = F.unhex(F.sha2(body.cast("binary"), 256)).alias("digest")
+    texts = docs.select(digest, body.alias("body"))
     schema = pa.schema([("digest", pa.binary()), ("n_tokens", pa.int64())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,5 +126,7 @@ def count_tokens(docs: DataFrame, cache: DigestCache, tokenizer: str, ranks: str
     cache.append(misses.mapInArrow(encode, "digest binary, n_tokens long"), version)
     # Two runs that append at once may both store a digest; their counts are equal.
     counts = cache.read(version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    sized = docs.select(F.col(key), F.octet_length(body).cast("long").alias("n_bytes"), F.unhex(F.sha2(body.cast("binary"), 256)).alias("digest"))
-    return sized.join(counts, "digest", "left").select(key, "n_bytes", "n_tokens")
+    sized = common.written(docs.select(F.col(key), F.octet_length(body).cast("long").alias("n_bytes"), digest), "sized")
+    rows = sized.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    known = common.written(rows.join(counts, "digest"), "counts")
+    return common.salted_join(sized, known, "digest", "n", F.xxhash64(key), "inner").select(key, "n_bytes", "n_tokens")
