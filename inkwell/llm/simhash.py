@@ -245,13 +245,14 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp, component_id) for each row of docs."""
     found = common.written(fingerprints(docs, width, key, text), "fingerprints")
-    classes = found.groupBy("fp").agg(F.min(key).alias("least"))
+    classes = found.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n"))
     points = classes.select(F.col("fp").alias("node"), F.lit(0).alias("table"), "fp", F.lit(0).cast("long").alias("other"))
     roots = components(links(points, threshold, threshold // len(FIELDS)))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     rooted = common.written(rooted, "roots")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return found.join(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
+    known = common.written(rooted.join(named, "root").select("fp", "n", "component_id"), "named")
+    return common.salted_join(found, known, "fp", "n", F.xxhash64(key), "inner").select(key, "fp", "component_id")
 
 
 def bits_at(similarity: float, bits: int, slack: float) -> int:
@@ -397,6 +398,5 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, slack:
         roots = components(linked.unionByName(more))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "r1", "r2")).alias("first")
     kept = found.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(first).select("first.r1", "first.r2")
-    marked = docs.withColumns({"__r1": ids[0], "__r2": ids[1]})
-    chosen = kept.select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"))
-    return marked.join(chosen, ["__r1", "__r2"], "left_semi").dropDuplicates(["__r1", "__r2"]).drop("__r1", "__r2")
+    marked = docs.select(F.struct(*docs.columns).alias("row"), ids[0].alias("r1"), ids[1].alias("r2"))
+    return marked.join(kept, ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"]).select("row.*")
