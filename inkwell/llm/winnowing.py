@@ -146,12 +146,12 @@ def edited_and_next(docs: DataFrame, k: int = K, w: int = W, key: str = "doc_id"
     after = F.create_map(*(F.lit(x) for pair in zip(used, used[1:] + used[:1], strict=True) for x in pair))[F.col("part")] if used else F.lit(0)
     ends = tagged.where("kind = 'last'").select("id", "text", after.alias("part"))
     starts = tagged.where("kind = 'first'").select("part", F.col("text").alias("following"))
-    seams = ends.join(starts.hint("merge"), "part")  # a text for each partition: no broadcast.select("id", "text", "following")
+    # A text for each partition: joined by shuffle, as it grows with them.
+    seams = ends.join(starts.hint("merge"), "part").select("id", "text", "following")
 
     def seam(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             schema = pa.schema([("id", b.schema.field("id").type), *((str(i), t) for i, t in enumerate(types))])
-            given = zip(*(b.column(c).to_pylist() for c in ("id", "text", "following")), strict=True)  # the join's key comes along
-            yield common.batch_of(schema, [(id_, *compared(Printed(a, k, w), Printed(n, k, w), k, w)) for id_, a, n in given])
+            yield common.batch_of(schema, [(id_, *compared(Printed(a, k, w), Printed(n, k, w), k, w)) for id_, a, n in common.rows(b)])
 
     return done.unionByName(seams.mapInArrow(seam, f"id {kind_of_id}, {results}")).withColumnRenamed("id", key)
