@@ -19,7 +19,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a classifier, learned from the labels of three of four folds, doesn't call toxic."""
     learn = docs.where(common.crc_fold("doc_id", 4) != 2)
     model = toxicity.train(learn, common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, threshold=0.3).where("predicted = 0").select(*docs.columns)
+    return toxicity.score(docs, model, threshold=0.3, names=("__score", "__predicted")).where("__predicted = 0").select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
