@@ -76,6 +76,25 @@ def test_mixing_odd_rows(spark):
     assert {r.target for r in mixing.mix(docs.where("doc_id = 2")).collect()} == {0.0}
 
 
+def test_expanded_keeps_rows_of_one_id_apart(spark):
+    data = [(1, "s1", "a b", "x"), (1, "s2", "a b", "x"), (1, "s2", "a b", "y"), (2, "s1", None, None), (3, "s2", "c", "z"), (3, "s2", "c", "z")]
+    docs = spark.createDataFrame(data, "doc_id long, source string, text string, __n string")
+    mixed = mixing.mix(docs)
+    want = Counter()
+    for r in mixed.collect():
+        want[r.doc_id, r.source] += r.copies
+    out = mixing.expanded(docs, mixed)
+    rows = out.collect()
+    assert out.columns == docs.columns and {tuple(r) for r in rows} <= set(data)
+    assert Counter((r.doc_id, r.source) for r in rows) == +want
+
+
+def test_words_are_counted_without_arrays(spark):
+    texts = [None, "", " \t", "a", " a", "a ", "\x0ba\x0cb\x1cc\u00a0d\r\ne", "w  x" * 5000, "é 汉字\n"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r[0] for r in docs.select(mixing.n_words("text")).collect()] == [len(WORDS.findall(t or "")) for t in texts]
+
+
 def test_pivots_keep_expectations():
     p = np.array([0.3, 0.3, 0.9, 0.5, 0.25, 0.0, 1.0, 0.75])
     sums = np.zeros(len(p))
@@ -115,6 +134,31 @@ def test_neighbours_recall(spark, sf):
         assert all(s == pytest.approx(float(np.dot(np.array(rows[i], float), np.array(rows[q], float))), abs=1e-12) for s, i in found)
 
 
+def test_collisions_decide(spark):
+    """The share of vectors that pass the collision threshold and are verified is small, and no query verifies all."""
+    tally = spark.sparkContext.accumulator(0)
+    docs = common.table(spark, "/root/testdata/sf0.1", "embeddings")
+    n = docs.count()
+    asks = ann.search(docs, F.col("vec_id") % 20 == 0, tally=tally).select("query_id").distinct().count()
+    assert 0 < tally.value < 0.3 * n * asks
+
+
+def test_neighbours_of_other_norms_and_long_vectors(spark):
+    """Norms over five powers of ten, in bands; a dimension whose blocks are small; and recall over both."""
+    rng = np.random.default_rng(14)
+    scaled = rng.standard_normal((1500, 8)) * 10.0 ** rng.uniform(-3, 2, 1500)[:, None]
+    rows = {i: v.tolist() for i, v in enumerate(scaled)} | {10_000 + i: v.tolist() for i, v in enumerate(rng.standard_normal((60, 3000)))}
+    docs = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>").repartition(4)
+    got = defaultdict(list)
+    for r in ann.search(docs, F.col("vec_id") % 20 == 0, k=5).collect():
+        got[r.query_id].append(r.vec_id)
+    hits = total = 0
+    for q in [i for i in rows if i % 20 == 0]:
+        want = exact({i: v for i, v in rows.items() if len(v) == len(rows[q])}, [q], 5)[q]
+        hits, total = hits + len(set(got[q]) & {i for _, i in want}), total + len(want)
+    assert hits >= 0.9 * total
+
+
 def test_neighbours_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     good = {0: [1.0, 0.0], 1: [0.5, 0.5], 2: [0.5, 0.5], 3: [-1.0, 0.0], 20: [0.0, 2.0]}
@@ -145,6 +189,32 @@ def test_warc_odd_rows(spark, tmp_path):
     assert warc.round_trip(pages.limit(0), str(tmp_path / "none"), 100).count() == 0
 
 
+def test_warc_capture_times_and_long_pages(spark, tmp_path):
+    """A clashing column is ignored unless it is named; a null time is allowed; long pages get archives of few rows."""
+    data = [(i, "http://a.example/", f"{i} " + "x" * n, w) for i, (n, w) in enumerate([(10, "2020-05-01 00:00:00"), (10, None), (40_000, "2021-01-01 10:00:00"), (2_000_000, None), (3_000_000, None), (3_000_000, None)])]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string, captured string")
+    plain = {r.page_id: r.captured for r in warc.round_trip(pages, str(tmp_path / "a")).collect()}
+    assert len(plain) == 6 and all(t.startswith("2024-01-01T") for t in plain.values())
+    timed = pages.withColumn("captured", F.col("captured").cast("timestamp"))
+    warc.write(timed, str(tmp_path / "b"), captured="captured")
+    got = {r.page_id: (r.captured, r.payload_bytes) for r in warc.merged_index(warc.read_runs(spark, str(tmp_path / "b"))).collect()}
+    assert got[0][0] == "2020-05-01T00:00:00Z" and got[2][0] == "2021-01-01T10:00:00Z" and got[1][0] == plain[1]
+    assert {i: n for i, (_, n) in got.items()} == {i: len(h) for i, _, h, _ in data}
+    assert len(list((tmp_path / "b").glob("part-*"))) >= 3
+
+
+def test_hot_keys_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    left = spark.createDataFrame([(i, b"hot" if i % 3 else bytes([i % 200])) for i in range(1500)], "id long, k binary")
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    joined = common.salted_join(left, right, "k", "n", F.xxhash64("id"))
+    want = {}
+    for i, k in ((r.id, bytes(r.k)) for r in left.collect()):
+        want[k] = min(want.get(k, i), i)
+    assert "__salt" in joined._jdf.queryExecution().toString()
+    assert sorted((r.id, bytes(r.k), r.least) for r in joined.collect()) == sorted((r.id, bytes(r.k), want[bytes(r.k)]) for r in left.collect())
+
+
 def test_warc_order(spark, tmp_path):
     index = warc.round_trip(common.table(spark, "/root/testdata/sf0.01", "pages"), str(tmp_path / "w"), 100).collect()
     ordered = sorted(index, key=lambda r: (r.merge_range, r.merge_position))
@@ -338,3 +408,23 @@ def test_pipeline_keeps_the_similarity(spark):
     assert all(max(alike(sets[i], sets[j]) for j in sets if j != i) >= 0.8 for i in sets if i not in one)
     ids = sorted(one)
     assert all(alike(sets[i], sets[j]) < 0.8 for n, i in enumerate(ids) for j in ids[n + 1 :])
+
+
+def test_pipeline_stages_of_odd_rows(spark):
+    """Each stage: nulls, empty and very long texts, repeated rows, no rows, and columns named as the stages' own."""
+    labels = "/root/testdata/sf0.001"
+    data = [(1, None, None), (2, "", "s"), (3, "word " * 60_000, "s"), (4, "twice the same text of some words", "t"), (4, "twice the same text of some words", "t"), (None, "no id here", None), (5, "m² and ½ é 汉字 🎉", "u")]
+    docs = spark.createDataFrame([(*r, 7.0, "mine", 3, 4) for r in data], "doc_id long, text string, source string, score double, predicted string, copies int, n_tokens int")
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.written(stage(spark, docs, labels), f"odd-{name}")
+        rows = out.collect()
+        if name != "bpe":
+            assert out.schema.names == docs.schema.names
+            assert {(r.score, r.predicted, r.copies, r.n_tokens) for r in rows} <= {(7.0, "mine", 3, 4)}
+        if name == "toxicity":
+            assert len(rows) == len(data)
+        elif name == "simhash_near_dedup":
+            assert sorted(r.doc_id or 0 for r in rows) in ([0, 1, 3, 4, 5], [0, 2, 3, 4, 5])
+        elif name == "bpe":
+            assert len(rows) == len(data) and {r.doc_id: r.n_tokens for r in rows}[3] == 60_000
+        assert stage(spark, docs.limit(0), labels).count() == 0, name

@@ -86,16 +86,80 @@ def test_bpe_agrees_with_the_library(spark, small):
     assert bpe.encode_documents(odd(spark).limit(0), path).count() == 0
 
 
-def test_chunks_join_to_the_text_and_are_shared():
+def test_bpe_of_number_signs_and_all_plain_characters():
     codec = bpe.Codec(public_tokenizers.path("word_bpe_49k.json"))
+    want = lambda t: codec.own.encode(t, add_special_tokens=False).ids
+    for text in ("10 m² and x³", "a¼b", "foo²³bar", "¹½¾", "a<|endoftext|>b"):
+        assert codec.encode(text) == want(text)
+    letters = [c for c in map(chr, range(1, 0x2100)) if bpe.PLAIN.fullmatch(c)]
+    rng = np.random.default_rng(11)
+    for n in rng.integers(1, 30, 5000):
+        text = "".join(rng.choice(letters, n))
+        assert codec.encode(text) == want(text), text
+
+
+def halves(text):
+    data = text.encode()
+    pieces = bpe.sliced(data, np.array(bpe.cuts(data), np.int64))
+    assert b"".join(pieces) == data
+    return pieces, [bpe.digest(p) for p in pieces]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_chunks_are_shared_and_joins_repaired(name):
+    codec = bpe.Codec(public_tokenizers.path(name))
     rng = np.random.default_rng(1)
-    vocabulary = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(500)]
+    vocabulary = ["".join(rng.choice(list("abcdefgh'9 é"), 6)) for _ in range(500)]
     passage = " ".join(rng.choice(vocabulary, 3000))
-    a, b = (" ".join(rng.choice(vocabulary, 300)) + " " + passage for _ in range(2))
-    first, second = bpe.chunks(a, codec), bpe.chunks(b, codec)
-    assert b"".join(first) == a.encode() and b"".join(second) == b.encode()
+    texts = [" ".join(rng.choice(vocabulary, 300)) + "  " + passage for _ in range(2)]
+    (first, _), (second, _) = map(halves, texts)
     assert len(set(first) & set(second)) > len(first) // 2
-    assert [i for c in first for i in codec.encode(c.decode())] == codec.encode(a)
+    repaired = 0
+    for text in (*texts, "a   b\n\n c \t" * 900, "one two " * 2000, "ab " * 3000):
+        pieces, names = halves(text)
+        memory, repairs = [codec.encode_bytes(p) for p in pieces], {}
+        whole = codec.own.encode(text, add_special_tokens=False).ids
+        found = bpe.joined(pieces, memory, names, codec.encode_bytes, repairs)
+        assert (found if found is not None else codec.encode(text)) == whole
+        repaired += sum(r != (0, [], 0) for r in repairs.values())
+        if len(pieces) > 1 and text in texts:
+            assert found is not None
+            assert (sum(memory, []) == whole) == (name != "byte_bpe_50k.json")  # without repair the byte-level ids would be wrong
+    assert (repaired > 0) == (name == "byte_bpe_50k.json")
+
+
+def test_a_join_that_small_windows_misjudge():
+    """A toy coder whose pairs run over the join as far as the letters do: only a wider window, or none, agrees."""
+    encode = lambda data: [len(x) for x in re.findall(rb"a+|[^a]", data)]
+    left, right = b"xyz b" + b" a" * 0 + b"aaaa" * 10, b"a" * 30 + b" bcd efg hij"
+    found = bpe.repair(left, encode(left), right, encode(right), encode)
+    assert found is not None
+    dropped, between, lead = found
+    ids = encode(left)
+    assert ids[: len(ids) - dropped] + between + encode(right)[lead:] == encode(left + right)
+    assert bpe.repair(b"aaaa", [4], b"aaa", [3], lambda d: [len(d)]) in (None, (1, [7], 1))
+
+
+def test_bpe_with_repair_in_spark(spark, small):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    docs, texts = real(spark, small)
+    got = bpe.encode_documents(docs, path).collect()
+    assert {r.doc_id: np.frombuffer(r.ids_le32, "<u4").tolist() for r in got} == {i: own.encode(t or "", add_special_tokens=False).ids for i, t in texts.items()}
+
+
+def test_bpe_chunks_of_many_blocks(spark, monkeypatch):
+    """Passages that most blocks share, so common that their answers are dealt by salts, and a very long text."""
+    monkeypatch.setattr(bpe, "SALTED", 3)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    rng = np.random.default_rng(12)
+    word = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n))
+    passage = word(2000)
+    texts = {i: f"{word(100)} {passage} {word(50)}" for i in range(24)} | {24: word(150_000)}
+    docs = spark.createDataFrame(list(texts.items()), SCHEMA).repartition(12)
+    got = {r.doc_id: np.frombuffer(r.ids_le32, "<u4").tolist() for r in bpe.encode_documents(docs, path).collect()}
+    assert got == {i: own.encode(t, add_special_tokens=False).ids for i, t in texts.items()}
 
 
 def slow_winnow(text, k, w):
@@ -256,6 +320,65 @@ def test_toxicity_of_neutral_mentions(spark):
     assert held.linear(toxicity.features("vermin scum idiots")) > held.linear(toxicity.features("muslims"))
 
 
+def test_toxicity_fit_by_a_plain_solver():
+    """The weights minimise the documented loss, and nothing else: dense gradient and value at the result."""
+    rng = np.random.default_rng(13)
+    size, n = 12, 80
+    x = (rng.random((n, size)) < 0.3).astype(float)
+    y = (rng.random(n) < 0.4).astype(int)
+    swaps = [([0], [1], 3), ([2, 3], [4], 1), ([], [5], 2)]
+    d = np.array([[(i in a) - (i in b) for i in range(size)] for a, b, _ in swaps], float)
+    share = np.array([3, 1, 2]) / 6
+    penalty, ridge = 0.5, 0.1
+
+    def loss(w, b):
+        z = x @ w + b
+        return np.mean(np.log1p(np.exp(-np.where(y, z, -z)))) + ridge / 2 * w @ w / n + penalty * share @ (d @ w) ** 2
+
+    w, b = np.zeros(size), 0.0
+    for _ in range(60):  # Newton steps on the dense problem
+        p = 1 / (1 + np.exp(-(x @ w + b)))
+        full = np.column_stack((x, np.ones(n)))
+        gradient = full.T @ (p - y) / n
+        gradient[:size] += ridge / n * w + 2 * penalty * d.T @ (share * (d @ w))
+        curve = full.T @ (full * (p * (1 - p))[:, None]) / n
+        curve[:size, :size] += ridge / n * np.eye(size) + 2 * penalty * d.T @ (share[:, None] * d)
+        step = np.linalg.solve(curve, gradient)
+        w, b = w - step[:size], b - step[size]
+    got, bias = toxicity.fit([(int(t), np.flatnonzero(r).tolist()) for t, r in zip(y, x, strict=True)], swaps, size, penalty, ridge, rounds=6000)
+    assert loss(got, bias) == pytest.approx(loss(w, b), rel=1e-6)
+    assert np.abs(got - w).max() < 0.05 and abs(bias - b) < 0.05
+
+
+def test_toxicity_scores_by_definition(spark, small):
+    """Features, counts, choice and scores of a small table against plain Python."""
+    docs, texts = real(spark, small)
+    labels = {r.doc_id: int(r.toxic > 0) for r in common.table(spark, small, "labels").collect()}
+    marks = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    model = toxicity.train(docs, marks, sample_rows=None, most_features=None)
+    rows = [(labels[i], toxicity.features(texts[i])) for i in labels if i in texts]
+    totals, counts = Counter(y for y, _ in rows), [Counter(), Counter()]
+    for y, found in rows:
+        counts[y].update(found)
+    chosen = set()
+    for f in counts[0].keys() | counts[1].keys():
+        n0, n1 = counts[0][f], counts[1][f]
+        odds = math.log((n1 + 0.5) / (totals[1] - n1 + 0.5)) - math.log((n0 + 0.5) / (totals[0] - n0 + 0.5))
+        if n0 + n1 >= toxicity.SUPPORT and abs(odds) / math.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5)) > 2 and abs(odds) > toxicity.LEAST_ODDS:
+            chosen.add(f)
+    assert set(model.weights) == chosen
+    place = {f: k for k, f in enumerate(sorted(chosen))}
+    swaps = Counter()
+    for i in labels:
+        for a, b in toxicity.counterfactuals(texts.get(i)):
+            key = tuple(sorted(place[f] for f in a - b if f in place)), tuple(sorted(place[f] for f in b - a if f in place))
+            swaps[key] += any(key)
+    w, bias = toxicity.fit(sorted((y, sorted(place[f] for f in found if f in place)) for y, found in rows), sorted((list(a), list(b), n) for (a, b), n in swaps.items() if n), len(place), 1.0)
+    for r in toxicity.score(docs, model, names=("p", "flag")).collect():
+        z = bias + sum(w[place[f]] for f in toxicity.features(texts[r.doc_id]) if f in place)
+        assert r.p == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9) and r.flag == int(r.p >= 0.3)
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (8, 1), (8, 0), (99, 1), (None, 1), (4, None)], "doc_id long, toxic int")
     docs = odd(spark)
