@@ -295,29 +295,40 @@ def bins(own: np.ndarray) -> bytes:
     return np.minimum(np.bincount((own & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), MOST_BIN).astype("<u2").tobytes()
 
 
-def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(token, node, n, centre) for tokens of two nodes and more: centre is one of the token's nodes, of four at most for tokens with the same nodes."""
+def allowed(n: np.ndarray, pos: np.ndarray, m: np.ndarray, at: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of n and m shingles whose first common one is at pos and at, in the order of all shingles, can have the similarity."""
+    return np.minimum(n - pos, m - at) >= similarity / (1 + similarity) * (n + m) - 1e-9
+
+
+def meet(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """(token, node, n, pos, centre) for tokens of two nodes and more: centre is one of the token's nodes, or null where the two can't be alike.
+
+    It is a node with the token first in its order, so one with few shingles of its own: among edited copies the original or what is next to it. Of equal ones
+    tokens with the same nodes take four at most.
+    """
     pdf = pdf.drop_duplicates(["token", "node"])
     pdf = pdf[pdf["token"].duplicated(keep=False)]
     token, node = pdf["token"].to_numpy(np.int64), pdf["node"].to_numpy(np.int64)
     salt = (token.view(np.uint64) & np.uint64(3)) * np.uint64(0x9E3779B97F4A7C15)
-    order = np.lexsort(((node.view(np.uint64) ^ salt) * np.uint64(0xBF58476D1CE4E5B9), token))
-    pdf = pdf.iloc[order]
-    return pdf[["token", "node", "n"]].assign(centre=pdf.groupby("token", sort=False)["node"].transform("first"))
+    order = np.lexsort(((node.view(np.uint64) ^ salt) * np.uint64(0xBF58476D1CE4E5B9), pdf["pos"], token))
+    pdf = pdf.iloc[order][["token", "node", "n", "pos"]]
+    first = pdf.groupby("token", sort=False)[["node", "n", "pos"]].transform("first")
+    ok = allowed(pdf["n"].to_numpy(), pdf["pos"].to_numpy(), first["n"].to_numpy(), first["pos"].to_numpy(), similarity)
+    return pdf.assign(centre=first["node"].astype("Int64").mask(~ok))
 
 
 def apart(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Pairs (a, b), a < b, of nodes that share a token, lie in different groups and have sizes that allow the similarity."""
+    """Pairs (a, b), a < b, of nodes that share a token, lie in different groups and have sizes and places of the token that allow the similarity."""
     pdf = pdf.sort_values("token")
-    token, node, n, root = (pdf[c].to_numpy(np.int64) for c in ("token", "node", "n", "root"))
+    token, node, n, pos, root = (pdf[c].to_numpy(np.int64) for c in ("token", "node", "n", "pos", "root"))
     # Tokens of one group only have no pairs.
     starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
     mixed = np.repeat(np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts), np.diff([*starts, len(token)]))
-    token, node, n, root = token[mixed], node[mixed], n[mixed], root[mixed]
+    token, node, n, pos, root = token[mixed], node[mixed], n[mixed], pos[mixed], root[mixed]
     found, held, i, step = [np.empty((0, 2), np.int64)], 0, np.arange(len(token)), 1
     while len(i := i[: np.searchsorted(i, len(token) - step)]) and len(i := i[token[i] == token[i + step]]):
         j = i + step
-        ok = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+        ok = (root[i] != root[j]) & allowed(n[i], pos[i], n[j], pos[j], similarity)
         found.append(np.stack((np.minimum(node[i[ok]], node[j[ok]]), np.maximum(node[i[ok]], node[j[ok]])), axis=1))
         held += ok.sum()
         if held > 1 << 21:
@@ -335,7 +346,8 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, slack:
     link is verified on the whole sets, and none is missed: two such sets share a shingle in the prefixes of both, in whatever order of all shingles.
 
     Trials come first: pairs that the anchors of the fingerprints bring together, and each shared prefix shingle's nodes with one of them. What they link
-    is a group already, so that of the nodes at a shingle only pairs of different groups are left to be compared, however many copies there are.
+    is a group already, so that of the nodes at a shingle only pairs of different groups are left to be compared, however many copies there are. Of
+    these, a shingle's places in the two sets must leave room for enough common ones: that holds at the first shingle that two alike sets share.
     """
     spark = docs.sparkSession
     common.prepare(spark)
@@ -356,7 +368,7 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, slack:
     points = nodes.select("node", F.lit(0).alias("table"), "fp", F.lit(0).cast("long").alias("other"))
     groups = max(1, -(-found.agg(F.sum(F.size("prefix"))).first()[0] // GROUP_ROWS)) if not points.isEmpty() else 1
     bucket = F.pmod(F.xxhash64("token"), F.lit(groups)).alias("g")
-    shared = common.written(found.select("node", "n", F.explode("prefix").alias("token")).groupBy(bucket).applyInPandas(lambda pdf: meet(pdf), "token long, node long, n long, centre long"), "shared")
+    shared = common.written(found.select("node", "n", F.posexplode("prefix").alias("pos", "token")).groupBy(bucket).applyInPandas(lambda pdf: meet(pdf, similarity), "token long, node long, n long, pos int, centre long"), "shared")
 
     pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     stars = shared.where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
@@ -391,7 +403,7 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, slack:
 
     linked = verified(trials, "links")
     roots = components(linked)
-    rooted = shared.join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
+    rooted = shared.join(roots, "node", "left").select("token", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
     left = rooted.groupBy(bucket).applyInPandas(lambda pdf: apart(pdf, similarity), "a long, b long").distinct().join(trials, ["a", "b"], "left_anti")
     more = verified(left, "more-links")
     if not more.isEmpty():
