@@ -1,7 +1,7 @@
 """File trees as document rows: a binary scan, and text by format.
 
 Spark lists and reads the files, so any file system that it reads will do; an Arrow function takes each file's text
-from its bytes, within bounds. A file that can't be read gives null content and a status, never a failed job.
+from its bytes, within limits. A file that can't be read gives null content and a status, never a failed job.
 """
 
 from __future__ import annotations
@@ -13,111 +13,382 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a file that is read, and of a member of an archive when unpacked; beyond them a file has a status and no text.
-MOST_BYTES, MOST_MEMBER = 64 << 20, 32 << 20
-PLAIN = ("txt", "md", "markdown", "csv", "tsv", "log", "json", "jsonl", "xml", "yaml", "yml", "toml", "ini", "py", "sql", "rst")
+from inkwell.sources.rules import Ignore
 
+#: Bytes of a file that is read; a larger one has a status and no text.
+MOST_BYTES = 64 << 20
+#: Fixed value: extensions read as text.
+PLAIN = ("txt", "md", "csv", "json", "xml", "py", "js", "ts", "tsx", "jsx", "java", "c", "h", "cpp", "hpp", "cs", "go", "rs", "sql", "yaml", "yml", "toml", "ini", "log")
+MORE_PLAIN = ("markdown", "tsv", "jsonl", "rst")
+#: Warnings of a file at most, and their length.
+MOST_WARNINGS, WARNING_LETTERS = 20, 300
 
-def plain(data: bytes) -> str | None:
-    """Text in UTF-8, or in a BOM's encoding; None for binary data."""
-    for bom, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
-        if data.startswith(bom):
-            return data.decode(name)
-    if b"\0" in data[:8192]:
-        return None
-    try:
-        return data.decode("utf-8")
-    except UnicodeDecodeError:
-        return data.decode("cp1252", "replace")
+
+@dataclass(frozen=True)
+class Limits:
+    """What one file may unpack to. characters: of a text; None keeps it whole."""
+
+    members: int = 4096
+    member_bytes: int = 16 << 20
+    total_bytes: int = 256 << 20
+    ratio: float = 100.0
+    messages: int = 2000
+    characters: int | None = None
+
+
+@dataclass
+class Found:
+    """What a reader gets from a file. structure: headings, sheets or members by name. partial: something was left out."""
+
+    text: str | None = None
+    structure: list[str] = field(default_factory=list)
+    warnings: list[str] = field(default_factory=list)
+    partial: bool = False
+    truncated: bool = False
+
+
+Reader = Callable[[bytes, Limits], Found]
+
+
+def one_line(text: str, most: int = WARNING_LETTERS) -> str:
+    return re.sub(r"[\x00-\x1f\x7f]", " ", text).strip()[:most]
+
+
+def decoded(data: bytes) -> str:
+    """UTF-8, or UTF-16 where a mark says so; bad bytes are replaced, NUL goes."""
+    wide = data[:2] in (b"\xff\xfe", b"\xfe\xff")
+    return data.decode("utf-16" if wide else "utf-8-sig", "replace").replace("\0", "")
+
+
+def plain(data: bytes, limits: Limits) -> Found:
+    return Found(decoded(data))
+
+
+def markdown(data: bytes, limits: Limits) -> Found:
+    text = decoded(data)
+    return Found(text, [one_line(h) for h in re.findall(r"(?m)^#{1,6}[ \t]+(.+?)[ \t]*$", text)])
 
 
-def markup(data: bytes) -> str:
-    text = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", " ", plain(data) or "")
+def flattened(text: str) -> str:
+    text = re.sub(r"(?is)<(script|style|head|title)\b.*?</\1\s*>", " ", text)
     text = re.sub(r"(?i)</?(p|div|br|li|tr|h[1-6]|table|section)\b[^>]*>", "\n", text)
     return re.sub(r"\s*\n\s*", "\n", html.unescape(re.sub(r"<[^>]*>", "", text))).strip()
 
 
-def members(data: bytes, pattern: str) -> Iterator[bytes]:
-    """Members of an archive whose names match, in natural order, none beyond the bound."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = [i for i in z.infolist() if re.fullmatch(pattern, i.filename)]
-        for i in sorted(names, key=lambda i: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", i.filename)]):
-            if i.file_size > MOST_MEMBER:
-                raise ValueError(f"{i.filename} unpacks to {i.file_size} bytes")
-            yield z.read(i)
+def markup(data: bytes, limits: Limits) -> Found:
+    return Found(flattened(decoded(data)))
+
+
+# --- zip-based formats ---
+
+
+def refusal(member: zipfile.ZipInfo, limits: Limits) -> str | None:
+    """Why a member must not be read, by its header alone; None where it may."""
+    parts = member.filename.rstrip("/").split("/")
+    if "\0" in member.filename or re.match(r"/|[A-Za-z]:", member.filename) or {"", ".", ".."} & set(parts):
+        return f"unsafe name {member.filename!r}"
+    if member.file_size > limits.member_bytes:
+        return f"{member.filename} declares {member.file_size} bytes"
+    if limits.ratio and member.compress_size and member.file_size > limits.ratio * member.compress_size:
+        return f"{member.filename} unpacks to {member.file_size} bytes from {member.compress_size}"
+    return None
+
+
+class Package:
+    """A zip file whose members are checked before they are read, and bounded together."""
+
+    def __init__(self, data: bytes, limits: Limits) -> None:
+        self.zip, self.limits, self.left = zipfile.ZipFile(io.BytesIO(data)), limits, limits.total_bytes
+
+    def read(self, member: zipfile.ZipInfo) -> bytes:
+        """A member's bytes; the size that its header declares is not trusted."""
+        if why := refusal(member, self.limits):
+            raise ValueError(why)
+        most = min(self.limits.member_bytes, self.left)
+        with self.zip.open(member) as f:
+            data = f.read(most + 1)
+        if len(data) > most:
+            raise ValueError(f"{member.filename} unpacks to more than {most} bytes")
+        self.left -= len(data)
+        return data
+
+    def matching(self, pattern: str) -> list[zipfile.ZipInfo]:
+        """Members by name, numbers in their order."""
+        found = [m for m in self.zip.infolist() if re.fullmatch(pattern, m.filename)]
+        return sorted(found, key=lambda m: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", m.filename)])
+
+    def tree(self, member: zipfile.ZipInfo) -> ElementTree.Element:
+        data = self.read(member)
+        if re.search(rb"<!entity", data[: 1 << 16], re.IGNORECASE):
+            raise ValueError(f"{member.filename} declares entities")
+        return ElementTree.fromstring(data)
+
+
+def local(e: ElementTree.Element) -> str:
+    return e.tag.rpartition("}")[2]
+
+
+def attribute(e: ElementTree.Element, name: str) -> str:
+    return next((v for k, v in e.attrib.items() if k.rpartition("}")[2] == name), "")
+
+
+def inside(e: ElementTree.Element, name: str) -> list[ElementTree.Element]:
+    return [x for x in e.iter() if local(x) == name]
 
 
-def paragraphs(xml: bytes, unit: str = "p", run: str = "t") -> str:
-    """Runs of text joined within each unit, one unit a line."""
-    local = lambda e: e.tag.rpartition("}")[2]
-    lines = ("".join(t.text or "" for t in e.iter() if local(t) == run) for e in ElementTree.fromstring(xml).iter() if local(e) == unit)
-    return "\n".join(x for x in lines if x)
+def runs(e: ElementTree.Element, between: str = "") -> str:
+    return between.join(t.text or "" for t in inside(e, "t"))
 
 
-def of_office(pattern: str, unit: str = "p") -> Callable[[bytes], str]:
-    return lambda data: "\n".join(x for x in (paragraphs(m, unit) for m in members(data, pattern)) if x)
+def docx(data: bytes, limits: Limits) -> Found:
+    package, found = Package(data, limits), Found()
+    lines = []
+    for member in package.matching(r"word/document\.xml"):
+        for p in inside(package.tree(member), "p"):
+            if text := runs(p):
+                lines.append(text)
+                if any(attribute(s, "val").startswith("Heading") for s in inside(p, "pStyle")):
+                    found.structure.append(one_line(text))
+    for member in package.matching(r"docProps/core\.xml"):
+        found.structure[:0] = [one_line(t.text) for t in inside(package.tree(member), "title") if t.text and t.text.strip()][:1]
+    found.text = "\n".join(lines)
+    return found
 
 
-def mail(data: bytes) -> str:
-    """Subject, sender, recipients and the plain (or else marked up) body."""
-    m = email.message_from_bytes(data, policy=email.policy.default)
-    head = [str(m[h]) for h in ("subject", "from", "to") if m[h]]
-    body = m.get_body(("plain", "html"))
-    text = body.get_content() if body else ""
-    return "\n".join([*head, markup(text.encode()) if body and body.get_content_subtype() == "html" else text.strip()])
+def pptx(data: bytes, limits: Limits) -> Found:
+    package, found, slides = Package(data, limits), Found(), []
+    for member in package.matching(r"ppt/slides/slide\d+\.xml"):
+        texts = [t.text for t in inside(package.tree(member), "t") if t.text and t.text.strip()]
+        if texts:
+            slides.append(" ".join(texts))
+            found.structure.append(one_line(texts[0]))
+    found.text = "\n".join(slides)
+    return found
+
+
+def xlsx(data: bytes, limits: Limits) -> Found:
+    """Cells in order, one a line: shared and inline strings, and raw values."""
+    package, lines = Package(data, limits), []
+    shared = [runs(si) for m in package.matching(r"xl/sharedStrings\.xml") for si in inside(package.tree(m), "si")]
+    names = [one_line(attribute(s, "name")) for m in package.matching(r"xl/workbook\.xml") for s in inside(package.tree(m), "sheet")]
+    for member in package.matching(r"xl/worksheets/sheet\d+\.xml"):
+        for cell in inside(package.tree(member), "c"):
+            kind, value = attribute(cell, "t"), next((v.text or "" for v in inside(cell, "v")), "")
+            text = runs(cell) if kind == "inlineStr" else shared[int(value)] if kind == "s" and value else value
+            if text:
+                lines.append(text)
+    return Found("\n".join(lines), names)
+
+
+def odt(data: bytes, limits: Limits) -> Found:
+    package = Package(data, limits)
+    lines = ["".join(p.itertext()) for m in package.matching(r"content\.xml") for p in package.tree(m).iter() if local(p) in ("p", "h")]
+    return Found("\n".join(x for x in lines if x))
+
+
+def archive_members(data: bytes, limits: Limits) -> tuple[list[tuple[str, int, str]], Found]:
+    """(name, bytes, text) of an archive's text members, and what was left out: archives in archives, other formats, unsafe members."""
+    package, found, out, other, nested, refused = Package(data, limits), Found(), [], 0, 0, []
+    infos = package.zip.infolist()
+    if len(infos) > limits.members:
+        found.warnings.append(f"stopped at {limits.members} of {len(infos)} members")
+        found.truncated = True
+    for member in infos[: limits.members]:
+        suffix = member.filename.rpartition("/")[2].rpartition(".")[2].lower()
+        if member.is_dir():
+            continue
+        if why := refusal(member, limits):
+            refused.append(why)
+        elif suffix == "zip":
+            nested += 1
+        elif suffix not in PLAIN:
+            other += 1
+        else:
+            try:
+                body = package.read(member)
+            except (ValueError, OSError, zipfile.BadZipFile, NotImplementedError, RuntimeError) as e:
+                refused.append(f"{member.filename}: {e}")
+                continue
+            out.append((member.filename, len(body), decoded(body)))
+    found.warnings += [f"refused: {w}" for w in refused[:5]]
+    found.warnings += [f"{n} {what}" for n, what in ((nested, "archives not opened"), (other, "members of other formats"), (len(refused), "members refused")) if n]
+    found.partial, found.structure = bool(nested or other or refused), [one_line(n) for n, _, _ in out]
+    return out, found
+
+
+def archive(data: bytes, limits: Limits) -> Found:
+    """Text members one after the other, each below a line with its name."""
+    members, found = archive_members(data, limits)
+    found.text = "".join(f"\n=== {name} ({size} bytes) ===\n{text}" for name, size, text in members)
+    return found
+
+
+# --- mail ---
+
+
+def messages(raw: bytes) -> list[bytes]:
+    """The messages of a mail box: each starts with a line `From `; `>From ` in a body is unescaped."""
+    out = re.split(rb"(?m)^(?=From )", raw)
+    return [re.sub(rb"(?m)^>From ", b"From ", m) for m in out if m.strip()]
+
+
+def message(raw: bytes) -> Found:
+    """Subject, people and date, and the text bodies; attachments are counted, not read."""
+    envelope = re.match(rb"From (\S+)[^\n]*\n", raw)
+    m = email.message_from_bytes(raw[envelope.end() :] if envelope else raw, policy=email.policy.default)
+    found, bodies, attached, lost = Found(), [], 0, 0
+
+    def header(name: str) -> str:
+        try:
+            return one_line(str(m[name] or ""), 2000)
+        except Exception:  # a header of any content
+            return ""
+
+    subject, people = header("subject"), {h: header(h) for h in ("From", "To", "Cc", "Reply-To", "Date")}
+    if envelope and not people["From"]:
+        people["From"] = envelope[1].decode("ascii", "replace")
+    for part in m.walk():
+        kind = part.get_content_type()
+        if part.is_multipart():
+            continue
+        if part.get_content_disposition() == "attachment" or kind not in ("text/plain", "text/html"):
+            attached += 1
+            continue
+        try:
+            text = part.get_content()
+        except Exception:  # an unknown charset loses this part only
+            lost += 1
+            continue
+        bodies.append((flattened(text) if kind == "text/html" else text).strip())
+    found.text = "\n".join([*filter(None, [subject]), *(f"{k}: {v}" for k, v in people.items() if v), *filter(None, bodies)])
+    found.structure = [subject] if subject else []
+    found.warnings = [f"{n} {what}" for n, what in ((attached, "attachments not read"), (lost, "parts unreadable")) if n]
+    found.partial = bool(lost)
+    return found
+
+
+def mail(data: bytes, limits: Limits) -> Found:
+    return message(data)
+
+
+def mail_box(data: bytes, limits: Limits) -> Found:
+    every = messages(data)
+    found = Found(truncated=len(every) > limits.messages, warnings=[f"stopped at {limits.messages} of {len(every)} messages"] if len(every) > limits.messages else [])
+    texts = []
+    for raw in every[: limits.messages]:
+        one = message(raw)
+        texts.append(one.text or "")
+        found.structure += one.structure
+        found.warnings += one.warnings
+        found.partial |= one.partial
+    found.text = "\n\n".join(texts)
+    return found
 
 
 #: Format by extension; a caller may pass more.
-READERS: dict[str, Callable[[bytes], str | None]] = {
-    **dict.fromkeys(PLAIN, plain),
+READERS: dict[str, Reader] = {
+    **dict.fromkeys((*PLAIN, *MORE_PLAIN), plain),
+    **dict.fromkeys(("md", "markdown"), markdown),
     **dict.fromkeys(("html", "htm", "xhtml"), markup),
-    "docx": of_office(r"word/document\.xml"),
-    "pptx": of_office(r"ppt/slides/slide\d+\.xml"),
-    "xlsx": of_office(r"xl/sharedStrings\.xml", "si"),
-    "odt": of_office(r"content\.xml"),
-    "eml": mail,
+    **dict.fromkeys(("xlsx", "xlsm"), xlsx),
+    **dict.fromkeys(("eml", "email"), mail),
+    **dict.fromkeys(("mbox", "mbx"), mail_box),
+    "docx": docx,
+    "pptx": pptx,
+    "odt": odt,
+    "zip": archive,
 }
 
 
-def text_of(extension: str, data: bytes | None, readers: dict[str, Callable[[bytes], str | None]]) -> tuple[str | None, str]:
-    """(text, status): ok, empty, unsupported, too_large or failed."""
+def text_of(extension: str, data: bytes | None, why: str | None, readers: dict[str, Reader], limits: Limits) -> tuple[str, Found]:
+    """(status, what was found): ok, partial, truncated, empty, failed, unsupported, or why the file was not to be read."""
     reader = readers.get(extension)
-    if reader is None:
-        return None, "unsupported"
-    if data is None:
-        return None, "too_large"
+    if why or reader is None:
+        return why or "unsupported", Found()
     try:
-        text = reader(data)
-    except Exception:  # a file of any content is data, not a reason to stop the scan
-        return None, "failed"
-    return (text, "ok") if text else (None, "empty")
+        found = reader(data or b"", limits)
+    except Exception as e:  # a file of any content is data, not a reason to stop the scan
+        return "failed", Found(warnings=[f"{type(e).__name__}: {e}"])
+    if found.text and limits.characters is not None and len(found.text) > limits.characters:
+        found.text, found.truncated = found.text[: limits.characters], True
+    if not found.text or not found.text.strip():
+        found.text = None
+    return "truncated" if found.truncated else "empty" if found.text is None else "partial" if found.partial else "ok", found
 
 
-def extracted(raw: DataFrame, readers: dict[str, Callable[[bytes], str | None]] | None = None) -> DataFrame:
-    """Document rows from (path, modificationTime, length, content) rows."""
+ROWS = "path string, name string, suffix string, size long, modified_at timestamp, content string, status string, warnings array<string>, truncated boolean, structure array<string>"
+
+
+def extracted(raw: DataFrame, readers: dict[str, Reader] | None = None, limits: Limits = Limits(), read_if: Column | None = None) -> DataFrame:
+    """Document rows from (path, modificationTime, length, content) rows. read_if: whether a file's content may be read."""
     readers = READERS if readers is None else readers
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.lower(F.regexp_extract(name, "[.]([^.]+)$", 1))
-    rows = raw.select("path", name.alias("name"), suffix.alias("suffix"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), F.when(F.col("length") <= MOST_BYTES, F.col("content")).alias("data"))
+    why = F.when(F.lit(False) if read_if is None else ~read_if, "not_read").when(F.col("length") > MOST_BYTES, "too_large")
+    rows = raw.select("path", name.alias("name"), suffix.alias("suffix"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), F.when(why.isNull(), F.col("content")).alias("data"), why.alias("why"))
+    lists = pa.list_(pa.string())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [text_of(s, d, readers) for s, d in zip(b.column("suffix").to_pylist(), b.column("data").to_pylist(), strict=True)]
-            kept = b.drop_columns(["data"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([t for t, _ in found], pa.string()), pa.array([s for _, s in found], pa.string())], names=[*kept.schema.names, "content", "status"])
+            found = [text_of(s, d, w, readers, limits) for s, d, w in zip(*(b.column(c).to_pylist() for c in ("suffix", "data", "why")), strict=True)]
+            kept = b.drop_columns(["data", "why"])
+            new = {
+                "content": pa.array([f.text for _, f in found], pa.string()),
+                "status": pa.array([s for s, _ in found], pa.string()),
+                "warnings": pa.array([[one_line(w) for w in f.warnings[:MOST_WARNINGS]] for _, f in found], lists),
+                "truncated": pa.array([f.truncated for _, f in found], pa.bool_()),
+                "structure": pa.array([f.structure for _, f in found], lists),
+            }
+            yield pa.RecordBatch.from_arrays([*kept.columns, *new.values()], names=[*kept.schema.names, *new])
 
-    out = rows.mapInArrow(read, "path string, name string, suffix string, size long, modified_at timestamp, content string, status string")
+    out = rows.mapInArrow(read, ROWS)
     extension = F.when(F.col("suffix") != "", F.concat(F.lit("."), "suffix")).otherwise("")
-    return out.select("path", "name", extension.alias("extension"), "size", "modified_at", "content", "status", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"))
+    return out.select("path", "name", extension.alias("extension"), "size", "modified_at", "content", "status", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"), "warnings", "truncated", "structure")
+
+
+def parts(raw: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(path, part, name, content): a row for each text member of the archives and each message of the mail boxes among raw rows."""
+    schema = pa.schema([("path", pa.string()), ("part", pa.int32()), ("name", pa.string()), ("content", pa.string())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                try:
+                    if path.lower().endswith(".zip"):
+                        found = [(n, t) for n, _, t in archive_members(data, limits)[0]]
+                    else:
+                        found = [((m.structure or [None])[0], m.text) for m in map(message, messages(data)[: limits.messages])]
+                except Exception:  # a broken file has no parts; `extracted` gives its status
+                    found = []
+                for k in range(0, len(found), 256):
+                    some = found[k : k + 256]
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(some)), pa.array(range(k, k + len(some)), pa.int32()), pa.array([n for n, _ in some], pa.string()), pa.array([t for _, t in some], pa.string())], schema=schema)
+
+    kinds = F.lower("path").rlike("[.](zip|mbox|mbx)$") & (F.col("length") <= MOST_BYTES)
+    return raw.where(kinds).select("path", "content").mapInArrow(each, "path string, part int, name string, content string")
+
+
+def listing(spark: SparkSession, root: str, pattern: str = "*", source: str = "local") -> DataFrame:
+    """(source, path, size, modified_at) of every file under root; contents are not read."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    return raw.select(F.lit(source).alias("source"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
 
 
-def scan(spark: SparkSession, root: str, pattern: str = "*", readers: dict[str, Callable[[bytes], str | None]] | None = None) -> DataFrame:
-    """(path, name, extension, size, modified_at, content, status, content_hash) of every file under root."""
+def scan(spark: SparkSession, root: str, pattern: str = "*", readers: dict[str, Reader] | None = None, ignore: Ignore | None = None, source: str = "local", limits: Limits = Limits()) -> DataFrame:
+    """Document rows of every file under root that the rules don't skip."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return extracted(raw, readers)
+    if ignore is not None:
+        raw = raw.where(~ignore.column("path", within(root)))
+    return extracted(raw, readers, limits).withColumn("source", F.lit(source))
+
+
+def within(root: str) -> str:
+    """A root as the file source writes it in paths: with a scheme."""
+    return root if "://" in root or root.startswith("file:") else f"file:{root}"

@@ -1,61 +1,143 @@
-"""Ingestion as a Structured Streaming job: new and changed files arrive in micro-batches and are merged into the stored table.
+"""Ingestion as a Structured Streaming job, and passes that keep the stored table in step with a tree.
 
-Each batch writes a new version of the table beside the old one and then names it in `_versions`, so that a batch that is
-run again after a lost driver gives the same table. Files vanish only by a complete pass, which compares the whole
-folder with the table; a pass that may have missed files never deletes.
+The stream takes in files as they arrive. The file source remembers paths, so it does not see that a known file has changed: a
+pass compares a listing with the table, by metadata alone, reads what is new or changed, and drops what has vanished
+below its own root; rows of other roots stay. A pass that may have missed files deletes nothing.
+
+The table is dealt into buckets by a hash of the path. A batch rewrites only the buckets that it touches, each into a new folder, and then names
+these in `_versions` by one file, so that a batch that is run again after a lost driver gives the same table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+from itertools import islice
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkwell.operators import ingest
 from inkwell.sources import files
+from inkwell.sources.rules import Ignore
 
 RAW = "path string, modificationTime timestamp, length long, content binary"
-STORED = "path string, name string, extension string, size long, modified_at timestamp, content string, status string, content_hash string"
+STORED = "path string, name string, extension string, size long, modified_at timestamp, content string, status string, content_hash string, warnings array<string>, truncated boolean, structure array<string>"
+VERSIONS = "n long, bucket int, name string"
+#: Parts of the table that are rewritten apart.
+BUCKETS = 64
+
 
+def bucket_of(path: str = "path") -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
 
-def versions(spark: SparkSession, state: str) -> list[str]:
-    """Names of the table's versions, oldest first."""
+
+def log(spark: SparkSession, state: str) -> DataFrame:
+    """(n, bucket, name): the folder that batch n gave a bucket."""
     try:
-        return [r.name for r in spark.read.schema("n long, name string").json(f"{state}/_versions").orderBy("n").collect()]
+        return spark.read.schema(VERSIONS).json(f"{state}/_versions")
     except Exception as e:  # the reader names a missing path by an error class
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return []
+        return spark.createDataFrame([], VERSIONS)
+
+
+def current(spark: SparkSession, state: str, buckets: list[int] | None = None) -> DataFrame:
+    """The stored table, or some buckets of it; empty before the first batch."""
+    newest = log(spark, state).groupBy("bucket").agg(F.max_by("name", "n").alias("name")).collect()  # BUCKETS rows at most
+    paths = [f"{state}/{r.name}/bucket={r.bucket}" for r in newest if buckets is None or r.bucket in buckets]
+    return spark.read.schema(STORED).parquet(*sorted(paths)) if paths else spark.createDataFrame([], STORED)
+
+
+def put(spark: SparkSession, state: str, fresh: DataFrame | None = None, gone: DataFrame | None = None) -> None:
+    """Put fresh rows in place of stored ones of their paths, and drop the paths of gone: one batch, in the buckets that it touches."""
+    changed = [d.select("path") for d in (fresh, gone) if d is not None]
+    paths = changed[0] if len(changed) == 1 else changed[0].unionByName(changed[1])
+    touched = sorted(r[0] for r in paths.select(bucket_of()).distinct().collect())  # BUCKETS numbers at most
+    if not touched:
+        return
+    table = current(spark, state, touched).join(paths.distinct(), "path", "left_anti")
+    if fresh is not None:
+        table = table.unionByName(fresh.select(*table.columns))
+    n = (log(spark, state).agg(F.max("n")).first()[0] or 0) + 1
+    table.withColumn("bucket", bucket_of()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{state}/v{n}")
+    left = {r[0] for r in spark.read.schema("bucket int").parquet(f"{state}/v{n}").select("bucket").distinct().collect()}
+    for b in set(touched) - left:  # a bucket that has lost its last row
+        spark.createDataFrame([], STORED).coalesce(1).write.mode("overwrite").parquet(f"{state}/v{n}/bucket={b}")
+    spark.createDataFrame([(n, b, f"v{n}") for b in touched], VERSIONS).coalesce(1).write.mode("append").json(f"{state}/_versions")
 
 
-def current(spark: SparkSession, state: str) -> DataFrame:
-    """The stored table; empty before the first batch."""
-    names = versions(spark, state)
-    return spark.read.schema(STORED).parquet(f"{state}/{names[-1]}") if names else spark.createDataFrame([], STORED)
+def merge(batch: DataFrame, state: str) -> None:
+    """Rows of a batch of raw files take the place of stored ones with their path; of several the newest counts."""
+    newest = Window.partitionBy("path").orderBy(F.desc("modified_at"), F.desc("size"), "content_hash")
+    read = files.extracted(batch).withColumn("r", F.row_number().over(newest)).where("r = 1").drop("r")
+    put(batch.sparkSession, state, fresh=read)
 
 
-def put(table: DataFrame, state: str) -> None:
-    spark = table.sparkSession
-    n = len(versions(spark, state))
-    table.write.mode("overwrite").parquet(f"{state}/v{n}")
-    spark.createDataFrame([(n, f"v{n}")], "n long, name string").coalesce(1).write.mode("append").json(f"{state}/_versions")
+def arrivals(spark: SparkSession, root: str, state: str, checkpoint: str, files_per_batch: int = 10_000, every: str | None = None):
+    """Start the stream of files that arrive under root: until all are taken in, or, with `every` (such as "1 second"), on and on."""
+    stream = spark.readStream.format("binaryFile").schema(RAW).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(root)
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.foreachBatch(lambda batch, _: merge(batch, state)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def merge(batch: DataFrame, state: str) -> None:
-    """Rows of the batch take the place of stored ones with their path; of several the newest counts."""
-    newest = Window.partitionBy("path").orderBy(F.desc("modified_at"), F.desc("size"), "content_hash")
-    fresh = files.extracted(batch).withColumn("r", F.row_number().over(newest)).where("r = 1").drop("r")
-    put(current(batch.sparkSession, state).join(fresh.select("path"), "path", "left_anti").unionByName(fresh), state)
+def compared(spark: SparkSession, root: str, state: str, ignore: Ignore | None = None) -> DataFrame:
+    """The listing under root with action: created, updated, unchanged or ignored; stored paths below root that it lacks are deleted. Contents are not read."""
+    there = files.listing(spark, root).drop("source")
+    mine = current(spark, state).where(ingest.below(F.col("path"), F.lit(files.within(root)))).select("path", F.col("size").alias("o_size"), F.col("modified_at").alias("o_at"), F.lit(True).alias("known"))
+    skipped = ignore.column("path", files.within(root)) if ignore else F.lit(False)
+    same = (F.col("size") == F.col("o_size")) & (F.col("modified_at") == F.col("o_at"))
+    action = F.when(F.col("seen").isNull() | (skipped & F.col("known").isNotNull()), "deleted").when(skipped, "ignored").when(F.col("known").isNull(), "created").when(same, "unchanged").otherwise("updated")
+    return there.withColumn("seen", F.lit(True)).join(mine, "path", "full").select("path", action.alias("action"))
 
 
-def remove_vanished(spark: SparkSession, root: str, state: str) -> None:
-    """Drop stored rows under root whose file is gone."""
-    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    put(current(spark, state).join(there, "path", "left_semi"), state)
+def chunks(rows: Iterator, size: int) -> Iterator[list[str]]:
+    """Paths, some at a time: the driver lists a tree in any case, and holds no more of it here than a batch."""
+    while some := [r.path for r in islice(rows, size)]:
+        yield some
 
 
-def run_once(spark: SparkSession, root: str, state: str, checkpoint: str, complete: bool = False, files_per_batch: int = 10_000) -> None:
-    """Take in what has arrived under root since the last run; complete: then drop what has vanished."""
-    stream = spark.readStream.format("binaryFile").schema(RAW).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(root)
-    query = stream.writeStream.foreachBatch(lambda batch, _: merge(batch, state)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    if complete:
-        remove_vanished(spark, root, state)
+def reconcile(spark: SparkSession, root: str, state: str, complete: bool = True, files_per_batch: int = 10_000, ignore: Ignore | None = None) -> DataFrame:
+    """One pass over a root; gives its counters (action, n). complete: the listing is whole, so what it lacks has vanished."""
+    before = current(spark, state).select("path", F.col("content_hash").alias("o_hash"))
+    actions = compared(spark, root, state, ignore).persist()
+    try:
+        wanted = actions.where("action in ('created', 'updated')")
+        count = actions.groupBy("action").agg(F.count(F.lit(1)).alias("n")).where("action != 'updated'" + ("" if complete else " and action != 'deleted'"))
+        out = {r.action: r.n for r in count.collect()}
+        updated = touched = failed = 0
+        for paths in chunks(wanted.orderBy("path").toLocalIterator(), files_per_batch):
+            known = spark.createDataFrame([(p,) for p in paths], "path string").join(wanted, "path")
+            merge(spark.read.format("binaryFile").load([escaped(p) for p in paths]), state)
+            read = current(spark, state).join(known, "path").join(before, "path", "left")
+            same = (F.col("action") == "updated") & F.col("content_hash").eqNullSafe(F.col("o_hash"))
+            u, t, f = read.agg(F.count_if((F.col("action") == "updated") & ~same), F.count_if(same), F.count_if(F.col("status") == "failed")).first()
+            updated, touched, failed = updated + u, touched + t, failed + f
+        gone = actions.where("action = 'deleted'")
+        if complete and out.get("deleted"):
+            put(spark, state, gone=gone)
+    finally:
+        actions.unpersist()
+    out |= {"updated": updated, "unchanged": out.get("unchanged", 0) + touched, "extraction_errors": failed}
+    return spark.createDataFrame([(a, n) for a, n in sorted(out.items()) if n], "action string, n long")
+
+
+def escaped(path: str) -> str:
+    """A path as the reader takes it literally: it reads wildcards otherwise."""
+    return "".join("\\" + c if c in "*?[]{}\\" else c for c in path)
+
+
+def passes(spark: SparkSession, roots: list[str], state: str, ignore: Ignore | None = None) -> DataFrame:
+    """(root, action, n, error): a complete pass over each root; one that fails has its error as its only row, deletes nothing and stops no other."""
+    rows = []
+    for root in roots:
+        try:
+            rows += [(root, r.action, r.n, None) for r in reconcile(spark, root, state, ignore=ignore).collect()]
+        except Exception as e:  # a root that is not there
+            rows.append((root, "error", 1, files.one_line(str(e))))
+    return spark.createDataFrame(rows, "root string, action string, n long, error string")
+
+
+def run_once(spark: SparkSession, root: str, state: str, checkpoint: str, complete: bool = False, files_per_batch: int = 10_000, ignore: Ignore | None = None) -> DataFrame:
+    """Take in what has arrived under root since the last run, then what has changed; complete: then drop what has vanished. Gives the pass's counters."""
+    arrivals(spark, root, state, checkpoint, files_per_batch).awaitTermination()
+    return reconcile(spark, root, state, complete, files_per_batch, ignore)
