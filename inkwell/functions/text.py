@@ -114,6 +114,11 @@ def normal_query(x: Column) -> Column:
     return F.trim(F.regexp_replace(casefold(text_of(x)), "\\s+", " "))
 
 
+def from_json_or(x: Column, ddl: str, default: Column) -> Column:
+    """A JSON column read by a schema; null, torn or other JSON gives the default."""
+    return F.coalesce(F.from_json(x, ddl), default)
+
+
 def edit_budget(token: Column) -> Column:
     """Edits that a token may be off: none below 4 letters, one below 8, else two."""
     return F.when(F.length(token) < 4, 0).when(F.length(token) < 8, 1).otherwise(2)

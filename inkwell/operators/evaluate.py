@@ -46,6 +46,13 @@ def zero_results(queries: DataFrame, results: DataFrame) -> DataFrame:
     return got.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("got").isNull() == F.col("expects_none"), 1.0).otherwise(0.0)).alias("accuracy"))
 
 
+def exact_matches(results: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(n, accuracy, failures): of queries (query, doc_id) that name one document, those whose first result it is, and the others by name."""
+    first = results.where("rank = 1").select("query", F.col("doc_id").alias("first"))
+    got = wanted.join(first, "query", "left").withColumn("right", F.coalesce(F.col("first") == F.col("doc_id"), F.lit(False)))
+    return got.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("right").cast("double")).alias("accuracy"), F.sort_array(F.collect_list(F.when(~F.col("right"), F.col("query")))).alias("failures"))
+
+
 def filter_accuracy(results: DataFrame, holds: dict[str, Column]) -> DataFrame:
     """(query, n, accuracy): share of each query's results that satisfy its filter."""
     first, *rest = holds.items()

@@ -155,6 +155,24 @@ def related(edges: DataFrame, docs: DataFrame, doc_id: int, limit: int = 10) ->
     return around.join(docs.select("doc_id", "path"), "doc_id", "left").select("doc_id", F.coalesce("path", F.lit("")).alias("path"), "weight", "edge_type").orderBy(F.desc("weight"), "path", "doc_id").limit(limit)
 
 
+def repaired(edges: DataFrame, docs: DataFrame, changed: DataFrame) -> DataFrame:
+    """The edges after the documents of changed (doc_id) were added, altered or removed.
+
+    Edges between other documents stay. Changed documents are compared anew with their bounded neighbourhood: their former
+    neighbours and what shares a bounded posting with them. Where very many have changed all is built anew.
+    """
+    _, many = affected(edges, changed)
+    if many:
+        return build(docs)
+    made = nodes(docs)
+    pairs = candidates(made, mentions(docs, made))
+    ids = changed.select("doc_id").distinct()
+    touch = lambda e, c, how: e.join(ids.select(F.col("doc_id").alias(c)), c, how)
+    mine = touch(pairs, "a", "left_semi").unionByName(touch(touch(pairs, "a", "left_anti"), "b", "left_semi"))
+    kept = touch(touch(edges, "a", "left_anti"), "b", "left_anti")
+    return pruned(kept.unionByName(scored(made, mine).select(*kept.columns)))
+
+
 def affected(edges: DataFrame, changed: DataFrame, most: int = CANDIDATES + 2) -> tuple[DataFrame, bool]:
     """(doc_id): changed documents and their neighbours, and whether there are so many that a full rebuild is due."""
     around = edges.join(changed.select(F.col("doc_id").alias("a")), "a", "left_semi").select(F.col("b").alias("doc_id")).unionByName(edges.join(changed.select(F.col("doc_id").alias("b")), "b", "left_semi").select(F.col("a").alias("doc_id")))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkwell.operators import ingest
+from inkwell.operators import ingest, organize
 
 
 def missing(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -24,10 +26,42 @@ def counted(docs: DataFrame, by: str) -> DataFrame:
 
 
 def by_root(docs: DataFrame, roots: DataFrame, stale_before: str) -> DataFrame:
-    """(root, documents, bytes, stale, by_type): each root's documents; nested ones count for the inner root."""
+    """(root, documents, bytes, stale, by_type, by_source): each root's documents; nested ones count for the inner root. The maps have a key for each kind."""
     held = ingest.owners(docs, roots).where(F.col("root").isNotNull())
-    types = held.groupBy("root", "extension").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.count_if(F.col("modified_at") < F.lit(stale_before).cast("timestamp")).alias("stale"))
-    return types.groupBy("root").agg(F.sum("n").alias("documents"), F.sum("bytes").alias("bytes"), F.sum("stale").alias("stale"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("extension", "n")))).alias("by_type"))
+    cells = held.groupBy("root", "extension", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.count_if(F.col("modified_at") < F.lit(stale_before).cast("timestamp")).alias("stale"))
+    out = cells.groupBy("root").agg(F.sum("n").alias("documents"), F.sum("bytes").alias("bytes"), F.sum("stale").alias("stale"))
+    for name, key in (("by_type", "extension"), ("by_source", "source")):
+        kinds = cells.groupBy("root", F.coalesce(key, F.lit("")).alias("k")).agg(F.sum("n").alias("n")).groupBy("root").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias(name))
+        out = out.join(kinds, "root")
+    return out
+
+
+def unhashed(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id) of documents that have a text but no content hash."""
+    return docs.join(texts, "doc_id").where(F.col("content_hash").isNull() & (F.col("content") != "")).select("doc_id")
+
+
+def orphan_page(rows: DataFrame, docs: DataFrame, after: object | None = None, size: int = 128) -> DataFrame:
+    """(doc_id, name, path): the next page, by id, of ids among rows that no document has; for work through all of them page by page."""
+    named = rows.groupBy("doc_id").agg(F.max("name").alias("name"), F.max("path").alias("path"))
+    return organize.page_after(named.join(docs.select("doc_id"), "doc_id", "left_anti"), "doc_id", after, size)
+
+
+def keys_with(table: DataFrame, prefix: str, key: str = "key") -> DataFrame:
+    """Rows whose key starts with the prefix, which a scan can prune by; what follows it as `rest`."""
+    return table.where(F.startswith(key, F.lit(prefix))).withColumn("rest", F.substring(key, len(prefix) + 1, 1 << 30))
+
+
+def load_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A log of JSON objects, one a line; torn lines and what is no object are skipped."""
+    torn = "_torn"
+    rows = spark.read.schema(f"{schema}, {torn} string").option("columnNameOfCorruptRecord", torn).json(path)
+    named = [f.name for f in rows.schema if f.name != torn]
+    return rows.where(F.col(torn).isNull() & reduce(Column.__or__, (F.col(c).isNotNull() for c in named))).drop(torn)
+
+
+def append_records(records: DataFrame, path: str) -> None:
+    records.write.mode("append").json(path)
 
 
 def uniform(rows: DataFrame, column: str) -> DataFrame:
@@ -64,10 +98,10 @@ def compacted(records: DataFrame, keep: int = 200) -> DataFrame:
 def percentiles(values: DataFrame, by: str, value: str, fractions: tuple[float, ...]) -> DataFrame:
     """(by, p_...) without interpolation: the value at place floor(f * (n - 1)) in order.
 
-    Ranks come from a window that streams over a key's sorted rows, so no key's values are held at once.
+    Equal values are counted before anything meets; a window then runs over a key's distinct values with the rows up to each.
     """
-    order = Window.partitionBy(by).orderBy(value)
-    sizes = values.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = values.withColumn("_r", F.row_number().over(order) - 1).join(sizes, by)
+    counted = values.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_m"))
+    sizes = counted.groupBy(by).agg(F.sum("_m").alias("_n"))
+    upto = counted.withColumn("_end", F.sum("_m").over(Window.partitionBy(by).orderBy(value))).join(sizes, by)
     at = lambda f: F.least(F.col("_n") - 1, F.floor(F.lit(f) * (F.col("_n") - 1)))
-    return ranked.groupBy(by).agg(*(F.max(F.when(F.col("_r") == at(f), F.col(value))).alias(f"p{round(f * 100)}") for f in fractions))
+    return upto.groupBy(by).agg(*(F.min(F.when(F.col("_end") > at(f), F.col(value))).alias(f"p{round(f * 100)}") for f in fractions))

@@ -86,6 +86,31 @@ def owners(docs: DataFrame, roots: DataFrame) -> DataFrame:
     return docs.join(held, "doc_id", "left")
 
 
+def without_root(docs: DataFrame, roots: DataFrame, root: str) -> DataFrame:
+    """docs without what a root owns: rows of a nested root, and of none, stay."""
+    owned = owners(docs, roots).where(F.col("root") == root.rstrip("/")).select("doc_id")
+    return docs.join(owned, "doc_id", "left_anti")
+
+
+def forgotten_batch(docs: DataFrame, references: list[str], confirmed: bool = False, most: int = 50) -> DataFrame:
+    """(reference, doc_id): what each reference, a path or a name, stands for; one that stands for nothing has null. A batch must be confirmed and is bounded."""
+    if not confirmed:
+        raise ValueError("forgetting a batch must be confirmed")
+    if len(references) > most:
+        raise ValueError(f"{len(references)} references; a batch takes {most}")
+    asked = docs.sparkSession.createDataFrame([(r,) for r in dict.fromkeys(references)], "reference string")
+    by_path = asked.join(docs.select(F.col("path").alias("reference"), "doc_id"), "reference")
+    by_name = asked.join(by_path, "reference", "left_anti").join(docs.select(F.col("name").alias("reference"), "doc_id", "path"), "reference").groupBy("reference").agg(F.min(F.struct("path", "doc_id")).alias("m")).select("reference", "m.doc_id")
+    return asked.join(by_path.unionByName(by_name), "reference", "left")
+
+
+def diagnosed(stored: DataFrame, read: DataFrame) -> DataFrame:
+    """stored diagnostics (doc_id, status, warnings, truncated, size) with those of rows just read in place of older ones; warnings are bounded."""
+    bounded = F.transform(F.slice("warnings", 1, 20), lambda w: F.substring(F.trim(F.regexp_replace(w, "[\\x00-\\x1f\\x7f]", " ")), 1, 300))
+    fresh = read.withColumn("warnings", bounded).select(*stored.columns)
+    return stored.join(fresh.select("doc_id"), "doc_id", "left_anti").unionByName(fresh)
+
+
 def latest(records: DataFrame, by: list[str], order: str) -> DataFrame:
     """The newest record of each key."""
     return records.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order)))).where("_n = 1").drop("_n")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
@@ -142,6 +142,31 @@ def analysis(docs: DataFrame) -> DataFrame:
     return structure(docs).join(language_by_rows(docs), "doc_id").join(by_doc, "doc_id", "left").join(paired, "doc_id", "left").join(size, "doc_id")
 
 
+def normal_word(text: Column) -> Column:
+    """Words as they compare: compatible forms composed, case folded, joined by one space."""
+    return F.array_join(T.tok_rank(text), " ")
+
+
+def terms_of_text(spark: SparkSession, text: str, most: int = MOST_TERMS) -> list[str]:
+    """The top terms of a free text, to be compared with documents' terms."""
+    return [r.term for r in top_terms(spark.createDataFrame([(0, text)], "doc_id long, content string"), most).orderBy(F.desc("n"), "term").collect()]
+
+
+def resolved(analysed: DataFrame, docs: DataFrame, reference: str) -> DataFrame:
+    """The analysis that a reference stands for: of its path, else of the first path with its name, else of its id; no row if none."""
+    name = reference.rpartition("/")[2]
+    rank = F.when(F.col("path") == reference, 0).when(F.col("name") == name, 1).when(F.col("doc_id").cast("string") == reference, 2)
+    return analysed.join(docs.select("doc_id", "path", "name"), "doc_id").withColumn("rank", rank).where("rank is not null").orderBy("rank", "path").limit(1).drop("rank", "path", "name")
+
+
+def refreshed(docs: DataFrame, analysed: DataFrame, version: int) -> DataFrame:
+    """The stored analysis after a pass: rows of documents that are gone are dropped, and what is missing, changed or of another version is analysed anew."""
+    due = stale(docs, analysed, version)
+    fresh = analysis(due).join(due.select("doc_id", "content_hash"), "doc_id").withColumn("version", F.lit(version))
+    kept = analysed.join(docs.select("doc_id"), "doc_id", "left_semi").join(due.select("doc_id"), "doc_id", "left_anti")
+    return kept.unionByName(fresh.select(*kept.columns))
+
+
 def stale(docs: DataFrame, analysed: DataFrame, version: int) -> DataFrame:
     """Documents whose analysis is missing, of another version or of other content: (doc_id, content_hash, version) is compared."""
     return docs.join(analysed.select("doc_id", F.col("content_hash").alias("h"), F.col("version").alias("v")), "doc_id", "left").where(F.col("v").isNull() | (F.col("v") != version) | ~F.col("h").eqNullSafe(F.col("content_hash"))).drop("h", "v")

@@ -47,10 +47,21 @@ def index_of(docs: DataFrame) -> Index:
 
 
 def stored(docs: DataFrame, path: str) -> Index:
-    """Write the index under path, postings dealt and sorted by token, and read it."""
+    """Write the index under path, and read it.
+
+    Postings are dealt and sorted by token and then by document, so that the commonest token fills many files and a query's tokens
+    prune row groups. A document's length is counted from its postings, so its text is read once.
+    """
+    postings(docs).repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    kept = docs.sparkSession.read.parquet(f"{path}/postings")
+    counted = docs.select("doc_id").join(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens")), "doc_id", "left").fillna(0, ["n_tokens"])
+    counted.write.mode("overwrite").parquet(f"{path}/lengths")
+    return opened(docs, path)
+
+
+def opened(docs: DataFrame, path: str) -> Index:
+    """An index that was stored under path."""
     spark = docs.sparkSession
-    postings(docs).repartition("token").sortWithinPartitions("token", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    lengths(docs).write.mode("overwrite").parquet(f"{path}/lengths")
     return Index(docs, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
 
 
@@ -87,18 +98,20 @@ def matches(index: Index, plans: dict[str, Plan], docs: DataFrame | None = None)
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg")))
     rated = found.join(index.lengths, "doc_id").join(F.broadcast(weights), ["query", "phrase"])
     rows = rated.groupBy("query", "doc_id").agg((-F.sum(part)).alias("bm25"), F.collect_set("phrase").alias("has"))
-    conditions = {q: plan.condition(lambda i: F.array_contains("has", i)) for q, plan in plans.items()}
-    match = reduce(lambda c, q: c.when(F.col("query") == q, conditions[q]), list(conditions)[1:], F.when(F.col("query") == next(iter(conditions)), conditions[next(iter(conditions))]))
-    out = rows.where(match).drop("has")
-    filters = {q: filters_column(plan.filters) for q, plan in plans.items() if plan.filters}
-    if filters or docs is not None:
+    # Queries of one shape have one condition: a phrase is named by its place in its query.
+    shapes = {repr((p.match, p.exclude)): p.condition(lambda i: F.array_contains("has", i)) for p in plans.values()}
+    filters = {repr(p.filters): filters_column(p.filters) for p in plans.values()}
+    place = {k: i for group in (shapes, filters) for i, k in enumerate(group)}
+    kinds = spark.createDataFrame([(q, place[repr((p.match, p.exclude))], place[repr(p.filters)]) for q, p in plans.items()], "query string, shape int, kept_by int")
+    pick = lambda column, tests: reduce(lambda c, x: c.when(F.col(column) == place[x[0]], x[1]), list(tests.items())[1:], F.when(F.col(column) == 0, next(iter(tests.values()))))
+    out = rows.join(F.broadcast(kinds), "query").where(pick("shape", shapes)).drop("has", "shape")  # one row for each query of the batch
+    filtered = any(p.filters for p in plans.values())
+    if filtered or docs is not None:
         allowed = docs if docs is not None else index.docs
         out = out.join(allowed.select("doc_id", "extension", "source", "size", "modified_at"), "doc_id")
-        if filters:
-            held = reduce(lambda c, q: c.when(F.col("query") == q, filters[q]), list(filters)[1:], F.when(F.col("query") == next(iter(filters)), filters[next(iter(filters))])).otherwise(True)
-            out = out.where(held)
-        out = out.select("query", "doc_id", "bm25")
-    return out
+        if filtered:
+            out = out.where(pick("kept_by", filters))
+    return out.select("query", "doc_id", "bm25")
 
 
 def pool(index: Index, plans: dict[str, Plan], limit: int = 20, size: int | None = None, docs: DataFrame | None = None) -> DataFrame:
@@ -107,8 +120,7 @@ def pool(index: Index, plans: dict[str, Plan], limit: int = 20, size: int | None
     ranked = matches(index, plans, docs).join(index.docs.select("doc_id", "path"), "doc_id")
     best = Window.partitionBy("query").orderBy("bm25", "path")
     cut = ranked.withColumn("n", F.row_number().over(best)).where(F.col("n") <= size).select("query", "doc_id", "bm25")
-    # At most `size` rows for each query of a bounded batch.
-    return index.docs.join(F.broadcast(cut), "doc_id")
+    return index.docs.join(cut, "doc_id")
 
 
 def best_of_any(index: Index, queries: DataFrame) -> DataFrame:

@@ -41,6 +41,13 @@ def grouped(results: DataFrame, by: str) -> DataFrame:
     return results.groupBy(group_key(by).alias("group_key")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total_size")).orderBy("group_key")
 
 
+def count_invariants(results: DataFrame, groups: DataFrame) -> DataFrame:
+    """(n_results, n_grouped, kept): whether grouping, as (group_key, n), lost no result and invented none."""
+    n = results.agg(F.count(F.lit(1)).alias("n_results"))
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_grouped"))
+    return n.crossJoin(F.broadcast(total)).withColumn("kept", F.col("n_results") == F.col("n_grouped"))
+
+
 def group_members(page: DataFrame, by: str) -> DataFrame:
     """(group_key, members): names of a page of results, in their order."""
     return page.groupBy(group_key(by).alias("group_key")).agg(F.sort_array(F.collect_list(F.struct("path", "name"))).alias("m")).select("group_key", F.col("m.name").alias("members"))

@@ -38,16 +38,23 @@ class Engine:
             found = lexical.filter_only(docs, plan, limit) if plan.filters and plan.exclude is None else docs.limit(0)
             return self.shown(found.withColumn("score", F.lit(0.0)), [], "filter")
         page = self.ranked(query, plan, limit, pool)
-        if plan.filters or (self.semantic is None and self.prints is None) or not page.isEmpty():
+        if plan.filters or (self.semantic is None and self.prints is None):
+            return page
+        page = self.held(page)
+        if not page.isEmpty():
             return page
         if self.semantic is not None:
             # At most `limit` rows.
             alike = docs.join(F.broadcast(semantic.search(self.semantic, query, limit).withColumnRenamed("similarity", "score")), "doc_id")
-            alike = self.shown(alike, plan.terms, "semantic").orderBy(F.desc("score"), "doc_id")
+            alike = self.held(self.shown(alike, plan.terms, "semantic").orderBy(F.desc("score"), "doc_id"))
             if self.prints is None or not alike.isEmpty():
                 return alike
         return self.shown(fuzzy.search(docs, self.prints, query, limit), plan.terms, "fuzzy").orderBy(F.desc("score"), F.lower("name"), "path")
 
+    def held(self, page: DataFrame) -> DataFrame:
+        """A page's rows, so that they are found once."""
+        return page.sparkSession.createDataFrame(page.collect(), page.schema)
+
     def widened(self, plan: language.Plan) -> language.Plan:
         """The plan that also finds the context's related words; they don't rank."""
         extra = self.context.expansions(plan.terms) if self.context else []

@@ -56,8 +56,8 @@ def index_of(docs: DataFrame, n: int = N, most: int = MOST_GRAMS) -> SemanticInd
     kept = kept_grams(docs, n, most)
     frequency = kept.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     n_docs = docs.agg(F.count(F.lit(1)).alias("N"))
-    # One window over the grams gives df without a second shuffle of the rows.
-    weighed = kept.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("gram"))).crossJoin(F.broadcast(n_docs))
+    # Counts are summed before they meet the rows, so that a gram of every document fills no task of its own.
+    weighed = kept.join(frequency, "gram").crossJoin(F.broadcast(n_docs))
     weights = weighed.select("doc_id", "gram", ((1 + F.log("tf")) * idf(F.col("N"), F.col("df"))).alias("weight"))
     norms = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     return SemanticIndex(weights, norms, frequency, content_words(docs), n_docs)

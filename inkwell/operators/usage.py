@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
@@ -17,6 +18,8 @@ LEAST, FULL = 2.0, 4.0
 UNKNOWN_AGE = 10_000.0
 #: Parts of a context's boost.
 ROOT, SUBJECT, TYPE, SOURCE, RECENT = 0.5, 0.25, 0.15, 0.10, 0.10
+#: Letters of a query that an event keeps.
+MOST_QUERY = 200
 
 
 def age_days(opened: Column, now: str) -> Column:
@@ -51,6 +54,58 @@ def effects(events: DataFrame, docs: DataFrame, now: str) -> DataFrame:
     return named.select("doc_id", "query", F.coalesce("name", F.col("doc_id").cast("string")).alias("name"), "events", "effective", "boost").orderBy(F.desc("boost"), F.desc("effective"), "doc_id", "query")
 
 
+def opened(spark: SparkSession, rows: list[tuple[int, int, str]], at: str) -> DataFrame:
+    """(event_id, doc_id, query, opened_at) to append: a query is cut to 200 letters and kept as it compares."""
+    return spark.createDataFrame(rows, "event_id long, doc_id long, query string").select("event_id", "doc_id", F.substring(T.normal_query(F.col("query")), 1, MOST_QUERY).alias("query"), F.lit(at).cast("timestamp").alias("opened_at"))
+
+
+def record(events: DataFrame, path: str) -> None:
+    events.write.mode("append").parquet(path)
+
+
+def clear(spark: SparkSession, path: str) -> int:
+    """Forget all events under path; gives how many there were."""
+    events = spark.read.parquet(path)
+    n = events.count()
+    spark.createDataFrame([], events.schema).coalesce(1).write.mode("overwrite").parquet(path)
+    return n
+
+
+@dataclass
+class Contexts:
+    """Named contexts, and those that are active; they hold in the order in which they were activated."""
+
+    known: dict[str, Context] = field(default_factory=dict)
+    active: list[str] = field(default_factory=list)
+
+    def add(self, text: str) -> Context:
+        """A context from a JSON object, in place of one of its name. Unknown fields and a missing name are errors."""
+        given = json.loads(text)
+        unknown = set(given) - set(Context.__dataclass_fields__)
+        if unknown or not given.get("name"):
+            raise ValueError(f"a context has a name and no {sorted(unknown)}")
+        lists = {k: tuple(v) for k, v in given.items() if k in ("roots", "subjects", "sources", "types")}
+        related = {k: tuple(v) for k, v in given.get("related", {}).items()}
+        self.known[given["name"]] = made = Context(given["name"], related=related, recent_days=given.get("recent_days"), **lists)
+        return made
+
+    def activate(self, name: str) -> None:
+        if name not in self.known:
+            raise KeyError(name)
+        self.active = [*(n for n in self.active if n != name), name]
+
+    def deactivate(self, name: str) -> None:
+        self.active = [n for n in self.active if n != name]
+
+    def remove(self, name: str) -> None:
+        self.known.pop(name, None)
+        self.deactivate(name)
+
+    def merged(self) -> Context | None:
+        """What holds: the active contexts together, or None."""
+        return reduce(Context.merged, (self.known[n] for n in self.active)) if self.active else None
+
+
 @dataclass(frozen=True)
 class Context:
     """What a person works on."""

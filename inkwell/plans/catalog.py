@@ -100,7 +100,11 @@ def bm25_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.pool(lexical.index_of(documents(spark, sf_dir)), {"q": TWO_TERMS}, limit=20).select("doc_id", "path", r6("bm25").alias("bm25"))
 
 
-@query(None)
+@query(f"""WITH {POSTINGS_SQL}, it AS (SELECT item_id, {TOK_INDEX_SQL.format(x="text")} AS t FROM benchmark), ph AS (SELECT DISTINCT item_id, unnest(t[1:2]) AS token FROM it WHERE len(t) > 1),
+fr AS (SELECT token, doc_id, count(*) AS f FROM postings WHERE token IN (SELECT token FROM ph) GROUP BY token, doc_id),
+idf AS (SELECT token, CASE WHEN ln((N - count(*) + 0.5) / (count(*) + 0.5)) > 0 THEN ln((N - count(*) + 0.5) / (count(*) + 0.5)) ELSE 1e-6 END AS w FROM fr, stats GROUP BY token, N),
+r AS (SELECT item_id, doc_id, -sum(w * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n_tokens / av))) AS bm25 FROM ph JOIN fr USING (token) JOIN idf USING (token) JOIN lens USING (doc_id), stats GROUP BY item_id, doc_id)
+SELECT item_id, doc_id, round(bm25, 6) AS bm25 FROM r JOIN docs USING (doc_id) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY bm25, path) = 1""")
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of queries in one job: for each benchmark item its first two words; the best document of each."""
     items = table(spark, sf_dir, "benchmark").select("item_id", T.tok_index(F.col("text")).alias("t")).where("size(t) > 1").select("item_id", F.slice("t", 1, 2).alias("t"))
@@ -201,6 +205,12 @@ for _by, _key in {"folder": "regexp_extract(path, '^(.*)/[^/]*$', 1)", "type": "
     ORACLE_SQL[f"organize_group_{_by}"] = f"WITH {DOCS_SQL} SELECT {_key} AS group_key, count(*) AS n, sum(size)::BIGINT AS total_size FROM docs GROUP BY 1"
 
 
+@query(f"WITH {DOCS_SQL} SELECT count(*) AS n_results, count(*) AS n_grouped, true AS kept FROM docs")
+def organize_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return organize.count_invariants(docs, organize.grouped(docs, "folder"))
+
+
 @query(f"WITH {DOCS_SQL} SELECT doc_id, path FROM docs WHERE doc_id > 100 ORDER BY doc_id LIMIT 128")
 def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return organize.page_after(documents(spark, sf_dir), "doc_id", 100, 128).select("doc_id", "path")
@@ -278,9 +288,16 @@ uh AS (SELECT doc_id, h, min(i) AS i FROM hs GROUP BY doc_id, h),
 nh AS (SELECT doc_id, h, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM uh QUALIFY n <= 32)"""
 
 
-@query(f"WITH {LINES_SQL} SELECT doc_id, n, h AS heading FROM nh")
+#: The test tables' texts have no headings: every third gets some, of all kinds.
+HEADED = "\n\n## Part {}  \n{}\n1.2 Numbered part\nALL CAPITALS: A-B\nTitle Case Line\nnot a heading.\n## Part {}\n"
+HEADED_SQL = "WITH " + LINES_SQL.replace("FROM documents)", "FROM (SELECT * REPLACE (CASE WHEN doc_id % 3 = 0 THEN replace(replace('" + HEADED + "', '{}', doc_id::VARCHAR), '\\n', chr(10)) || text ELSE text END AS text) FROM documents))", 1)
+
+
+@query(HEADED_SQL + " SELECT doc_id, n, h AS heading FROM nh")
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = intelligence.structure(documents(spark, sf_dir)).select("doc_id", F.posexplode("headings").alias("n", "heading"))
+    head = F.replace(F.lit(HEADED), F.lit("{}"), F.col("doc_id").cast("string"))
+    headed = documents(spark, sf_dir).withColumn("content", F.when(F.col("doc_id") % 3 == 0, F.concat(head, "content")).otherwise(F.col("content")))
+    found = intelligence.structure(headed).select("doc_id", F.posexplode("headings").alias("n", "heading"))
     return found.select("doc_id", (F.col("n") + 1).cast("long").alias("n"), "heading")
 
 
@@ -339,7 +356,7 @@ def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- typos ---------------------------------------------------------------------------------------------------------------
 
 FUZZY_QUERY = "idiott patethic"
-FP_SQL = f"""{DOCS_SQL}, ft AS (SELECT doc_id, list_distinct({TOK_FOLD_SQL.format(x="(name || ' ' || substr(coalesce(content, ''), 1, 200000))")}) AS t FROM docs),
+FP_SQL = f"""{DOCS_SQL}, ft AS (SELECT doc_id, list_distinct({TOK_FOLD_SQL.format(x="(name || ' ' || coalesce(content, ''))")}) AS t FROM docs),
 fw AS (SELECT doc_id, word FROM (SELECT doc_id, unnest(t) AS word FROM ft) WHERE length(word) >= 3),
 rare AS (SELECT doc_id, word, r FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY df, word) AS r FROM fw JOIN (SELECT word, count(*) AS df FROM fw GROUP BY word) USING (word)) WHERE r <= 32),
 wg AS (SELECT doc_id, r, unnest(list_transform(range(1, length(word) - 1), lambda i: substr(word, i, 3))) AS gram, unnest(range(1, length(word) - 1)) AS p FROM rare),
@@ -382,7 +399,7 @@ def embedding_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     unit = e.select("vec_id", F.transform("embedding", lambda x: x.cast("double") / norm(F.col("embedding"))).alias("u"))
     asked = unit.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("u").alias("qu"))
-    blocks = 8
+    blocks = max(8, -(-e.count() // 4096))
     left = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = unit.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     met = left.join(right, "block").where("query_id != vec_id")
@@ -514,10 +531,10 @@ def reconcile_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.counters(ingest.settle(ingest.classify(scan, stored)), ingest.vanished(stored, scan, "/"))
 
 
-@query(f"WITH {DOCS_SQL} SELECT doc_id, path FROM docs WHERE doc_id % 7 <> 0 AND doc_id % 5 = 0 AND path LIKE '/src1/%'")
+@query(f"WITH {DOCS_SQL} SELECT doc_id, path FROM docs WHERE doc_id % 7 <> 0 AND doc_id % 5 = 0 AND path LIKE '/src5/%'")
 def reconcile_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     scan, stored = scan_and_store(spark, sf_dir)
-    return ingest.vanished(stored, scan, "/src1").select("doc_id", "path")
+    return ingest.vanished(stored, scan, "/src5").select("doc_id", "path")
 
 
 @query(f"WITH {DOCS_SQL} SELECT doc_id, size + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS size FROM docs WHERE doc_id % 5 <> 0")
@@ -526,6 +543,31 @@ def reconcile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.reconcile(scan, stored, "/").select("doc_id", "size")
 
 
+@query(f"WITH {DOCS_SQL} SELECT doc_id, size + CASE WHEN doc_id % 3 = 0 AND doc_id % 5 <> 0 THEN 1 ELSE 0 END AS size, sha256(content) AS content_hash FROM docs WHERE doc_id % 7 <> 0")
+def reconcile_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scan, stored = scan_and_store(spark, sf_dir)
+    return ingest.metadata_only(stored, scan).select("doc_id", "size", "content_hash")
+
+
+@query(f"""WITH {DOCS_SQL}, r(root) AS (VALUES ('/src1'), ('/src1/de'), ('/src2'), ('/src10/en')), o AS (SELECT doc_id, (SELECT root FROM r WHERE starts_with(path, root || '/') ORDER BY length(root) DESC LIMIT 1) AS root FROM docs)
+SELECT doc_id FROM o WHERE root IS DISTINCT FROM '/src1'""")
+def remove_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = spark.createDataFrame([(r,) for r in ROOTS], "root string")
+    return ingest.without_root(documents(spark, sf_dir), roots, "/src1").select("doc_id")
+
+
+@query(f"""WITH {DOCS_SQL}, asked(reference) AS (VALUES ('doc_3.csv'), ('/none/at/all'), ('doc_17.txt')) SELECT reference, min(doc_id) AS doc_id FROM asked LEFT JOIN docs ON name = reference GROUP BY reference""")
+def forget_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.forgotten_batch(documents(spark, sf_dir), ["doc_3.csv", "/none/at/all", "doc_17.txt"], confirmed=True)
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'partial' ELSE 'ok' END AS status, CASE WHEN doc_id % 2 = 0 THEN 'line one two' ELSE '' END AS warnings FROM documents""")
+def diagnostics_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = table(spark, sf_dir, "documents").select("doc_id", F.lit("ok").alias("status"), F.array().cast("array<string>").alias("warnings"))
+    read = stored.where("doc_id % 2 = 0").withColumns({"status": F.lit("partial"), "warnings": F.array(F.lit(" line one\ntwo\t"))})
+    return ingest.diagnosed(stored, read).select("doc_id", "status", F.array_join("warnings", "|").alias("warnings"))
+
+
 @query(f"WITH {DOCS_SQL}, gone AS (SELECT doc_id FROM docs WHERE name = 'doc_17.txt') SELECT 'documents' AS tbl, count(*) AS n FROM docs WHERE doc_id NOT IN (FROM gone) UNION ALL SELECT 'labels', count(*) FROM labels WHERE doc_id NOT IN (FROM gone)")
 def forget_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
@@ -541,6 +583,38 @@ def source_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.owners(documents(spark, sf_dir), spark.createDataFrame([(r,) for r in ROOTS], "root string")).select("doc_id", "root")
 
 
+@query("""WITH e AS (SELECT user_id AS doc_id, 'n' || event_type AS name, '/' || event_type AS path FROM events)
+SELECT doc_id, max(name) AS name, max(path) AS path FROM e WHERE doc_id > 5 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) GROUP BY doc_id ORDER BY doc_id LIMIT 64""")
+def orphan_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.concat(F.lit("n"), "event_type").alias("name"), F.concat(F.lit("/"), "event_type").alias("path"))
+    return health.orphan_page(rows, table(spark, sf_dir, "documents").where("doc_id % 2 = 0"), 5, 64)
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 4 = 0 AND text <> ''")
+def text_without_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    docs = d.select("doc_id", F.when(F.col("doc_id") % 4 != 0, F.sha2(F.col("text").cast("binary"), 256)).alias("content_hash"))
+    return health.unhashed(docs, d.select("doc_id", F.col("text").alias("content")))
+
+
+@query("SELECT count(*) AS n, coalesce(max(event_type), '') AS newest FROM events")
+def snapshot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.snapshot_key(table(spark, sf_dir, "events"), "event_type")
+
+
+@query("SELECT event_id, event_type || '/' || event_id AS key, event_id::VARCHAR AS rest FROM events WHERE event_type = 'view'")
+def keys_with_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", F.concat_ws("/", "event_type", F.col("event_id").cast("string")).alias("key"))
+    return health.keys_with(e, "view/")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE coalesce(CAST(props::JSON->>'k' AS BIGINT), -1) END AS k FROM events")
+def tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON column, every third of whose values is torn."""
+    torn = F.when(F.col("event_id") % 3 == 0, F.expr("substring(props, 1, length(props) - 1)")).otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(T.from_json_or(torn, "k long", F.struct(F.lit(-1).cast("long").alias("k")))["k"], F.lit(-1)).alias("k"))
+
+
 # --- health ---------------------------------------------------------------------------------------------------------------------------
 
 
@@ -571,9 +645,12 @@ def stats_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {DOCS_SQL}, r(root) AS (VALUES ('/src1'), ('/src1/de'), ('/src2'), ('/src10/en')), o AS (SELECT *, (SELECT root FROM r WHERE starts_with(path, root || '/') ORDER BY length(root) DESC LIMIT 1) AS root FROM docs)
-SELECT root, count(*) AS documents, sum(size)::BIGINT AS bytes, count_if(modified_at < TIMESTAMP '2023-01-01')::BIGINT AS stale FROM o WHERE root IS NOT NULL GROUP BY root""")
+SELECT root, count(*) AS documents, sum(size)::BIGINT AS bytes, count_if(modified_at < TIMESTAMP '2023-01-01')::BIGINT AS stale,
+       (SELECT string_agg(extension || '=' || n, ' ' ORDER BY extension) FROM (SELECT extension, count(*) AS n FROM o i WHERE i.root = o.root GROUP BY extension)) AS by_type,
+       (SELECT string_agg(source || '=' || n, ' ' ORDER BY source) FROM (SELECT source, count(*) AS n FROM o i WHERE i.root = o.root GROUP BY source)) AS by_source
+FROM o WHERE root IS NOT NULL GROUP BY root""")
 def stats_by_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return health.by_root(documents(spark, sf_dir), spark.createDataFrame([(r,) for r in ROOTS], "root string"), "2023-01-01").drop("by_type")
+    return health.by_root(documents(spark, sf_dir), spark.createDataFrame([(r,) for r in ROOTS], "root string"), "2023-01-01").withColumns({c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), " ") for c in ("by_type", "by_source")})
 
 
 @query("SELECT count(*) AS n, min(l_linenumber) AS lowest, max(l_linenumber) AS highest FROM lineitem")
@@ -620,6 +697,30 @@ def precision_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("query", *(r6(c).alias(c) for c in q.columns if c != "query"))
 
 
+QUALITY_SQL = ORACLE_SQL["precision_recall_mrr"]
+
+
+@query(f"SELECT count(*) AS n, " + ", ".join(f"round(avg({c}), 4) AS {c}" for c in [f"{m}_{k}" for m in "pr" for k in evaluate.CUTS] + ["rr"]) + f" FROM ({QUALITY_SQL})")
+def quality_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = evaluate.means(evaluate.quality(*judged(spark, sf_dir)))
+    return m.select("n", *(F.round(c, 4).alias(c) for c in m.columns if c != "n"))
+
+
+@query(f"WITH {EVAL_SQL} SELECT rk.query, count(*) AS n, round(avg(CASE WHEN rk.query = 'src1' THEN (doc_id % 2 = 0)::INT ELSE (doc_id % 5 <> 2)::INT END), 6) AS accuracy FROM rk WHERE rk.query IN ('src1', 'src2') GROUP BY rk.query")
+def filter_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results, _, _ = judged(spark, sf_dir)
+    held = {"src1": F.col("doc_id") % 2 == 0, "src2": F.col("doc_id") % 5 != 2}
+    return evaluate.filter_accuracy(results.where(F.col("query").isin(*held)), held).select("query", "n", r6("accuracy").alias("accuracy"))
+
+
+@query(f"""WITH {EVAL_SQL}, wanted AS (SELECT source AS query, min(doc_id) AS doc_id FROM documents GROUP BY source), g AS (SELECT w.query, coalesce(rk.doc_id = w.doc_id, false) AS ok FROM wanted w LEFT JOIN rk ON rk.query = w.query AND rank = 1)
+SELECT count(*) AS n, round(avg(ok::INT), 6) AS accuracy, coalesce(string_agg(query, ' ' ORDER BY query) FILTER (NOT ok), '') AS failures FROM g""")
+def exact_match_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results, _, _ = judged(spark, sf_dir)
+    wanted = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("query")).agg(F.min("doc_id").alias("doc_id"))
+    return evaluate.exact_matches(results, wanted).select("n", r6("accuracy").alias("accuracy"), F.array_join("failures", " ").alias("failures"))
+
+
 @query(f"""WITH {EVAL_SQL} SELECT rk.query, round((max(score) FILTER (rel.doc_id IS NOT NULL) - max(score) FILTER (rel.doc_id IS NULL))::DOUBLE, 6) AS margin, round((max(score) - min(score))::DOUBLE, 6) AS spread FROM rk LEFT JOIN rel USING (query, doc_id) GROUP BY rk.query""")
 def relevance_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     results, relevant, _ = judged(spark, sf_dir)
