@@ -158,15 +158,14 @@ def related(edges: DataFrame, docs: DataFrame, doc_id: int, limit: int = 10) ->
 def repaired(edges: DataFrame, docs: DataFrame, changed: DataFrame) -> DataFrame:
     """The edges after the documents of changed (doc_id) were added, altered or removed.
 
-    Edges between other documents stay. Changed documents are compared anew with their bounded neighbourhood: their former
-    neighbours and what shares a bounded posting with them. Where very many have changed all is built anew.
+    Changed documents and their former neighbours, who may have lost an edge, are compared anew with what shares a bounded posting
+    with them; edges between others stay. Where very many have changed all is built anew.
     """
-    _, many = affected(edges, changed)
+    ids, many = affected(edges, changed)
     if many:
         return build(docs)
     made = nodes(docs)
     pairs = candidates(made, mentions(docs, made))
-    ids = changed.select("doc_id").distinct()
     touch = lambda e, c, how: e.join(ids.select(F.col("doc_id").alias(c)), c, how)
     mine = touch(pairs, "a", "left_semi").unionByName(touch(touch(pairs, "a", "left_anti"), "b", "left_semi"))
     kept = touch(touch(edges, "a", "left_anti"), "b", "left_anti")

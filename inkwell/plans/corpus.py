@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.session import spread
+
 #: The instant that every age is measured from.
 NOW = "2024-01-01 00:00:00"
 
@@ -19,7 +21,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit("."), ext)
     path = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), name)
     modified = F.lit(NOW).cast("timestamp") - F.make_interval(days=(F.col("doc_id") % 900).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", "source", name.alias("name"), path.alias("path"), F.concat(F.lit("."), ext).alias("extension"), F.col("n_chars").alias("size"), modified.alias("modified_at"), F.col("text").alias("content"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", "source", name.alias("name"), path.alias("path"), F.concat(F.lit("."), ext).alias("extension"), F.col("n_chars").alias("size"), modified.alias("modified_at"), F.col("text").alias("content"))
 
 
 def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Set on a SparkContext that has this package.
 SHIPPED = "inkwell_shipped"
@@ -25,3 +25,9 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(path)
         setattr(context, SHIPPED, True)
     return spark
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over as many partitions as the session has cores, where a scan has fewer: a small file of one row group is else one task's work."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
