@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.session import ship
+from inkwell.session import ship, spread
 
 #: Bytes of one Arrow batch handed to a Python worker; long texts then come in small batches.
 BATCH_BYTES = 4 << 20
@@ -27,7 +27,7 @@ TOPS: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def prepare(spark: SparkSession) -> None:
