@@ -3,7 +3,7 @@
 The cache is a table (tokenizer, digest, n_tokens). A call joins the digests of its texts to it, encodes each
 distinct text that it lacks once, appends those counts and joins again. The tokenizer's version is the SHA-256 of
 its files and its libraries' versions, so that a changed file or library never meets old counts. Only digests meet in the joins; a text crosses the
-network at most once, and only where the cache lacks it.
+network at most once, and not at all where the cache has every text.
 
 Null texts count as empty (0 tokens). Rows are kept as they come, repeated ones and null ids too; columns of the
 input other than the id and the text are not returned. An empty table gives no rows.
@@ -121,12 +121,14 @@ def count_tokens(docs: DataFrame, cache: DigestCache, tokenizer: str, ranks: str
             count = count or counter(tokenizer, ranks)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.binary()), pa.array(count(b.column(1).to_pylist()), pa.int64())], schema=schema)
 
-    stored = cache.read(version)
-    misses = texts.join(stored, "digest", "left_anti").dropDuplicates(["digest"])
-    cache.append(misses.mapInArrow(encode, "digest binary, n_tokens long"), version)
-    # Two runs that append at once may both store a digest; their counts are equal.
-    counts = cache.read(version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     sized = common.written(docs.select(F.col(key), F.octet_length(body).cast("long").alias("n_bytes"), digest), "sized")
     rows = sized.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    missing = common.written(rows.select("digest").join(cache.read(version), "digest", "left_anti"), "missing")
+    if not missing.isEmpty():
+        # Copies are dropped where they are read, before texts are dealt by digest.
+        misses = texts.dropDuplicates(["digest"]).join(missing, "digest", "left_semi")
+        cache.append(misses.mapInArrow(encode, "digest binary, n_tokens long"), version)
+    # Two runs that append at once may both store a digest; their counts are equal.
+    counts = cache.read(version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     known = common.written(rows.join(counts, "digest"), "counts")
     return common.salted_join(sized, known, "digest", "n", F.xxhash64(key), "inner").select(key, "n_bytes", "n_tokens")
