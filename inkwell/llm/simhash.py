@@ -44,6 +44,8 @@ GOLAY = 0b110001110101
 BLOCK = 16384
 #: Rows of a group of anchors that one task compares.
 GROUP_ROWS = 400_000
+#: Edges of one task in a round of stars.
+EDGE_ROWS = 200_000
 #: Texts from which common shingles are learned, and how many of these are known.
 SAMPLED, MOST_USUAL = 8_000, 100_000
 #: Bins of a set's hashes, and what a bin can hold; larger sets pass unbounded.
@@ -227,6 +229,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b), root the smallest node of its component: rounds of large and small stars."""
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     stars, before = common.written(edges, "edges"), None
+    parts = max(1, -(-stars.count() // EDGE_ROWS))  # rounds only lose edges
     while True:
         out = both(stars)
         least = out.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -235,7 +238,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = down.groupBy("a").agg(F.min("b").alias("m"))
         joined = down.join(small, "a")
         stars = joined.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.withColumnRenamed("m", "b")).distinct()
-        stars = common.written(stars, "stars")
+        stars = common.written(stars.coalesce(parts), "stars")
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit(0xFFFFFFFF)))).first()
         if now == before:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
