@@ -371,6 +371,15 @@ def test_chat_by_brute_force(spark):
     assert chat.collapse_and_render(turns.limit(0)).count() == 0
 
 
+def test_chat_of_many_and_long_turns(spark):
+    """A conversation of 3,000 turns, its snapshots of other lengths, and one turn of a million letters."""
+    turns = spark.range(3000).select(F.lit("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("turn "), F.col("id").cast("string")).alias("text"))
+    cut = lambda name, n: turns.where(F.col("turn") < n).withColumn("conv_id", F.lit(name))
+    wide = spark.range(1).select(F.lit("wide").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.lit(None).cast("string").alias("role"), F.repeat(F.lit("x"), F.lit(1_000_000)).alias("text"))
+    got = {r.conv_id: (r.n_turns, r.n_snapshots, len(r.rendered)) for r in chat.collapse_and_render(turns.unionByName(cut("a", 1)).unionByName(cut("b", 2999)).unionByName(cut("c", 3000)).unionByName(wide)).collect()}
+    assert got == {"c": (3000, 2, sum(len(f"<|user|>\nturn {i}\n") for i in range(3000))), "wide": (1, 1, 1_000_000 + len("<||>\n\n"))}
+
+
 # --- pipeline ---
 
 

@@ -277,6 +277,20 @@ def test_language_model_is_a_mixture(spark):
         assert got[i].score == pytest.approx(want, rel=0.01)
 
 
+def test_language_model_of_many_blocks(spark, monkeypatch):
+    """Very long texts, cut over many blocks and shards, score as in one."""
+    rng = np.random.default_rng(15)
+    vocabulary = ["".join(rng.choice(list("abcdef"), 4)) for _ in range(300)]
+    texts = {i: " ".join(rng.choice(vocabulary, n)) for i, n in enumerate([60_000, 10, 3000, 0, 1, 40_000, 200, 200])}
+    docs = spark.createDataFrame(list(texts.items()), SCHEMA).repartition(3)
+    whole = {r.doc_id: r for r in interpolation_lm.score(docs).collect()}
+    monkeypatch.setattr(interpolation_lm, "BLOCK_BYTES", 4096)
+    monkeypatch.setattr(interpolation_lm, "SHARD_TOKENS", 2000)
+    for r in interpolation_lm.score(docs).collect():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (whole[r.doc_id].n_tokens, whole[r.doc_id].n_known, whole[r.doc_id].train_tokens)
+        assert r.score == pytest.approx(whole[r.doc_id].score, rel=1e-9) and r.base_score == pytest.approx(whole[r.doc_id].base_score, rel=1e-9)
+
+
 def test_language_model_odd_rows(spark):
     got = interpolation_lm.score(odd(spark)).collect()
     assert len(got) == len(ODD) and all(math.isfinite(r.score) and r.score < 0 for r in got)
