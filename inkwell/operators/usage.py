@@ -59,6 +59,12 @@ def opened(spark: SparkSession, rows: list[tuple[int, int, str]], at: str) -> Da
     return spark.createDataFrame(rows, "event_id long, doc_id long, query string").select("event_id", "doc_id", F.substring(T.normal_query(F.col("query")), 1, MOST_QUERY).alias("query"), F.lit(at).cast("timestamp").alias("opened_at"))
 
 
+def first_queries(docs: DataFrame, events: DataFrame) -> DataFrame:
+    """(doc_id, first_query): what each document was first opened for, or null."""
+    first = events.groupBy("doc_id").agg(F.min(F.struct("opened_at", "event_id", "query")).alias("first"))
+    return docs.select("doc_id").join(first, "doc_id", "left").select("doc_id", F.col("first.query").alias("first_query"))
+
+
 def record(events: DataFrame, path: str) -> None:
     events.write.mode("append").parquet(path)
 

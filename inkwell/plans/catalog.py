@@ -309,10 +309,22 @@ def title_and_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intelligence.structure(documents(spark, sf_dir)).select("doc_id", "title", F.col("sections").cast("long").alias("sections"))
 
 
-@query(None)
+TITLE_SQL = ORACLE_SQL["title_and_sections"].removeprefix(f"WITH {LINES_SQL}, ")
+
+
+@query(f"""WITH {LINES_SQL}, {WORDS_SQL.removeprefix(DOCS_SQL + ", ")}, tt AS (SELECT doc_id, string_agg(term || ':' || n, ' ' ORDER BY n DESC, term) AS terms FROM terms GROUP BY doc_id), {TITLE_SQL.split("SELECT d.doc_id")[0]}, ts AS (SELECT d.doc_id{TITLE_SQL.split("SELECT d.doc_id")[1]})
+SELECT doc_id, title, sections, terms, length(coalesce(content, '')) AS analyzed_chars FROM docs JOIN ts USING (doc_id) LEFT JOIN tt USING (doc_id)""")
 def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole analysis of each document; its parts have SQL of their own."""
-    return intelligence.analysis(documents(spark, sf_dir))
+    """The analysis of each document; its pairs and its language have queries of their own."""
+    terms = F.array_join(F.transform("terms", lambda t: F.concat_ws(":", t["term"], t["n"].cast("string"))), " ")
+    return intelligence.analysis(documents(spark, sf_dir)).select("doc_id", "title", F.col("sections").cast("long").alias("sections"), terms.alias("terms"), F.col("analyzed_chars").cast("long").alias("analyzed_chars"))
+
+
+@query(f"WITH {DOCS_SQL} SELECT r AS reference, coalesce((SELECT doc_id FROM docs WHERE path = r), (SELECT doc_id FROM docs WHERE name = r ORDER BY path LIMIT 1), (SELECT doc_id FROM docs WHERE doc_id::VARCHAR = r)) AS doc_id FROM (VALUES ('doc_6.pdf'), ('11'), ('/nowhere/doc_9.txt')) v(r) WHERE r IN ('doc_6.pdf', '11') UNION ALL SELECT '/nowhere/doc_9.txt', doc_id FROM docs WHERE name = 'doc_9.txt'")
+def analysis_of_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = intelligence.language_by_rows(docs)
+    return reduce(DataFrame.unionByName, (intelligence.resolved(held, docs, r).select(F.lit(r).alias("reference"), "doc_id") for r in ("doc_6.pdf", "11", "/nowhere/doc_9.txt")))
 
 
 # --- n-gram similarity and vectors -------------------------------------------------------------------------------------
@@ -491,6 +503,17 @@ def usage_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage_events(spark, sf_dir).join(docs, "doc_id", "left").select("event_id", F.coalesce("name", F.col("doc_id").cast("string")).alias("name"))
 
 
+@query(f"WITH {USAGE_SQL} SELECT doc_id, (SELECT query FROM usage u WHERE u.doc_id = d.doc_id ORDER BY opened_at, event_id LIMIT 1) AS first_query FROM documents d")
+def usage_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.first_queries(table(spark, sf_dir, "documents"), usage_events(spark, sf_dir))
+
+
+@query(f"WITH {USAGE_SQL} SELECT event_id, doc_id, query, opened_at FROM usage UNION ALL SELECT -1, 3, 'a long query ' || repeat('y', 187), TIMESTAMP '{NOW}'")
+def usage_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = usage.opened(spark, [(-1, 3, "A  long query " + "y" * 300)], NOW)
+    return usage_events(spark, sf_dir).unionByName(new)
+
+
 CONTEXT = usage.Context("work", roots=("/src1", "/src2/fr"), subjects=("de",), sources=("src3",), types=("md", ".pdf"), related={"the": ("of", "in")}, recent_days=90)
 
 
