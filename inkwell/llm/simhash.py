@@ -44,10 +44,12 @@ GOLAY = 0b110001110101
 BLOCK = 16384
 #: Rows of a group of anchors that one task compares.
 GROUP_ROWS = 400_000
+#: Nodes of a token at most that is dealt by its nodes and not by itself.
+FEW = 64
 #: Edges of one task in a round of stars.
 EDGE_ROWS = 200_000
 #: Texts from which common shingles are learned, and how many of these are known.
-SAMPLED, MOST_USUAL = 8_000, 100_000
+SAMPLED, MOST_USUAL = 16_000, 100_000
 #: Bins of a set's hashes, and what a bin can hold; larger sets pass unbounded.
 BINS, MOST_BIN = 256, 65535
 
@@ -304,10 +306,10 @@ def allowed(n: np.ndarray, pos: np.ndarray, m: np.ndarray, at: np.ndarray, simil
 
 
 def meet(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """(token, node, n, pos, centre) for tokens of two nodes and more: centre is one of the token's nodes, or null where the two can't be alike.
+    """(token, node, n, pos, centre, lead) for tokens of two nodes and more: centre is one of the token's nodes, or null where the two can't be alike.
 
     It is a node with the token first in its order, so one with few shingles of its own: among edited copies the original or what is next to it. Of equal ones
-    tokens with the same nodes take four at most.
+    tokens with the same nodes take four at most. lead is equal for tokens with the same few nodes.
     """
     pdf = pdf.drop_duplicates(["token", "node"])
     pdf = pdf[pdf["token"].duplicated(keep=False)]
@@ -317,7 +319,9 @@ def meet(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
     pdf = pdf.iloc[order][["token", "node", "n", "pos"]]
     first = pdf.groupby("token", sort=False)[["node", "n", "pos"]].transform("first")
     ok = allowed(pdf["n"].to_numpy(), pdf["pos"].to_numpy(), first["n"].to_numpy(), first["pos"].to_numpy(), similarity)
-    return pdf.assign(centre=first["node"].astype("Int64").mask(~ok))
+    nodes = pdf.groupby("token", sort=False)["node"]
+    lead = nodes.transform("min").where(nodes.transform("size") <= FEW, pdf["token"])
+    return pdf.assign(centre=first["node"].astype("Int64").mask(~ok), lead=lead)
 
 
 def apart(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
@@ -371,7 +375,7 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, slack:
     points = nodes.select("node", F.lit(0).alias("table"), "fp", F.lit(0).cast("long").alias("other"))
     groups = max(1, -(-found.agg(F.sum(F.size("prefix"))).first()[0] // GROUP_ROWS)) if not points.isEmpty() else 1
     bucket = F.pmod(F.xxhash64("token"), F.lit(groups)).alias("g")
-    shared = common.written(found.select("node", "n", F.posexplode("prefix").alias("pos", "token")).groupBy(bucket).applyInPandas(lambda pdf: meet(pdf, similarity), "token long, node long, n long, pos int, centre long"), "shared")
+    shared = common.written(found.select("node", "n", F.posexplode("prefix").alias("pos", "token")).groupBy(bucket).applyInPandas(lambda pdf: meet(pdf, similarity), "token long, node long, n long, pos int, centre long, lead long"), "shared")
 
     pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     stars = shared.where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
@@ -406,8 +410,10 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, slack:
 
     linked = verified(trials, "links")
     roots = components(linked)
-    rooted = shared.join(roots, "node", "left").select("token", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
-    left = rooted.groupBy(bucket).applyInPandas(lambda pdf: apart(pdf, similarity), "a long, b long").distinct().join(trials, ["a", "b"], "left_anti")
+    rooted = shared.join(roots, "node", "left").select("token", "node", "n", "pos", "lead", F.coalesce("root", "node").alias("root"))
+    # Tokens that the same nodes share come to one task, which so gives each pair once.
+    together = F.pmod(F.xxhash64("lead"), F.lit(max(1, -(-shared.count() // GROUP_ROWS)))).alias("g")
+    left = rooted.groupBy(together).applyInPandas(lambda pdf: apart(pdf, similarity), "a long, b long").distinct().join(trials, ["a", "b"], "left_anti")
     more = verified(left, "more-links")
     if not more.isEmpty():
         roots = components(linked.unionByName(more))
