@@ -33,6 +33,8 @@ LINES, SEED = 128, 42
 WIDTH, SHARE, FACTOR = 3.2, 0.852, 1.25
 #: Vectors and queries of a block at most, on average; numbers in them at most; queries that tell the others where to start.
 VECTORS, NUMBERS, PILOTS = 16384, 1 << 22, 32
+#: Queries that are open at once: each holds a flag for each vector of the block.
+OPEN = 1024
 #: Bands of like norm at most.
 BANDS = 16
 
@@ -61,7 +63,8 @@ class Lines:
         pilots = np.arange(min(PILOTS, len(queries)))
         far = self.rounds(queries, own, k, scale, on, pilots, np.full(len(queries), self.most / 8), found)
         usual = float(np.median(far)) if len(far) else self.most
-        self.rounds(queries, own, k, scale, on, np.arange(len(pilots), len(queries)), np.full(len(queries), usual), found)
+        for start in range(len(pilots), len(queries), OPEN):
+            self.rounds(queries, own, k, scale, on, np.arange(start, min(start + OPEN, len(queries))), np.full(len(queries), usual), found)
         return found
 
     def rounds(self, queries: np.ndarray, own: np.ndarray, k: int, scale: np.ndarray, on: np.ndarray, open_: np.ndarray, radius: np.ndarray, found: list) -> np.ndarray:
