@@ -24,6 +24,8 @@ READER_ROWS = 512
 HOT_ROWS = 1000
 #: Folders of this application's tables.
 TOPS: set[str] = set()
+#: Temporary folders of local sessions that name none, by application.
+LOCAL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,10 +44,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir that driver and executors share. Where it is unset a local session (tests) gets a temporary one; a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        application = spark.sparkContext.applicationId
+        base = LOCAL.get(application) or LOCAL.setdefault(application, tempfile.mkdtemp(prefix="spark-"))
     return base.rstrip("/")
 
 
@@ -61,9 +63,13 @@ def new_folder(spark: SparkSession, what: str) -> str:
 def clean(spark: SparkSession) -> None:
     """Delete the tables that this application has written to the shared folder. Results that are not read yet are lost."""
     with contextlib.suppress(Exception):  # at the end of an application its JVM may be gone
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        path = hadoop.Path(f"{shared_folder(spark)}/inkwell-{spark.sparkContext.applicationId}")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, f"{shared_folder(spark)}/inkwell-{spark.sparkContext.applicationId}")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
