@@ -14,6 +14,8 @@ from inkwell.functions import text as T
 #: Words and trigrams of a document's fingerprint, least trigrams, least word, shared share, candidates of a page.
 MOST_WORDS, MOST_GRAMS, LEAST_GRAMS, LEAST_WORD, LEAST_SHARE, MOST_CANDIDATES = 32, 64, 8, 3, 0.2, 50
 MOST_CORRECTIONS, MOST_SUGGESTIONS = 12, 3
+#: Trigrams that a scan is told at most.
+MOST_PUSHED = 1000
 
 
 def osa(a: str, b: str, cap: int) -> int:
@@ -82,7 +84,9 @@ def candidates(prints: DataFrame, tokens: list[str], limit: int | None = MOST_CA
     spark = prints.sparkSession
     rows = [(t, g, len(gs)) for t in tokens for gs in [set(T.one_grams(t))] for g in sorted(gs)]
     asked = spark.createDataFrame(rows, "token string, gram string, n int")
-    shared = prints.join(F.broadcast(asked), "gram").groupBy("doc_id", "token", "n").agg(F.count(F.lit(1)).alias("hits"))
+    grams = sorted({g for _, g, _ in rows})
+    mine = prints.where(F.col("gram").isin(grams)) if len(grams) <= MOST_PUSHED else prints
+    shared = mine.join(F.broadcast(asked), "gram").groupBy("doc_id", "token", "n").agg(F.count(F.lit(1)).alias("hits"))
     share = shared.withColumn("share", F.col("hits") / F.col("n")).where(F.col("share") >= LEAST_SHARE)
     rated = share.groupBy("doc_id").agg(F.max("share").alias("score"))
     return rated if limit is None else rated.orderBy(F.desc("score"), "doc_id").limit(limit)

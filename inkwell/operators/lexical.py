@@ -1,12 +1,12 @@
 """The search index as a postings table, and BM25 over it for any number of queries at once.
 
-`postings` is written once, sorted by token within its files, so that a handful of query tokens prunes row groups. Queries
+An index is computed as it is used, or stored (`stored.py`), where a handful of query tokens prunes what is read. Queries
 are a small table of phrases; they meet the postings by token, and everything else is grouping. Nothing here runs Python on executors.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,16 +20,36 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 COLUMNS = ("name", "path", "content")
 #: Phrases of one batch of queries at most: what is broadcast is bounded by it.
 MOST_PHRASES = 100_000
+#: Tokens that a scan of the postings is told at most.
+MOST_PUSHED = 1000
 
 
 @dataclass
 class Index:
-    """docs: the document table. postings: (doc_id, col, pos, token). lengths: (doc_id, n_tokens)."""
+    """docs: the document table. postings: (doc_id, col, pos, token), with n_tokens where that is at hand. lengths: (doc_id, n_tokens)."""
 
     docs: DataFrame
     postings: DataFrame
     lengths: DataFrame
 
+    def totals(self) -> DataFrame:
+        """One row (N, avg): documents and their mean length."""
+        return self.lengths.agg(F.count(F.lit(1)).alias("N"), F.avg("n_tokens").alias("avg"))
+
+    def metadata(self) -> DataFrame:
+        """The documents' columns that filters and order need."""
+        return self.docs.select("doc_id", "path", "extension", "source", "size", "modified_at")
+
+    def best(self, plans: dict[str, Plan], size: int, docs: DataFrame | None = None) -> DataFrame:
+        """(query, doc_id, bm25): each query's best `size` matches by rank, then path."""
+        ranked = matches(self, plans, docs).join(self.metadata().select("doc_id", "path"), "doc_id")
+        best = Window.partitionBy("query").orderBy("bm25", "path")
+        return ranked.withColumn("n", F.row_number().over(best)).where(F.col("n") <= size).select("query", "doc_id", "bm25")
+
+    def pool(self, plans: dict[str, Plan], size: int, docs: DataFrame | None = None) -> DataFrame:
+        """The documents of each query's best, with query and bm25."""
+        return self.docs.join(self.best(plans, size, docs), "doc_id")
+
 
 def postings(docs: DataFrame) -> DataFrame:
     """(doc_id, col, pos, token) of all three columns; positions count from 0 in each."""
@@ -46,25 +66,6 @@ def index_of(docs: DataFrame) -> Index:
     return Index(docs, postings(docs), lengths(docs))
 
 
-def stored(docs: DataFrame, path: str) -> Index:
-    """Write the index under path, and read it.
-
-    Postings are dealt and sorted by token and then by document, so that the commonest token fills many files and a query's tokens
-    prune row groups. A document's length is counted from its postings, so its text is read once.
-    """
-    postings(docs).repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    kept = docs.sparkSession.read.parquet(f"{path}/postings")
-    counted = docs.select("doc_id").join(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens")), "doc_id", "left").fillna(0, ["n_tokens"])
-    counted.write.mode("overwrite").parquet(f"{path}/lengths")
-    return opened(docs, path)
-
-
-def opened(docs: DataFrame, path: str) -> Index:
-    """An index that was stored under path."""
-    spark = docs.sparkSession
-    return Index(docs, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
-
-
 def phrase_table(spark: SparkSession, plans: dict[str, Plan]) -> DataFrame:
     """(query, phrase, k, token, only, n): the k-th token of n of each phrase; only: the column it is held to, or ''."""
     rows = [(q, i, k, token, p.column, len(p.tokens)) for q, plan in plans.items() for i, p in enumerate(plan.phrases) for k, token in enumerate(p.tokens)]
@@ -75,10 +76,17 @@ def phrase_table(spark: SparkSession, plans: dict[str, Plan]) -> DataFrame:
 
 def occurrences(index: Index, phrases: DataFrame) -> DataFrame:
     """(query, phrase, doc_id, f): how often a document has each phrase, its tokens adjacent and in order within one column."""
+    of = ["query", "phrase", "doc_id", *(c for c in ("n_tokens",) if c in index.postings.columns)]
     met = index.postings.join(phrases, "token").where((F.col("only") == "") | (F.col("only") == F.col("col")))
-    whole = met.where("n = 1").groupBy("query", "phrase", "doc_id").agg(F.count(F.lit(1)).alias("f"))
-    starts = met.where("n > 1").groupBy("query", "phrase", "doc_id", "col", (F.col("pos") - F.col("k")).alias("start"), "n").agg(F.count(F.lit(1)).alias("hits")).where("hits = n")
-    return whole.unionByName(starts.groupBy("query", "phrase", "doc_id").agg(F.count(F.lit(1)).alias("f")))
+    whole = met.where("n = 1").groupBy(*of).agg(F.count(F.lit(1)).alias("f"))
+    starts = met.where("n > 1").groupBy(*of, "col", (F.col("pos") - F.col("k")).alias("start"), "n").agg(F.count(F.lit(1)).alias("hits")).where("hits = n")
+    return whole.unionByName(starts.groupBy(*of).agg(F.count(F.lit(1)).alias("f")))
+
+
+def narrowed(index: Index, plans: dict[str, Plan]) -> Index:
+    """The index with the plans' tokens alone, where they are few enough to reach the scan as a filter."""
+    tokens = {t for p in plans.values() for phrase in p.phrases for t in phrase.tokens}
+    return replace(index, postings=index.postings.where(F.col("token").isin(sorted(tokens)))) if len(tokens) <= MOST_PUSHED else index
 
 
 def matches(index: Index, plans: dict[str, Plan], docs: DataFrame | None = None) -> DataFrame:
@@ -87,8 +95,8 @@ def matches(index: Index, plans: dict[str, Plan], docs: DataFrame | None = None)
     docs: those that may be returned; document frequencies and lengths still count the whole index.
     """
     spark = index.docs.sparkSession
-    found = occurrences(index, F.broadcast(phrase_table(spark, plans)))
-    stats = index.lengths.agg(F.count(F.lit(1)).alias("N"), F.avg("n_tokens").alias("avg"))
+    found = occurrences(narrowed(index, plans), F.broadcast(phrase_table(spark, plans)))
+    stats = index.totals()
     frequency = found.groupBy("query", "phrase").agg(F.count(F.lit(1)).alias("n_p"))
     scoring = [(q, i) for q, plan in plans.items() for i in plan.scoring()]
     scored = spark.createDataFrame(scoring, "query string, phrase int").withColumn("scores", F.lit(True))
@@ -96,7 +104,8 @@ def matches(index: Index, plans: dict[str, Plan], docs: DataFrame | None = None)
     # One row for each phrase of the batch.
     weights = frequency.join(F.broadcast(scored), ["query", "phrase"], "left").crossJoin(F.broadcast(stats)).select("query", "phrase", "avg", F.when(F.col("scores"), F.when(idf > 0, idf).otherwise(LEAST_IDF)).otherwise(0.0).alias("idf"))
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg")))
-    rated = found.join(index.lengths, "doc_id").join(F.broadcast(weights), ["query", "phrase"])
+    sized = found if "n_tokens" in found.columns else found.join(index.lengths, "doc_id")
+    rated = sized.join(F.broadcast(weights), ["query", "phrase"])
     rows = rated.groupBy("query", "doc_id").agg((-F.sum(part)).alias("bm25"), F.collect_set("phrase").alias("has"))
     # Queries of one shape have one condition: a phrase is named by its place in its query.
     shapes = {repr((p.match, p.exclude)): p.condition(lambda i: F.array_contains("has", i)) for p in plans.values()}
@@ -107,7 +116,7 @@ def matches(index: Index, plans: dict[str, Plan], docs: DataFrame | None = None)
     out = rows.join(F.broadcast(kinds), "query").where(pick("shape", shapes)).drop("has", "shape")  # one row for each query of the batch
     filtered = any(p.filters for p in plans.values())
     if filtered or docs is not None:
-        allowed = docs if docs is not None else index.docs
+        allowed = docs if docs is not None else index.metadata()
         out = out.join(allowed.select("doc_id", "extension", "source", "size", "modified_at"), "doc_id")
         if filtered:
             out = out.where(pick("kept_by", filters))
@@ -116,11 +125,7 @@ def matches(index: Index, plans: dict[str, Plan], docs: DataFrame | None = None)
 
 def pool(index: Index, plans: dict[str, Plan], limit: int = 20, size: int | None = None, docs: DataFrame | None = None) -> DataFrame:
     """Each query's best max(5 * limit, 50) matches by rank, then path, with the documents' columns; filters hold before the cut."""
-    size = size or max(limit * 5, 50)
-    ranked = matches(index, plans, docs).join(index.docs.select("doc_id", "path"), "doc_id")
-    best = Window.partitionBy("query").orderBy("bm25", "path")
-    cut = ranked.withColumn("n", F.row_number().over(best)).where(F.col("n") <= size).select("query", "doc_id", "bm25")
-    return index.docs.join(cut, "doc_id")
+    return index.pool(plans, size or max(limit * 5, 50), docs)
 
 
 def best_of_any(index: Index, queries: DataFrame) -> DataFrame:
@@ -130,12 +135,12 @@ def best_of_any(index: Index, queries: DataFrame) -> DataFrame:
     """
     phrases = queries.select("query", F.explode(F.array_distinct("tokens")).alias("token"))
     found = index.postings.join(phrases.select("token").distinct(), "token", "left_semi").groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("f"))
-    stats = index.lengths.agg(F.count(F.lit(1)).alias("N"), F.avg("n_tokens").alias("avg"))
+    stats = index.totals()
     idf = F.log((F.col("N") - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5))
     # One row of statistics.
     weights = found.groupBy("token").agg(F.count(F.lit(1)).alias("n_p")).crossJoin(F.broadcast(stats)).select("token", "avg", F.when(idf > 0, idf).otherwise(LEAST_IDF).alias("idf"))
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg")))
-    parts = found.join(index.lengths, "doc_id").join(weights, "token").select("token", "doc_id", part.alias("part"))
+    parts = found.join(index.lengths.select("doc_id", "n_tokens"), "doc_id").join(weights, "token").select("token", "doc_id", part.alias("part"))
     # Queries of the same tokens are one.
     asked = phrases.groupBy("query").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
     rated = asked.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token")).join(parts, "token").groupBy("tokens", "doc_id").agg((-F.sum("part")).alias("bm25"))
@@ -143,9 +148,10 @@ def best_of_any(index: Index, queries: DataFrame) -> DataFrame:
     return asked.join(best, "tokens").select("query", "best.doc_id", "best.bm25")
 
 
-def vocabulary(index: Index, limit: int = 50_000) -> DataFrame:
-    """(token, occurrences), most frequent first."""
-    return index.postings.groupBy("token").agg(F.count(F.lit(1)).alias("occurrences")).orderBy(F.desc("occurrences"), "token").limit(limit)
+def vocabulary(index: Index, limit: int | None = 50_000) -> DataFrame:
+    """(token, occurrences): the most frequent first, or all of them, in no order, without a limit."""
+    counts = index.postings.groupBy("token").agg(F.count(F.lit(1)).alias("occurrences"))
+    return counts if limit is None else counts.orderBy(F.desc("occurrences"), "token").limit(limit)
 
 
 def filter_only(docs: DataFrame, plan: Plan, limit: int = 20) -> DataFrame:

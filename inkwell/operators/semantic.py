@@ -16,6 +16,8 @@ from inkwell.functions import text as T
 
 #: N-gram length, n-grams and words kept for a document, least cosine, word lengths.
 N, MOST_GRAMS, MOST_WORDS, LEAST_COSINE, CONTENT_WORD, STEM_WORD = 3, 200, 200, 0.12, 3, 5
+#: N-grams that a scan is told at most.
+MOST_PUSHED = 1000
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -52,15 +54,38 @@ class SemanticIndex:
     n_docs: DataFrame
 
 
+def grams_and_words(docs: DataFrame, n: int = N, most: int = MOST_GRAMS) -> dict[str, DataFrame]:
+    """What a document gives by itself: kept (doc_id, gram, tf) and words (doc_id, words)."""
+    return {"kept": kept_grams(docs, n, most), "words": content_words(docs)}
+
+
+def sums(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Document frequencies and the number of documents; parts of them add up."""
+    return {"frequency": tables["kept"].groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "n_docs": tables["seen"].agg(F.count(F.lit(1)).alias("N"))}
+
+
+def lost(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What documents that go take from the sums."""
+    return {"frequency": tables["kept"].groupBy("gram").agg((-F.count(F.lit(1))).alias("df")), "n_docs": tables["seen"].agg((-F.count(F.lit(1))).alias("N"))}
+
+
+def weighed(kept: DataFrame, frequency: DataFrame, n_docs: DataFrame, words: DataFrame) -> SemanticIndex:
+    """Weights and norms from kept grams and their frequencies; each gram has one frequency."""
+    rows = kept.join(frequency, "gram").crossJoin(F.broadcast(n_docs))  # one row
+    weights = rows.select("doc_id", "gram", ((1 + F.log("tf")) * idf(F.col("N"), F.col("df"))).alias("weight"))
+    return SemanticIndex(weights, weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")), frequency, words, n_docs)
+
+
 def index_of(docs: DataFrame, n: int = N, most: int = MOST_GRAMS) -> SemanticIndex:
-    kept = kept_grams(docs, n, most)
-    frequency = kept.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    n_docs = docs.agg(F.count(F.lit(1)).alias("N"))
-    # Counts are summed before they meet the rows, so that a gram of every document fills no task of its own.
-    weighed = kept.join(frequency, "gram").crossJoin(F.broadcast(n_docs))
-    weights = weighed.select("doc_id", "gram", ((1 + F.log("tf")) * idf(F.col("N"), F.col("df"))).alias("weight"))
-    norms = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return SemanticIndex(weights, norms, frequency, content_words(docs), n_docs)
+    tables = grams_and_words(docs, n, most)
+    made = sums(tables | {"seen": docs})
+    return weighed(tables["kept"], made["frequency"], made["n_docs"], tables["words"])
+
+
+def opened(tables: dict[str, DataFrame]) -> SemanticIndex:
+    """An index over the stored layer: sums of all generations, weights and norms from the kept grams."""
+    frequency = tables["frequency"].groupBy("gram").agg(F.sum("df").alias("df")).where("df > 0")
+    return weighed(tables["kept"], frequency, tables["n_docs"].agg(F.sum("N").alias("N")), tables["words"])
 
 
 def shares_word(query: Column, words: Column) -> Column:
@@ -79,10 +104,12 @@ def search(index: SemanticIndex, query: str, limit: int = 20, least: float = LEA
     if not tf or not words:
         return spark.createDataFrame([], "doc_id long, similarity double")
     asked = spark.createDataFrame(sorted(tf.items()), "gram string, tf long")
-    known = index.frequency.join(F.broadcast(asked), "gram").crossJoin(F.broadcast(index.n_docs)).select("gram", ((1 + F.log("tf")) * idf(F.col("N"), F.col("df"))).alias("q"))
+    grams = list(tf)[:MOST_PUSHED]
+    only = (lambda d: d.where(F.col("gram").isin(grams))) if len(tf) <= MOST_PUSHED else (lambda d: d)
+    known = only(index.frequency).join(F.broadcast(asked), "gram").crossJoin(F.broadcast(index.n_docs)).select("gram", ((1 + F.log("tf")) * idf(F.col("N"), F.col("df"))).alias("q"))
     norm = known.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
     # As many rows as the query has grams.
-    dots = index.weights.join(F.broadcast(known), "gram").groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("q")).alias("dot"))
+    dots = only(index.weights).join(F.broadcast(known), "gram").groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("q")).alias("dot"))
     similar = dots.join(index.norms, "doc_id").crossJoin(F.broadcast(norm)).withColumn("similarity", F.col("dot") / (F.col("norm") * F.col("q_norm"))).where(F.col("similarity") >= least)
     passed = similar.join(index.words, "doc_id").where(shares_word(F.array(*(F.lit(w) for w in words)), F.col("words")))
     return passed.select("doc_id", "similarity").orderBy(F.desc("similarity"), "doc_id").limit(limit)

@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
-from inkwell.operators import evaluate, fuzzy, graph, health, ingest, intelligence, lexical, organize, ranking, semantic, usage
+from inkwell.operators import derived, evaluate, fuzzy, graph, health, ingest, intelligence, lexical, organize, ranking, semantic, usage
 from inkwell.operators.search import Engine
 from inkwell.plans import language
 from inkwell.plans.corpus import DOCS_SQL, NOW, TOK_FOLD_SQL, TOK_GRAM_SQL, TOK_INDEX_SQL, TOK_RANK_SQL, USAGE_SQL, documents, table, usage_events
+from inkwell.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -420,6 +421,78 @@ def embedding_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("query_id", "vec_id", s.alias("similarity")).withColumn("r", F.row_number().over(best)).where("r <= 10").drop("r")
 
 
+# --- stored layers ---------------------------------------------------------------------------------------------------------
+
+#: Where an application has stored the layers of some tables.
+FOLDERS: dict[tuple[str, str], str] = {}
+
+
+def folder_of(spark: SparkSession, sf_dir: str) -> str:
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in FOLDERS:
+        FOLDERS[key] = new_folder(spark, "layers")
+    return FOLDERS[key]
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """Kept in step with the documents, then opened for reading a page of them."""
+    path = folder_of(spark, sf_dir)
+    derived.refresh(documents(spark, sf_dir), path, derived.LAYERS["lexical"])
+    return derived.lexical_index(documents(spark, sf_dir, dealt=False), path, rebuild=False)
+
+
+def stored_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    plan = language.plan(text)
+    return lambda spark, sf_dir: lexical.matches(stored_index(spark, sf_dir), {"q": plan}).select("doc_id", r6("bm25").alias("bm25"))
+
+
+for _name, _text in SEARCHES.items():
+    QUERIES[f"stored_{_name}"], ORACLE_SQL[f"stored_{_name}"] = stored_query(_text), ORACLE_SQL[_name]
+
+
+@query(ORACLE_SQL["bm25_pool"])
+def stored_bm25_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.pool(stored_index(spark, sf_dir), {"q": TWO_TERMS}, limit=20).select("doc_id", "path", r6("bm25").alias("bm25"))
+
+
+FILTERED = "(the OR und) -qui type:md size:>500"
+
+
+@query(bm25_sql(language.plan(FILTERED)) + " SELECT doc_id, path, round(bm25, 6) AS bm25 FROM matched ORDER BY matched.bm25, path LIMIT 50")
+def stored_bm25_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of alternatives with what is excluded and filters, from the blocks that can hold it."""
+    return lexical.pool(stored_index(spark, sf_dir), {"q": language.plan(FILTERED)}, limit=10).select("doc_id", "path", r6("bm25").alias("bm25"))
+
+
+@query(ORACLE_SQL["bm25_pool"])
+def stored_bm25_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same page from a layer that was stored of former documents and then brought in step: some were missing, some are gone, some had another text."""
+    now, path, layer = documents(spark, sf_dir), new_folder(spark, "updated"), derived.LAYERS["lexical"]
+    other = F.col("doc_id") % 20 == 1
+    before = now.where(F.col("doc_id") % 20 != 0).withColumns({"content": F.when(other, F.lit("the former text of the document")).otherwise(F.col("content")), "modified_at": F.when(other, F.col("modified_at") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("modified_at"))})
+    gone = now.where(F.col("doc_id") % 20 == 2).withColumns({"doc_id": -F.col("doc_id"), "path": F.concat("path", F.lit(".old"))})
+    derived.write(before.unionByName(gone), path, layer)
+    return lexical.pool(derived.lexical_index(now, path), {"q": TWO_TERMS}, limit=20).select("doc_id", "path", r6("bm25").alias("bm25"))
+
+
+@query(ORACLE_SQL["rank_composite_topk"])
+def stored_rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated, weights = Engine(stored_index(spark, sf_dir), NOW).signals("the of", TWO_TERMS, 20)
+    best = rated.withColumn("score", ranking.score(weights)).orderBy(F.desc("score"), "path").limit(20)
+    return best.select("doc_id", "path", r6("score").alias("score"), F.row_number().over(Window.orderBy(F.desc("score"), "path")).cast("long").alias("rank"))  # a page of 20 rows
+
+
+@query(ORACLE_SQL["semantic_topk"])
+def stored_semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantic.search(derived.semantic_index(documents(spark, sf_dir), folder_of(spark, sf_dir)), SEMANTIC_QUERY).select("doc_id", r6("similarity").alias("similarity"))
+
+
+@query(ORACLE_SQL["fuzzy_candidates"])
+def stored_fuzzy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = derived.read(documents(spark, sf_dir), folder_of(spark, sf_dir), derived.LAYERS["fuzzy"])["prints"]
+    return fuzzy.candidates(prints, fuzzy.query_tokens(FUZZY_QUERY)).select("doc_id", r6("score").alias("score"))
+
+
 # --- relations between documents ---------------------------------------------------------------------------------------------
 
 

@@ -15,13 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, source, name, path, extension, size, modified_at, content)."""
+def documents(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
+    """(doc_id, source, name, path, extension, size, modified_at, content). dealt: over all cores; else as the scan gives them, for reads of a few."""
     ext = F.element_at(F.array(*(F.lit(x) for x in ("md", "txt", "pdf", "csv"))), (F.col("doc_id") % 4 + 1).cast("int"))
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit("."), ext)
     path = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), name)
     modified = F.lit(NOW).cast("timestamp") - F.make_interval(days=(F.col("doc_id") % 900).cast("int"))
-    return spread(table(spark, sf_dir, "documents")).select("doc_id", "source", name.alias("name"), path.alias("path"), F.concat(F.lit("."), ext).alias("extension"), F.col("n_chars").alias("size"), modified.alias("modified_at"), F.col("text").alias("content"))
+    rows = table(spark, sf_dir, "documents")
+    return (spread(rows) if dealt else rows).select("doc_id", "source", name.alias("name"), path.alias("path"), F.concat(F.lit("."), ext).alias("extension"), F.col("n_chars").alias("size"), modified.alias("modified_at"), F.col("text").alias("content"))
 
 
 def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:

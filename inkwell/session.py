@@ -1,9 +1,12 @@
-"""What a session needs before the package's Python functions run on executors."""
+"""What a session needs before the package's Python functions run on executors, and where tables of an application lie."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -11,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Set on a SparkContext that has this package.
 SHIPPED = "inkwell_shipped"
+#: Folders of this application's tables, and temporary folders of local sessions that name none, by application.
+TOPS: set[str] = set()
+LOCAL: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -31,3 +37,42 @@ def spread(rows: DataFrame) -> DataFrame:
     """rows over as many partitions as the session has cores, where a scan has fewer: a small file of one row group is else one task's work."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir that driver and executors share. Where it is unset a local session (tests) gets a temporary one; a cluster must name one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        application = spark.sparkContext.applicationId
+        base = LOCAL.get(application) or LOCAL.setdefault(application, tempfile.mkdtemp(prefix="spark-"))
+    return base.rstrip("/")
+
+
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A path for a table of this application; all of them go when the application ends, or by `clean`."""
+    top = f"{shared_folder(spark)}/inkwell-{spark.sparkContext.applicationId}"
+    if top not in TOPS:
+        TOPS.add(top)
+        atexit.register(clean, spark)
+    return f"{top}/{what}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the tables that this application has written to the shared folder. Results that are not read yet are lost."""
+    with contextlib.suppress(Exception):  # at the end of an application its JVM may be gone
+        delete(spark, f"{shared_folder(spark)}/inkwell-{spark.sparkContext.applicationId}")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """Write `df` to the shared folder and read it again: cuts lineage, survives lost executors."""
+    path = new_folder(df.sparkSession, what)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

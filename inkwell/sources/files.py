@@ -14,9 +14,12 @@ import re
 import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pyarrow as pa
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,10 +128,23 @@ class Package:
         return sorted(found, key=lambda m: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", m.filename)])
 
     def tree(self, member: zipfile.ZipInfo) -> ElementTree.Element:
-        data = self.read(member)
-        if re.search(rb"<!entity", data[: 1 << 16], re.IGNORECASE):
-            raise ValueError(f"{member.filename} declares entities")
-        return ElementTree.fromstring(data)
+        return parsed(self.read(member), member.filename)
+
+
+def parsed(data: bytes, name: str) -> ElementTree.Element:
+    """An XML tree. The parser itself refuses a document type or an entity, in any encoding and wherever it stands."""
+    builder, parser = ElementTree.TreeBuilder(), expat.ParserCreate(namespace_separator="}")
+    tag = lambda n: "{" + n if "}" in n else n
+
+    def refused(*_: object) -> None:
+        raise ValueError(f"{name} declares entities")
+
+    parser.StartDoctypeDeclHandler = parser.EntityDeclHandler = refused
+    parser.StartElementHandler = lambda n, attributes: builder.start(tag(n), {tag(k): v for k, v in attributes.items()})
+    parser.EndElementHandler = lambda n: builder.end(tag(n))
+    parser.CharacterDataHandler = builder.data
+    parser.Parse(data, True)
+    return builder.close()
 
 
 def local(e: ElementTree.Element) -> str:
@@ -226,6 +242,7 @@ def archive_members(data: bytes, limits: Limits) -> tuple[list[tuple[str, int, s
 def archive(data: bytes, limits: Limits) -> Found:
     """Text members one after the other, each below a line with its name."""
     members, found = archive_members(data, limits)
+    # Fixed value: the form of the line.
     found.text = "".join(f"\n=== {name} ({size} bytes) ===\n{text}" for name, size, text in members)
     return found
 
@@ -354,25 +371,74 @@ def extracted(raw: DataFrame, readers: dict[str, Reader] | None = None, limits:
 
 
 def parts(raw: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """(path, part, name, content): a row for each text member of the archives and each message of the mail boxes among raw rows."""
-    schema = pa.schema([("path", pa.string()), ("part", pa.int32()), ("name", pa.string()), ("content", pa.string())])
+    """(path, part, name, content, status): a row for each text member of the archives and each message of the mail boxes among raw rows; status: ok.
+
+    What is left out has a row of its own for the file, without part and content: status too_large, failed (with why as name), partial (members refused) or truncated (beyond the limits).
+    """
+    schema = pa.schema([("path", pa.string()), ("part", pa.int32()), ("name", pa.string()), ("content", pa.string()), ("status", pa.string())])
+
+    def members(path: str, size: int, data: bytes) -> list[tuple]:
+        if size > MOST_BYTES:
+            return [(path, None, None, None, "too_large")]
+        try:
+            if path.lower().endswith(".zip"):
+                rows, found = archive_members(data, limits)
+                rows = [(n, t) for n, _, t in rows]
+                left = [("truncated" if found.truncated else "partial", "; ".join(found.warnings))] if found.truncated or found.partial else []
+            else:
+                every = messages(data)
+                rows = [((m.structure or [None])[0], m.text) for m in map(message, every[: limits.messages])]
+                left = [("truncated", f"{len(every) - limits.messages} messages")] if len(every) > limits.messages else []
+        except Exception as e:  # a file of any content is data, not a reason to stop the scan
+            return [(path, None, one_line(f"{type(e).__name__}: {e}"), None, "failed")]
+        return [(path, i, name, text, "ok") for i, (name, text) in enumerate(rows)] + [(path, None, one_line(why), None, status) for status, why in left]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                try:
-                    if path.lower().endswith(".zip"):
-                        found = [(n, t) for n, _, t in archive_members(data, limits)[0]]
-                    else:
-                        found = [((m.structure or [None])[0], m.text) for m in map(message, messages(data)[: limits.messages])]
-                except Exception:  # a broken file has no parts; `extracted` gives its status
-                    found = []
+            for row in zip(*(b.column(c).to_pylist() for c in ("path", "length", "content")), strict=True):
+                found = members(*row)
                 for k in range(0, len(found), 256):
-                    some = found[k : k + 256]
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(some)), pa.array(range(k, k + len(some)), pa.int32()), pa.array([n for n, _ in some], pa.string()), pa.array([t for _, t in some], pa.string())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found[k : k + 256], strict=True), schema.types, strict=True)], schema=schema)
 
-    kinds = F.lower("path").rlike("[.](zip|mbox|mbx)$") & (F.col("length") <= MOST_BYTES)
-    return raw.where(kinds).select("path", "content").mapInArrow(each, "path string, part int, name string, content string")
+    content = F.when(F.col("length") <= MOST_BYTES, F.col("content")).alias("content")
+    return raw.where(F.lower("path").rlike("[.](zip|mbox|mbx)$")).select("path", "length", content).mapInArrow(each, "path string, part int, name string, content string, status string")
+
+
+LISTED = pa.schema([("path", pa.string()), ("folder", pa.bool_()), ("size", pa.int64()), ("modified_at", pa.timestamp("us", "UTC"))])
+
+
+def walked(spark: SparkSession, root: str, ignore: Ignore | None = None, tally: Accumulator | None = None) -> DataFrame:
+    """(path, size, modified_at) of every file under root, listed by executors level by level; a directory that the rules skip is never opened. tally: gets the number of directories listed."""
+    from inkwell.session import new_folder
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                scheme, _, place = path.partition(":")
+                system, inner = (fs.LocalFileSystem(), unquoted(place)) if scheme == "file" else fs.FileSystem.from_uri(path)
+                found = system.get_file_info(fs.FileSelector(inner))
+                if tally is not None:
+                    tally.add(1)
+                names = [f"{path.rstrip('/')}/{f.base_name}" for f in found]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([f.type == fs.FileType.Directory for f in found], pa.bool_()), pa.array([None if f.size is None else int(f.size) for f in found], pa.int64()), pa.array([None if f.mtime_ns is None else f.mtime_ns // 1_000_000 * 1000 for f in found], pa.int64()).cast(LISTED.types[3])], schema=LISTED)
+
+    skipped = set(d.lower() for d in ignore.directories) if ignore else set()
+    level, out = spark.createDataFrame([(within(root).rstrip("/"),)], "path string"), []
+    while level is not None:
+        path = new_folder(spark, "listing")
+        level.mapInArrow(opened, "path string, folder boolean, size long, modified_at timestamp").write.parquet(path)
+        listed = spark.read.parquet(path)
+        out.append(listed.where("not folder").select("path", "size", "modified_at"))
+        deeper = listed.where("folder").where(~F.lower(F.element_at(F.split("path", "/"), -1)).isin(sorted(skipped))).select("path")
+        level = None if deeper.isEmpty() else deeper.repartition(spark.sparkContext.defaultParallelism)
+    return reduce(DataFrame.unionByName, out)
+
+
+def unquoted(place: str) -> str:
+    """A local path from what follows `file:`."""
+    return "/" + place.lstrip("/")
 
 
 def listing(spark: SparkSession, root: str, pattern: str = "*", source: str = "local") -> DataFrame:

@@ -1,15 +1,17 @@
 """Stored layers, graph repair, searches with fallbacks, usage and contexts, and small operators, against plain Python."""
 
 import json
+import os
 import re
 import unicodedata
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
-from inkwell.operators import derived, fuzzy, graph, health, ingest, intelligence, lexical, organize, usage
+from inkwell.operators import derived, fuzzy, graph, health, ingest, intelligence, lexical, organize, stored, usage
 from inkwell.operators.search import Engine
 from inkwell.plans import catalog, corpus, language
 
@@ -25,11 +27,16 @@ def rows(df):
     return sorted(map(str, df.collect()))
 
 
-def test_layers_are_built_once_and_rebuilt_when_due(spark, tmp_path, docs, monkeypatch):
+def altered(docs, when, content):
+    """docs with another content and time where `when` holds."""
+    return docs.withColumns({"content": F.when(when, content).otherwise(F.col("content")), "modified_at": F.when(when, F.col("modified_at") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("modified_at"))})
+
+
+def test_layers_are_built_once_and_renewed_when_due(spark, tmp_path, docs):
     path, built = str(tmp_path), Counter()
 
     def counting(layer):
-        return derived.Layer(layer.name, layer.version, lambda d: built.update([layer.name]) or layer.build(d), layer.order)
+        return replace(layer, build=lambda d: built.update([layer.name]) or layer.build(d))
 
     layers = {n: counting(x) for n, x in derived.LAYERS.items() if n in ("lexical", "fuzzy")}
     for _ in range(2):
@@ -39,12 +46,12 @@ def test_layers_are_built_once_and_rebuilt_when_due(spark, tmp_path, docs, monke
     derived.mark_dirty(spark, path, "fuzzy")
     assert rows(derived.read(docs, path, layers["fuzzy"], rebuild=False)["prints"]) == rows(fuzzy.fingerprints(docs)) and built["fuzzy"] == 1
     derived.read(docs, path, layers["fuzzy"])
-    changed = docs.withColumn("content", F.when(F.col("doc_id") == 3, "quite new words").otherwise(F.col("content")))
-    index = lexical.Index(changed, **derived.read(changed, path, layers["lexical"]))
+    changed = altered(docs, F.col("doc_id") == 3, F.lit("quite new words"))
+    index = stored.opened(changed, derived.read(changed, path, layers["lexical"]))
     assert built == {"lexical": 2, "fuzzy": 2}
     plan = {"q": language.plan('"quite new words"')}
     assert [r.doc_id for r in lexical.matches(index, plan).collect()] == [3]
-    newer = derived.Layer("lexical", 2, layers["lexical"].build)
+    newer = replace(layers["lexical"], version=layers["lexical"].version + 1)
     derived.read(changed, path, newer)
     derived.read(changed, path, newer)
     assert built["lexical"] == 3
@@ -55,13 +62,98 @@ def test_layers_are_built_once_and_rebuilt_when_due(spark, tmp_path, docs, monke
     assert built["lexical"] == 4
 
 
+def folder_rows(spark, path, folder):
+    return {name: spark.read.parquet(f"{path}/{folder}/{name}") for name in os.listdir(f"{path}/{folder}")}
+
+
+def summed(tables):
+    """A layer's tables with the sums of all its generations; equal for equal documents."""
+    heads = tables["heads"].groupBy("token").agg(F.sum("n").alias("n")).where("n > 0")
+    return rows(tables["entries"].drop("block")), rows(tables["postings"].drop("block")), rows(heads), rows(tables["about"]), rows(tables["stats"].agg(F.sum("n_docs"), F.sum("n_tokens")))
+
+
+def test_a_change_writes_rows_of_its_documents_alone(spark, tmp_path, docs, monkeypatch):
+    path, fresh, layer = str(tmp_path / "kept"), str(tmp_path / "fresh"), derived.LAYERS["lexical"]
+    derived.read(docs, path, layer)
+    now = altered(docs, F.col("doc_id") == 3, F.lit("quite new words")).where("doc_id != 9").unionByName(docs.where("doc_id = 1").withColumns({"doc_id": F.lit(999).cast("long"), "path": F.lit("/new"), "name": F.lit("new")}))
+    got = derived.read(now, path, layer)
+    last = derived.last(spark, path, "lexical")
+    written = folder_rows(spark, path, last.folder)
+    assert last.kind == "delta" and {r.doc_id for r in written["gone"].collect()} == {3, 9, 999}
+    assert all({r.doc_id for r in written[t].select("doc_id").collect()} == {3, 999} for t in ("entries", "postings", "about", "seen"))
+    assert summed(got) == summed(derived.read(now, fresh, layer))
+    derived.mark_dirty(spark, path, "lexical", ids=spark.createDataFrame([(4,)], "doc_id long"))
+    assert summed(derived.read(now, path, layer)) == summed(got)
+    assert {r.doc_id for r in folder_rows(spark, path, derived.last(spark, path, "lexical").folder)["gone"].collect()} == {4}
+    n = derived.stamps(spark, path).count()
+    derived.read(now, path, layer)
+    assert derived.stamps(spark, path).count() == n  # nothing was due
+    derived.compact(spark, path, layer)
+    assert [s.kind for s in derived.chain(spark, path, "lexical")] == ["base"] and summed(derived.read(now, path, layer)) == summed(got)
+    monkeypatch.setattr(derived, "MOST_DELTAS", 1)
+    for i in (5, 6):
+        now = altered(now, F.col("doc_id") == i, F.lit(f"text {i} of the document"))
+        got = derived.read(now, path, layer)
+    assert len(derived.chain(spark, path, "lexical")) == 1 and summed(got) == summed(derived.read(now, str(tmp_path / "again"), layer))
+    semantic = derived.LAYERS["semantic"]
+    derived.read(docs, path, semantic)
+    norms = lambda p: [(r.doc_id, round(r.norm, 9)) for r in derived.semantic_index(now, p).norms.orderBy("doc_id").collect()]
+    assert norms(path) == norms(fresh) and derived.last(spark, path, "semantic").kind == "delta"
+
+
+def scans(df):
+    """What a plan says of each file scan: PushedFilters and ReadSchema among it."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    return df._jdf.queryExecution().executedPlan().toString().split("FileScan parquet")[1:]
+
+
+def test_a_stored_search_reads_what_it_needs(spark, tmp_path, monkeypatch):
+    every = corpus.documents(spark, "/root/testdata/sf0.01")
+    monkeypatch.setattr(stored, "FINE", stored.FINE | {"parquet.page.row.count.limit": "200"})
+    monkeypatch.setattr(stored, "BLOCK_DOCS", 64)
+    monkeypatch.setattr(stored, "AT_ONCE", 0)
+    index = derived.lexical_index(every, str(tmp_path))
+    rare = index.entries.groupBy("token").count().where("count = 2").orderBy("token").first().token
+    found = lexical.matches(index, {"q": language.plan(rare)})
+    read = [scan for scan in scans(found) if "pos:int" in scan]
+    assert read and all(f"(token,{rare})" in scan for scan in read)
+    assert found.count() == 2
+    some = index.entries.where(F.col("token").isin([rare])).select("token", "doc_id")
+    some.collect()
+    read = sum(int(re.sub(r"[^0-9]", "", m)) for m in scanned(some))
+    assert read < 0.05 * index.entries.count()
+    for text in ("the", "the of", "the OR und", "the -of", "(the OR le) type:md", "zzz OR the", "und le", "nothing1 nothing2"):
+        plan = {"q": language.plan(text)}
+        want = lexical.Index(every, index.postings, index.lengths)
+        key = lambda d: [(r.doc_id, round(r.bm25, 9)) for r in d.collect()]
+        assert sorted(key(index.best(plan, 20))) == sorted(key(want.best(plan, 20))), text
+        assert sorted(key(lexical.pool(index, plan, size=20))) == sorted(key(want.best(plan, 20))), text
+    page = [scan for scan in scans(lexical.pool(index, {"q": language.plan("the of")})) if "text:string" in scan]
+    assert page and all("In(doc_id" in scan for scan in page)
+
+
+def scanned(df):
+    """Rows that each file scan of a plan that ran has given out."""
+    plan = df._jdf.queryExecution().executedPlan()
+    out, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("Scan parquet"):
+            out.append(str(node.metrics().apply("numOutputRows").value()))
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
 def test_stored_layers_search_alike(spark, tmp_path, docs):
     index, kept = derived.semantic_index(docs, str(tmp_path)), catalog.semantic.index_of(docs)
     found = lambda i: [(r.doc_id, round(r.similarity, 9)) for r in catalog.semantic.search(i, catalog.SEMANTIC_QUERY).collect()]
     assert found(index) == found(kept) != []
     plan = {"q": language.plan("the OR und")}
     scores = lambda i: sorted((r.doc_id, round(r.bm25, 9)) for r in lexical.matches(i, plan).collect())
-    assert scores(derived.lexical_index(docs, str(tmp_path))) == scores(lexical.index_of(docs)) == scores(lexical.stored(docs, str(tmp_path / "s")))
+    assert scores(derived.lexical_index(docs, str(tmp_path))) == scores(lexical.index_of(docs)) == scores(derived.lexical_index(docs.repartition(5), str(tmp_path / "s")))
 
 
 def test_graph_repair_gives_what_a_rebuild_gives(spark, docs):

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
-from inkwell.operators import fuzzy, graph, intelligence, lexical
+from inkwell.operators import derived, fuzzy, graph, intelligence, lexical
 from inkwell.operators.search import Engine
 from inkwell.plans import language
 from inkwell.sources import files
@@ -56,7 +56,7 @@ def test_search(spark, query, ids):
 
 def test_stored_index_gives_the_same(spark, tmp_path):
     engine = lambda i: Engine(i, "2024-01-01 00:00:00").search("apple OR pear").select("doc_id", "score").collect()
-    assert engine(lexical.stored(docs(spark), str(tmp_path))) == engine(lexical.index_of(docs(spark)))
+    assert engine(derived.lexical_index(docs(spark), str(tmp_path))) == engine(lexical.index_of(docs(spark)))
 
 
 def test_files_and_stream(spark, tmp_path):

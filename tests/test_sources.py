@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.sources import files, rules
-from inkwell.streaming import reconcile
+from inkwell.streaming import reconcile, watch
 
 
 def zipped(**members):
@@ -72,7 +72,7 @@ def test_formats(spark, tmp_path):
     assert "1 archives not opened" in got["z.zip"].warnings and "2 members refused" in got["z.zip"].warnings and "1 members of other formats" in got["z.zip"].warnings
     assert {r.source for r in got.values()} == {"network"}
     raw = spark.read.format("binaryFile").load(str(tmp_path))
-    parts = {(r.path.rpartition("/")[2], r.part): (r.name, r.content) for r in files.parts(raw).collect()}
+    parts = {(r.path.rpartition("/")[2], r.part): (r.name, r.content) for r in files.parts(raw).where("status = 'ok'").collect()}
     assert parts == {("z.zip", 0): ("a.txt", "alpha"), ("z.zip", 1): ("in/b.py", "beta"), ("b.mbox", 0): ("One", "One\nFrom: x@y.example\nfirst\nFrom here on"), ("b.mbox", 1): ("Two", "Two\nFrom: w@y.example\nsecond")}
     cut = by_name(files.extracted(raw, limits=files.Limits(characters=5, messages=1, members=1), read_if=~F.col("path").endswith("h.md")))
     assert (cut["d.docx"].content, cut["d.docx"].truncated, cut["d.docx"].status) == ("Head\n", True, "truncated") and not cut["bad.txt"].truncated
@@ -107,16 +107,124 @@ def test_stream_follows_changes_below_its_roots(spark, tmp_path):
     assert set(content()) == {"[1]*.txt", "broken.docx", "y.txt", "z.txt"}
 
 
-def test_only_touched_buckets_are_rewritten(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(reconcile, "BUCKETS", 8)
+ROW = lambda p, t: (p, p, ".txt", 1, None, t, "ok", t, [], False, [])
+
+
+def folders(state):
+    return sorted(d for d in os.listdir(state) if d.startswith("b"))
+
+
+def test_a_batch_writes_its_own_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(reconcile, "FOLDED_SHARE", 0.5)
     state = str(tmp_path / "state")
-    row = lambda p, t: (p, p, ".txt", 1, None, t, "ok", t, [], False, [])
-    reconcile.put(spark, state, spark.createDataFrame([row(f"/{i}", "old") for i in range(100)], reconcile.STORED))
-    reconcile.put(spark, state, spark.createDataFrame([row("/5", "new")], reconcile.STORED))
-    assert len([d for d in os.listdir(tmp_path / "state" / "v2") if d.startswith("bucket=")]) == 1
-    assert {r.content for r in reconcile.current(spark, state).where("path = '/5'").collect()} == {"new"} and reconcile.current(spark, state).count() == 100
+    put = lambda rows: reconcile.put(spark, state, spark.createDataFrame(rows, reconcile.STORED))
+    put([ROW(f"/{i}", "old") for i in range(100)])
+    put([ROW("/5", "new"), ROW("/6", "new")])
+    assert spark.read.parquet(f"{state}/b2").count() == 2 and folders(state) == ["b1", "b2"]
+    content = lambda: {r.path: r.content for r in reconcile.current(spark, state).collect()}
+    want = {f"/{i}": "new" if i in (5, 6) else "old" for i in range(100)}
+    assert content() == want
+    put([ROW(f"/{i}", "late") for i in range(40, 90)])  # so many that the table is folded
+    want |= {f"/{i}": "late" for i in range(40, 90)}
+    assert content() == want and len(reconcile.batches(spark, state)) == 1
+    for k in range(2):
+        put([ROW(f"/{i}", f"more {k}") for i in range(60)])
+    want |= {f"/{i}": "more 1" for i in range(60)}
+    assert content() == want and "b1" not in folders(state)  # what no reader needs has gone
+    reconcile.put(spark, state, gone=reconcile.current(spark, state).where("path != '/7'").select("path"))
+    assert set(content()) == {"/7"}
     reconcile.put(spark, state, gone=reconcile.current(spark, state).select("path"))
-    assert reconcile.current(spark, state).count() == 0
+    assert content() == {}
+
+
+def test_a_pass_reads_each_file_once(spark, tmp_path, monkeypatch):
+    tree, state = tmp_path / "tree", str(tmp_path / "state")
+    (tree / "in").mkdir(parents=True)
+    for i in range(30):
+        (tree / "in" / f"{i}.txt").write_text(f"text {i}")
+    (tree / "bad.docx").write_bytes(b"PK")
+    (tree / "x.tmp").write_text("")
+    reads = spark.sparkContext.accumulator(0)
+
+    def counting(data, limits):
+        reads.add(1)
+        return files.plain(data, limits)
+
+    plain = files.extracted
+    monkeypatch.setattr(files, "extracted", lambda raw: plain(raw, files.READERS | {"txt": counting}))
+    counts = lambda **k: {r.action: r.n for r in reconcile.reconcile(spark, str(tree), state, ignore=rules.Ignore(), **k).collect()}
+    assert counts(files_per_batch=8) == {"created": 31, "ignored": 1, "extraction_errors": 1} and reads.value == 30
+    assert len(folders(state)) <= 8
+    (tree / "in" / "3.txt").write_text("another text")
+    os.utime(tree / "in" / "4.txt", (1, 1))
+    os.remove(tree / "in" / "5.txt")
+    assert counts() == {"updated": 1, "unchanged": 29, "deleted": 1, "ignored": 1} and reads.value == 32
+    there = files.walked(spark, str(tree)).withColumn("availability", F.when(F.col("path").endswith("/6.txt"), "cloud_only").otherwise("available"))
+    there = there.withColumn("size", F.when(~F.col("path").rlike("/[789].txt"), F.col("size")))
+    got = counts(there=there, most_errors=2)
+    assert got == {"unchanged": 26, "cloud_only": 1, "errors": 2, "dropped_errors": 1, "ignored": 1}
+    assert len(reconcile.COUNTERS) == 9
+
+
+def test_ignored_directories_are_never_opened(spark, tmp_path):
+    for name in ("a/b/c", "a/node_modules/x/y", ".git/objects", "d"):
+        (tmp_path / name).mkdir(parents=True)
+        (tmp_path / name / "f.txt").write_text("x")
+    tally = spark.sparkContext.accumulator(0)
+    got = files.walked(spark, str(tmp_path), rules.Ignore(), tally)
+    assert {r.path.removeprefix(f"file:{tmp_path}/") for r in got.collect()} == {"a/b/c/f.txt", "d/f.txt"} and tally.value == 5
+    every = files.walked(spark, str(tmp_path))
+    listed = files.listing(spark, str(tmp_path)).select(*every.columns)
+    seen = every.where("path not like '%/.git/%'")  # Spark's own listing leaves hidden folders out
+    assert sorted(map(tuple, seen.collect())) == sorted(map(tuple, listed.collect())) and every.count() == 4
+
+
+def test_a_file_is_read_once_it_is_quiet(spark, tmp_path):
+    tree, state, notices, mark = tmp_path / "tree", str(tmp_path / "state"), str(tmp_path / "notices"), str(tmp_path / "mark")
+    tree.mkdir()
+    at = lambda s: f"2024-01-01 00:00:{s:06.3f}"
+    note = lambda s: watch.note(spark, str(tree), state, notices, at(s))
+    run = lambda: watch.changes(spark, notices, state, mark, quiet="2 seconds").awaitTermination()
+    batches = lambda: len(reconcile.batches(spark, state))
+    for s in (1, 2, 3):
+        (tree / "x.txt").write_text(f"version {s}")
+        os.utime(tree / "x.txt", (s, s))
+        note(s)
+        run()  # ends each time, so that the state crosses restarts
+    assert batches() == 0
+    (tree / "y.txt").write_text("other")
+    note(5.5)
+    run()
+    assert {r.name: r.content for r in reconcile.current(spark, state).collect()} == {"x.txt": "version 3"} and batches() == 1
+    os.remove(tree / "x.txt")
+    for s in (9, 12):
+        note(s)
+        run()
+    assert {r.name: r.content for r in reconcile.current(spark, state).collect()} == {"y.txt": "other"}
+
+
+@pytest.mark.parametrize("data", [
+    '<!DOCTYPE d [<!ENTITY a "b">]><d>&a;</d>'.encode("utf-16"),
+    ("<!--" + "x" * 70_000 + '--><!DOCTYPE d [<!ENTITY a "b">]><d>&a;</d>').encode(),
+    b"<!DOCTYPE d><d/>",
+    b'<!DOCTYPE d SYSTEM "file:///etc/passwd"><d/>',
+])
+def test_document_types_and_entities_are_refused(data):
+    with pytest.raises(ValueError, match="declares entities"):
+        files.parsed(data, "m")
+    assert files.text_of("docx", zipped(**{"word/document.xml": data}), None, files.READERS, files.Limits())[0] == "failed"
+    tree = files.parsed('<a:b xmlns:a="u" a:k="v" l="w">x<c>ü</c>y</a:b>'.encode("utf-16"), "m")
+    assert (tree.tag, tree.attrib, tree.text, tree[0].text, tree[0].tail) == ("{u}b", {"{u}k": "v", "l": "w"}, "x", "ü", "y")
+
+
+def test_parts_tell_what_they_leave_out(spark, tmp_path):
+    (tmp_path / "broken.zip").write_bytes(b"PK nothing")
+    (tmp_path / "b.mbox").write_bytes(b"From a\nSubject: One\n\nx\nFrom b\nSubject: Two\n\ny\n")
+    (tmp_path / "z.zip").write_bytes(zipped(**{"a.txt": "alpha", "../b.txt": "no"}))
+    raw = spark.read.format("binaryFile").load(str(tmp_path)).withColumn("length", F.when(F.col("path").endswith("z.zip"), F.lit(files.MOST_BYTES + 1)).otherwise(F.col("length")))
+    got = {(r.path.rpartition("/")[2], r.part, r.status) for r in files.parts(raw, files.Limits(messages=1)).collect()}
+    assert got == {("broken.zip", None, "failed"), ("b.mbox", 0, "ok"), ("b.mbox", None, "truncated"), ("z.zip", None, "too_large")}
+    assert {r.status for r in files.parts(spark.read.format("binaryFile").load(str(tmp_path / "z.zip"))).collect()} == {"ok", "partial"}
 
 
 @pytest.mark.parametrize("name", ["/abs.txt", "C:x.txt", "a/../b.txt", "a//b.txt", "./a.txt"])
