@@ -29,7 +29,7 @@ Tables = dict[str, DataFrame]
 
 @dataclass(frozen=True)
 class Layer:
-    """build: tables with a doc_id from documents. more: further ones, step by step, from documents and what is written. sums: tables without, from those with; lost: what documents that go take from them.
+    """build: tables with a doc_id from documents. more: further ones, step by step, from documents, what is written, and the tables before a delta. sums: tables without, from those with; lost: what documents that go take from them.
 
     order: columns by which a table is dealt and sorted, so that reads prune. whole: any change builds the layer anew.
     """
@@ -38,12 +38,23 @@ class Layer:
     version: int
     build: Callable[[DataFrame], Tables]
     order: dict[str, tuple[str, ...]] = field(default_factory=dict)
-    more: tuple[Callable[[DataFrame, Tables], Tables], ...] = ()
+    more: tuple[Callable[[DataFrame, Tables, Tables], Tables], ...] = ()
     sums: Callable[[Tables], Tables] = lambda tables: {}
     lost: Callable[[Tables], Tables] = lambda tables: {}
     whole: bool = False
 
 
+def graph_rows(docs: DataFrame) -> Tables:
+    made = graph.nodes(docs)
+    return {"nodes": made, "aliases": graph.aliases(made)}
+
+
+def graph_hits(docs: DataFrame, made: Tables, before: Tables) -> Tables:
+    """Keys of the written nodes, and what the texts name: a changed text may name any document, old or new."""
+    known = made["aliases"].unionByName(before["aliases"]) if before else made["aliases"]
+    return {"keys": graph.keys(made["nodes"]), "hits": graph.hits(docs, known)}
+
+
 LAYERS = {
     layer.name: layer
     for layer in (
@@ -51,7 +62,7 @@ LAYERS = {
         Layer("semantic", 2, semantic.grams_and_words, {"kept": ("gram", "doc_id"), "words": ("doc_id",), "frequency": ("gram",)}, sums=semantic.sums, lost=semantic.lost),
         Layer("fuzzy", 1, lambda docs: {"prints": fuzzy.fingerprints(docs)}, {"prints": ("gram", "doc_id")}, whole=True),
         Layer("analysis", 1, lambda docs: {"analysis": intelligence.analysis(docs)}, {"analysis": ("doc_id",)}),
-        Layer("graph", 1, lambda docs: {"edges": graph.build(docs)}, whole=True),
+        Layer("graph", 2, graph_rows, {"keys": ("key", "kind", "doc_id"), "nodes": ("doc_id",), "aliases": ("alias",), "hits": ("alias",)}, (graph_hits,)),
     )
 }
 
@@ -128,7 +139,7 @@ def put(table: DataFrame, path: str, order: tuple[str, ...] | None, small: bool
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
-def fill(docs: DataFrame, path: str, folder: str, layer: Layer, held: Tables | None = None, lost: Tables | None = None, small: bool = False) -> list[str]:
+def fill(docs: DataFrame, path: str, folder: str, layer: Layer, held: Tables | None = None, lost: Tables | None = None, small: bool = False, before: Tables | None = None) -> list[str]:
     """Write a base or a delta; gives its tables' names. held: the tables with a doc_id, where they are known."""
     made: Tables = {}
 
@@ -141,7 +152,7 @@ def fill(docs: DataFrame, path: str, folder: str, layer: Layer, held: Tables | N
     if held is None:
         each(layer.build(docs) | {"seen": docs.select("doc_id", identity(docs).alias("state"))})
         for step in layer.more:
-            each(step(docs, made))
+            each(step(docs, made, before or {}))
     else:
         each(held)
     each(layer.sums(made))
@@ -169,7 +180,7 @@ def update(docs: DataFrame, path: str, layer: Layer, ids: DataFrame, of: str | N
     gone = put(ids.select("doc_id").distinct(), f"{path}/{folder}/gone", None)
     known = few(gone)
     old = {name: within(t, gone, known) for name, t in before.items() if "doc_id" in t.columns}
-    names = fill(within(docs, gone, known), path, folder, layer, lost=layer.lost(old), small=known is not None)
+    names = fill(within(docs, gone, known), path, folder, layer, lost=layer.lost(old), small=known is not None, before=before)
     stamp(spark, path, layer.name, layer.version, of or snapshot(docs), folder, [*names, "gone"], DELTA)
 
 
@@ -246,5 +257,25 @@ def lexical_index(docs: DataFrame, path: str, rebuild: bool = True) -> store.Sto
     return store.opened(docs, read(docs, path, LAYERS["lexical"], rebuild))
 
 
+def graph_edges(docs: DataFrame, path: str) -> DataFrame:
+    """The stored graph's edges, in step with the documents: repaired around those that have changed since, or compared anew."""
+    spark, layer = docs.sparkSession, LAYERS["graph"]
+    refresh(docs, path, layer)
+    stamped, before = chain(spark, path, layer.name), last(spark, path, "edges")
+    now = graph.Kept(**{n: t for n, t in tables_of(spark, path, stamped).items() if n != "seen"})
+    later = [s for s in stamped if before is not None and s.n > int(before.snapshot)]
+    if before is not None and not later:
+        return spark.read.parquet(f"{path}/{before.folder}/edges")
+    if before is not None and all(s.kind == DELTA for s in later):
+        ids = spark.read.parquet(*(f"{path}/{s.folder}/gone" for s in later)).distinct()
+        edges = graph.repaired(spark.read.parquet(f"{path}/{before.folder}/edges"), now, ids)
+    else:
+        edges = graph.edges_of(now)
+    folder = f"edges-{stamped[-1].n}"
+    made = put(edges, f"{path}/{folder}/edges", None)
+    stamp(spark, path, "edges", layer.version, str(stamped[-1].n), folder, ["edges"], BASE)
+    return made
+
+
 def semantic_index(docs: DataFrame, path: str, rebuild: bool = True) -> semantic.SemanticIndex:
     return semantic.opened(read(docs, path, LAYERS["semantic"], rebuild))

@@ -117,14 +117,32 @@ def search(docs: DataFrame, prints: DataFrame, query: str, limit: int = 20) -> D
     return verified(found, tokens).orderBy(F.desc("score"), F.lower("name"), "path").limit(limit)
 
 
-def corrections(vocabulary: DataFrame, tokens: list[str], most: int = MOST_CORRECTIONS) -> DataFrame:
-    """(token, word, distance, occurrences): for each token the vocabulary's nearest words, nearest and then most frequent first."""
+def without_letters(word: Column, most: Column) -> Column:
+    """The word, and the word without one or, where `most` says so, two of its letters."""
+    places = lambda w: F.filter(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: i <= F.length(w))
+    one = lambda w: F.transform(places(w), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    none = F.array().cast("array<string>")
+    single = F.when(most > 0, one(word)).otherwise(none)
+    double = F.when(most > 1, F.flatten(F.transform(one(word), one))).otherwise(none)
+    return F.array_distinct(F.concat(F.array(word), single, double))
+
+
+def neighbourhood(vocabulary: DataFrame) -> DataFrame:
+    """(variant, word, occurrences): each folded word under what is left of it without one or two letters. Two words within so many edits, swaps among them, share a variant."""
+    words = vocabulary.select(T.fold(F.col("token")).alias("word"), "occurrences").groupBy("word").agg(F.max("occurrences").alias("occurrences")).where(F.length("word") >= LEAST_WORD)
+    # A token of two edits has eight letters, so its words have six.
+    return words.select(F.explode(without_letters(F.col("word"), F.when(F.length("word") >= 6, 2).otherwise(1))).alias("variant"), "word", "occurrences")
+
+
+def corrections(vocabulary: DataFrame, tokens: list[str], most: int = MOST_CORRECTIONS, variants: DataFrame | None = None) -> DataFrame:
+    """(token, word, distance, occurrences): for each token the vocabulary's nearest words, nearest and then most frequent first. variants: the vocabulary's neighbourhood, where it is stored."""
     spark = vocabulary.sparkSession
     asked = spark.createDataFrame([(t,) for t in dict.fromkeys(tokens)], "token string")
-    words = vocabulary.select(T.fold(F.col("token")).alias("word"), "occurrences").groupBy("word").agg(F.max("occurrences").alias("occurrences")).where(F.length("word") >= LEAST_WORD)
+    wanted = asked.select("token", F.explode(without_letters(F.col("token"), T.edit_budget(F.col("token")))).alias("variant"))
     shares = F.arrays_overlap(T.grams(F.col("token")), T.grams(F.col("word")))
-    # The tokens of one query: a handful of rows.
-    near = words.crossJoin(F.broadcast(asked)).where((F.col("token") != F.col("word")) & within_edits(F.col("token"), F.col("word")) & shares)
+    # The variants of one query's tokens: a few hundred rows.
+    met = (neighbourhood(vocabulary) if variants is None else variants).join(F.broadcast(wanted), "variant").select("token", "word", "occurrences").distinct()
+    near = met.where((F.col("token") != F.col("word")) & within_edits(F.col("token"), F.col("word")) & shares)
     rated = near.withColumn("distance", osa_distance("token", "word", T.edit_budget(F.col("token")))).where(F.col("distance") <= T.edit_budget(F.col("token")))
     order = Window.partitionBy("token").orderBy("distance", F.desc("occurrences"), "word")
     return rated.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("token", "word", "distance", "occurrences")

@@ -1,21 +1,33 @@
 """A bounded graph of related documents: candidates by shared keys, scored by eight signals, pruned to each document's strongest edges.
 
 Candidate generation caps each key's postings at its strongest documents before the self-join, so that a key in every
-document makes at most that many pairs; this cap is part of the graph's definition.
+document makes at most that many pairs; this cap is part of the graph's definition, and Spark applies it in each task before keys are dealt. The rows that a very common key has on the other side of
+that join are split by Spark's handling of skewed joins. Of a document's candidates the first `COUNTED` by key are counted, and the `CANDIDATES` that share most are compared; those that name each other come first.
+
+What documents give by themselves (`Kept`) can be stored: after a change only the changed documents are read, and only their keys are looked up.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from inkwell.functions import text as T
 from inkwell.operators import intelligence
 
 #: Bounds of the graph.
 MOST_TERMS, MOST_LEXICAL, MOST_PHRASES, PHRASE_TRIALS, POSTINGS, CANDIDATES, EDGES, ALL_EDGES, LEAST_WEIGHT, ALIAS_LETTERS = 32, 128, 24, 512, 64, 64, 32, 100_000, 0.12, 4
+COUNTED, REFERENCES, ALIAS_WORDS = 256, 16, 4
+#: Kinds of keys, in the order in which their candidates are counted.
+KINDS = ("term", "phrase", "dir")
+#: Aliases that each task may hold as an automaton; more are met by a join.
+MOST_ALIASES = 200_000
 #: What each signal counts; the first six are strong.
 SIGNALS = {"explicit_reference": 0.34, "phrase_overlap": 0.18, "shared_terms": 0.25, "keyword_overlap": 0.25, "lexical_similarity": 0.14, "title_heading_overlap": 0.16, "directory_relationship": 0.04, "provider_context": 0.02}
 STRONG = tuple(SIGNALS)[:6]
@@ -53,47 +65,117 @@ def nodes(docs: DataFrame) -> DataFrame:
     return joined.withColumns({"terms": F.coalesce("terms", none), "lexical": F.coalesce("lexical", none), "title_terms": F.coalesce("title_terms", F.array().cast("array<string>"))})
 
 
-def postings(nodes: DataFrame) -> DataFrame:
-    """(kind, key, doc_id, w): terms, phrases and the last directory, each key's strongest documents."""
+@dataclass
+class Kept:
+    """What documents give by themselves. nodes: as `nodes`. keys: (kind, key, doc_id, w). aliases: (alias, doc_id) that a document goes by. hits: (doc_id, alias) that its text has."""
+
+    nodes: DataFrame
+    keys: DataFrame
+    aliases: DataFrame
+    hits: DataFrame
+
+
+def keys(nodes: DataFrame) -> DataFrame:
+    """(kind, key, doc_id, w): terms, phrases and the last directory of each document."""
     entry = lambda kind, key, w: F.struct(F.lit(kind).alias("kind"), key.alias("key"), w.alias("w"))
-    keys = F.concat(
+    of = F.concat(
         F.transform(F.map_entries("terms"), lambda e: entry("term", e["key"], e["value"])),
         F.transform("phrases", lambda p: entry("phrase", p, F.lit(1.0))),
         F.transform(F.slice("dirs", F.greatest(F.size("dirs"), F.lit(1)), 1), lambda d: entry("dir", d, F.lit(1.0))),
     )
-    rows = nodes.select("doc_id", F.explode(keys).alias("k")).select("k.kind", "k.key", "doc_id", "k.w")
+    return nodes.select("doc_id", F.explode(of).alias("k")).select("k.kind", "k.key", "doc_id", "k.w")
+
+
+def capped(rows: DataFrame) -> DataFrame:
+    """Each key's strongest documents, with their rank r."""
     order = Window.partitionBy("kind", "key").orderBy(F.desc("w"), "doc_id")
-    return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= POSTINGS).drop("r")
+    return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= POSTINGS)
+
+
+def postings(nodes: DataFrame) -> DataFrame:
+    """(kind, key, doc_id, w): each key's strongest documents."""
+    return capped(keys(nodes)).drop("r")
 
 
-def candidates(nodes: DataFrame, references: DataFrame | None = None) -> DataFrame:
-    """(a, b, shared) with a < b: pairs by number of shared keys, each document's best; referenced pairs come first.
+def candidates(keys: DataFrame, references: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """(a, b, shared, named) with a < b: pairs by number of shared keys, each document's best; referenced pairs come first.
 
-    references: (doc_id, target) where one document names another.
+    references: (doc_id, target) where one document names another. only: documents (doc_id) whose candidates are wanted, whichever end has the smaller id; else an ordinary pair counts from its smaller id.
     """
-    keys = postings(nodes)
-    left = nodes.select("doc_id", F.explode(F.concat(F.transform(F.map_keys("terms"), lambda t: F.struct(F.lit("term").alias("kind"), t.alias("key"))), F.transform("phrases", lambda p: F.struct(F.lit("phrase").alias("kind"), p.alias("key"))), F.transform(F.slice("dirs", F.greatest(F.size("dirs"), F.lit(1)), 1), lambda d: F.struct(F.lit("dir").alias("kind"), d.alias("key"))))).alias("k")).select("doc_id", "k.kind", "k.key")
-    shared = left.join(keys.select("kind", "key", F.col("doc_id").alias("other")), ["kind", "key"]).where("doc_id != other").groupBy("doc_id", "other").agg(F.count(F.lit(1)).alias("shared"))
+    mine = keys.select("kind", "key", "doc_id")
+    if only is not None:
+        mine = mine.join(only.select("doc_id"), "doc_id", "left_semi")
+        keys = keys.join(mine.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
+    strongest = capped(keys).select("kind", "key", F.col("doc_id").alias("other"), "r")
+    place = F.struct(F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind")).alias("kind"), "key", "r")
+    shared = mine.join(strongest, ["kind", "key"]).where("doc_id != other").groupBy("doc_id", "other").agg(F.count(F.lit(1)).alias("shared"), F.min(place).alias("first"))
     named = shared.withColumn("named", F.lit(0))
     if references is not None:
         both = references.select("doc_id", F.col("target").alias("other"))
-        named = named.unionByName(both.unionByName(both.select(F.col("other").alias("doc_id"), F.col("doc_id").alias("other"))).where("doc_id != other").distinct().select("doc_id", "other", F.lit(0).cast("long").alias("shared"), F.lit(1).alias("named")))
-        named = named.groupBy("doc_id", "other").agg(F.sum("shared").alias("shared"), F.max("named").alias("named"))
+        both = both.unionByName(both.select(F.col("other").alias("doc_id"), F.col("doc_id").alias("other"))).where("doc_id != other").distinct()
+        both = both.join(only.select("doc_id"), "doc_id", "left_semi") if only is not None else both
+        named = named.unionByName(both.select("doc_id", "other", F.lit(0).cast("long").alias("shared"), F.lit(1).alias("named")), allowMissingColumns=True)
+        named = named.groupBy("doc_id", "other").agg(F.sum("shared").alias("shared"), F.min("first").alias("first"), F.max("named").alias("named"))
+    counted = named.withColumn("c", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("named"), F.asc_nulls_last("first"), "other"))).where(F.col("c") <= COUNTED)
     order = Window.partitionBy("doc_id").orderBy(F.desc("named"), F.desc("shared"), "other")
-    best = named.withColumn("r", F.row_number().over(order)).where(F.col("r") <= CANDIDATES)
-    # An ordinary pair is scored from its lower id; a reference from either.
-    return best.where((F.col("doc_id") < F.col("other")) | (F.col("named") == 1)).groupBy(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).agg(F.max("shared").alias("shared"), F.max("named").alias("named"))
+    best = counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= CANDIDATES)
+    if only is None:
+        best = best.where((F.col("doc_id") < F.col("other")) | (F.col("named") == 1))
+    return best.groupBy(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).agg(F.max("shared").alias("shared"), F.max("named").alias("named"))
 
 
-def mentions(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(doc_id, target): documents whose text has another's name or stem, read as words, in it; names of four letters and more."""
+def aliases(nodes: DataFrame) -> DataFrame:
+    """(alias, doc_id): a document's name and its stem, read as words; four letters and more, four words at most."""
     alias = lambda x: F.array_join(T.tok_rank(x), " ")
-    names = nodes.select(F.col("doc_id").alias("target"), F.explode(F.array_distinct(F.array(alias(F.col("name")), alias(F.regexp_replace("name", "\\.[^.]*$", ""))))).alias("alias")).where(F.length("alias") >= ALIAS_LETTERS)
-    capped = names.withColumn("r", F.row_number().over(Window.partitionBy("alias").orderBy("target"))).where(F.col("r") <= POSTINGS)
+    rows = nodes.select(F.explode(F.array_distinct(F.array(alias(F.col("name")), alias(F.regexp_replace("name", "\\.[^.]*$", ""))))).alias("alias"), "doc_id")
+    return rows.where((F.length("alias") >= ALIAS_LETTERS) & (F.size(F.split("alias", " ")) <= ALIAS_WORDS))
+
+
+def hits(docs: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(doc_id, alias): the aliases that a document's text has, word for word.
+
+    An automaton of all aliases runs once over each text, where a task can hold it; beyond `MOST_ALIASES` the texts' runs of up to four words are joined to them.
+    """
+    distinct = aliases.select("alias").distinct()
+    known = [r.alias for r in distinct.limit(MOST_ALIASES + 1).collect()]
     words = T.tok_rank(intelligence.sample(F.col("content")))
-    length = F.explode(F.sequence(F.lit(1), F.lit(4)))
-    runs = docs.select("doc_id", words.alias("w"), length.alias("n")).where(F.size("w") >= F.col("n")).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " ")))).alias("alias"))
-    return runs.join(capped, "alias").where("doc_id != target").select("doc_id", "target").distinct()
+    if len(known) > MOST_ALIASES:
+        length = F.explode(F.sequence(F.lit(1), F.lit(ALIAS_WORDS)))
+        runs = docs.select("doc_id", words.alias("w"), length.alias("n")).where(F.size("w") >= F.col("n")).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " ")))).alias("alias"))
+        return runs.join(distinct, "alias", "left_semi").select("doc_id", "alias")
+    rows = docs.select("doc_id", F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).alias("text"))
+    kind = rows.schema["doc_id"].dataType
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("alias", pa.string())])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for a in known:
+            machine.add_word(f" {a} ", a)
+        machine.make_automaton()
+        for b in batches:
+            ids, met = [], []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                of = {a for _, a in machine.iter(text)} if known else ()
+                ids += [i] * len(of)
+                met += of
+            yield pa.RecordBatch.from_arrays([pa.array(ids, schema.types[0]), pa.array(met, pa.string())], schema=schema)
+
+    return rows.mapInArrow(found, f"doc_id {kind.simpleString()}, alias string")
+
+
+def named(hits: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(doc_id, target): documents that a text names, the first ones by id of each alias and of each text."""
+    first = aliases.withColumn("r", F.row_number().over(Window.partitionBy("alias").orderBy("doc_id"))).where(F.col("r") <= POSTINGS).select("alias", F.col("doc_id").alias("target"))
+    pairs = hits.join(first, "alias").where("doc_id != target").select("doc_id", "target").distinct()
+    return pairs.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("target"))).where(F.col("r") <= REFERENCES).drop("r")
+
+
+def mentions(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, target): documents whose text has another's name or stem in it."""
+    of = aliases(nodes)
+    return named(hits(docs, of), of)
 
 
 def signal_columns(left: str = "l", right: str = "r") -> dict[str, Column]:
@@ -136,17 +218,26 @@ def scored(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("a", "b", "weight", F.get(evidence, F.lit(0))["kind"].alias("edge_type"), F.transform(evidence, lambda p: F.struct(p["kind"].alias("kind"), p["value"].alias("weight"))).alias("evidence"))
 
 
-def pruned(edges: DataFrame, per_node: int = EDGES, most: int = ALL_EDGES) -> DataFrame:
-    """Edges that are among the strongest of either end, and the strongest of all."""
+def pruned(edges: DataFrame, per_node: int = EDGES, most: int | None = ALL_EDGES) -> DataFrame:
+    """Edges that are among the strongest of either end, and the strongest of all; most: None keeps all of those."""
     ends = edges.withColumn("node", F.explode(F.array("a", "b")))
     order = Window.partitionBy("node").orderBy(F.desc("weight"), "a", "b")
     kept = ends.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_node).drop("r", "node").dropDuplicates(["a", "b"])
-    return kept.orderBy(F.desc("weight"), "a", "b").limit(most)
+    return kept if most is None else kept.orderBy(F.desc("weight"), "a", "b").limit(most)
 
 
-def build(docs: DataFrame) -> DataFrame:
+def kept(docs: DataFrame) -> Kept:
     made = nodes(docs)
-    return pruned(scored(made, candidates(made, mentions(docs, made))))
+    of = aliases(made)
+    return Kept(made, keys(made), of, hits(docs, of))
+
+
+def edges_of(kept: Kept, most: int | None = ALL_EDGES) -> DataFrame:
+    return pruned(scored(kept.nodes, candidates(kept.keys, named(kept.hits, kept.aliases))), most=most)
+
+
+def build(docs: DataFrame, most: int | None = ALL_EDGES) -> DataFrame:
+    return edges_of(kept(docs), most)
 
 
 def related(edges: DataFrame, docs: DataFrame, doc_id: int, limit: int = 10) -> DataFrame:
@@ -155,21 +246,20 @@ def related(edges: DataFrame, docs: DataFrame, doc_id: int, limit: int = 10) ->
     return around.join(docs.select("doc_id", "path"), "doc_id", "left").select("doc_id", F.coalesce("path", F.lit("")).alias("path"), "weight", "edge_type").orderBy(F.desc("weight"), "path", "doc_id").limit(limit)
 
 
-def repaired(edges: DataFrame, docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """The edges after the documents of changed (doc_id) were added, altered or removed.
+def repaired(edges: DataFrame, kept: Kept, changed: DataFrame, most: int | None = ALL_EDGES) -> DataFrame:
+    """The edges after the documents of changed (doc_id) were added, altered or removed; kept: as it is now.
 
     Changed documents and their former neighbours, who may have lost an edge, are compared anew with what shares a bounded posting
-    with them; edges between others stay. Where very many have changed all is built anew.
+    with them; edges between others stay. No text is read. Where very many have changed all is compared anew.
     """
     ids, many = affected(edges, changed)
     if many:
-        return build(docs)
-    made = nodes(docs)
-    pairs = candidates(made, mentions(docs, made))
-    touch = lambda e, c, how: e.join(ids.select(F.col("doc_id").alias(c)), c, how)
-    mine = touch(pairs, "a", "left_semi").unionByName(touch(touch(pairs, "a", "left_anti"), "b", "left_semi"))
-    kept = touch(touch(edges, "a", "left_anti"), "b", "left_anti")
-    return pruned(kept.unionByName(scored(made, mine).select(*kept.columns)))
+        return edges_of(kept, most)
+    of = named(kept.hits, kept.aliases)
+    touching = of.join(ids, "doc_id", "left_semi").unionByName(of.join(ids.withColumnRenamed("doc_id", "target"), "target", "left_semi")).distinct()
+    pairs = candidates(kept.keys, touching, ids)
+    touch = lambda e, c: e.join(ids.select(F.col("doc_id").alias(c)), c, "left_anti")
+    return pruned(touch(touch(edges, "a"), "b").unionByName(scored(kept.nodes, pairs).select(*edges.columns)), most=most)
 
 
 def affected(edges: DataFrame, changed: DataFrame, most: int = CANDIDATES + 2) -> tuple[DataFrame, bool]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.operators import ingest, organize
+from inkwell.session import written
 
 
 def missing(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -98,10 +99,15 @@ def compacted(records: DataFrame, keep: int = 200) -> DataFrame:
 def percentiles(values: DataFrame, by: str, value: str, fractions: tuple[float, ...]) -> DataFrame:
     """(by, p_...) without interpolation: the value at place floor(f * (n - 1)) in order.
 
-    Equal values are counted before anything meets; a window then runs over a key's distinct values with the rows up to each.
+    Equal values are counted before anything meets. Distinct values are dealt over ranges of (by, value); each range's counts tell how many stand before it, so
+    that a key of very many values is placed range by range and no task has all of them.
     """
     counted = values.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_m"))
-    sizes = counted.groupBy(by).agg(F.sum("_m").alias("_n"))
-    upto = counted.withColumn("_end", F.sum("_m").over(Window.partitionBy(by).orderBy(value))).join(sizes, by)
+    dealt = written(counted.repartitionByRange(by, value).withColumn("_p", F.spark_partition_id()), "ranges")
+    ranges = dealt.groupBy(by, "_p").agg(F.sum("_m").alias("_in"))
+    of_key = Window.partitionBy(by)  # a row for each range
+    before = ranges.withColumn("_before", F.sum("_in").over(of_key.orderBy("_p")) - F.col("_in")).withColumn("_n", F.sum("_in").over(of_key)).drop("_in")
+    end = F.sum("_m").over(Window.partitionBy(by, "_p").orderBy(value))
+    upto = dealt.withColumn("_end", end).join(before.select(F.col(by).alias("_by"), F.col("_p").alias("_q"), "_before", "_n"), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_p") == F.col("_q")))
     at = lambda f: F.least(F.col("_n") - 1, F.floor(F.lit(f) * (F.col("_n") - 1)))
-    return upto.groupBy(by).agg(*(F.min(F.when(F.col("_end") > at(f), F.col(value))).alias(f"p{round(f * 100)}") for f in fractions))
+    return upto.groupBy(by).agg(*(F.min(F.when(F.col("_before") + F.col("_end") > at(f), F.col(value))).alias(f"p{round(f * 100)}") for f in fractions))

@@ -92,7 +92,7 @@ class Engine:
 
     def suggestions(self, query: str, most: int = fuzzy.MOST_SUGGESTIONS) -> list[dict]:
         """Corrected queries that have results, nearest first; none if an unknown word has no correction."""
-        vocabulary = lexical.vocabulary(self.index).persist()
+        vocabulary = lexical.vocabulary(self.index, limit=None).persist()
         tokens = [t for t in dict.fromkeys(T.one_tok_fold(query)) if len(t) >= fuzzy.LEAST_WORD]
         known = {r[0] for r in vocabulary.where(T.fold(F.col("token")).isin(tokens)).select(T.fold(F.col("token"))).collect()}
         unknown = [t for t in tokens if t not in known]

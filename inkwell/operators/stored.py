@@ -55,12 +55,12 @@ def postings(docs: DataFrame) -> dict[str, DataFrame]:
     return {"postings": rows.select("token", "block", "doc_id", "col", "pos", "n_tokens")}
 
 
-def entries(docs: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def entries(docs: DataFrame, tables: dict[str, DataFrame], before: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """(token, block, doc_id, f, n_tokens)."""
     return {"entries": tables["postings"].groupBy("token", "block", "doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("f")).select("token", "block", "doc_id", "f", "n_tokens")}
 
 
-def about(docs: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def about(docs: DataFrame, tables: dict[str, DataFrame], before: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Metadata and distinct tokens of each document, from its entries: texts are read once."""
     held = tables["entries"].groupBy("doc_id").agg(F.first("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list("token")).alias("tokens"))
     return {"about": docs.select("doc_id", *META).join(held, "doc_id", "left").withColumns({"n_tokens": F.coalesce("n_tokens", F.lit(0)), "tokens": F.coalesce("tokens", F.array().cast("array<string>"))})}

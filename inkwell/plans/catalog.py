@@ -400,7 +400,7 @@ def fuzzy_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def suggest_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy.corrections(lexical.vocabulary(lexical.index_of(documents(spark, sf_dir))), ["idiott", "patethic", "wrothless"])
+    return fuzzy.corrections(lexical.vocabulary(lexical.index_of(documents(spark, sf_dir)), limit=None), ["idiott", "patethic", "wrothless"])
 
 
 @query("""SELECT q.vec_id AS query_id, c.vec_id, round(c.s, 6) AS similarity FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q,

@@ -156,17 +156,84 @@ def test_stored_layers_search_alike(spark, tmp_path, docs):
     assert scores(derived.lexical_index(docs, str(tmp_path))) == scores(lexical.index_of(docs)) == scores(derived.lexical_index(docs.repartition(5), str(tmp_path / "s")))
 
 
-def test_graph_repair_gives_what_a_rebuild_gives(spark, docs):
+def test_graph_repair_gives_what_a_rebuild_gives(spark, docs, tmp_path):
     given = docs.select("doc_id", "source", "name", "path", "extension", "size", "modified_at", "content")
-    edges = graph.build(given).persist()
-    text = "a rare zebra quagga okapi meets the zebra quagga okapi again and again. "
-    changed = given.withColumn("content", F.when(F.col("doc_id").isin(5, 40), text * 5).otherwise(F.col("content"))).where("doc_id != 7")
-    ids = spark.createDataFrame([(5,), (40,), (7,)], "doc_id long")
+    path, text = str(tmp_path), "a rare zebra quagga okapi meets the zebra quagga okapi again and again, see doc_12.md. "
+    edges = derived.graph_edges(given, path).persist()
+    changed = altered(given, F.col("doc_id").isin(5, 40), F.lit(text * 5)).where("doc_id != 7")
     key = lambda e: {(r.a, r.b): (round(r.weight, 6), r.edge_type) for r in e.collect()}
-    got, whole = key(graph.repaired(edges, changed, ids)), key(graph.build(changed))
-    assert (5, 40) in got and not any(7 in pair for pair in got)
+    first, got, whole = key(edges), key(derived.graph_edges(changed, path)), key(graph.build(changed))
+    assert first == key(graph.build(given))
+    assert (5, 40) in got and {(5, 12), (12, 40)} <= set(got) and not any(7 in pair for pair in got)
     assert {p: w for p, w in got.items() if {5, 40} & set(p)} == {p: w for p, w in whole.items() if {5, 40} & set(p)}
-    assert key(graph.repaired(edges, changed, spark.range(100).select(F.col("id").alias("doc_id")))) == whole
+    last = derived.last(spark, path, "graph")
+    assert last.kind == "delta" and {r.doc_id for r in spark.read.parquet(f"{path}/{last.folder}/nodes").collect()} == {5, 40}
+    kept = graph.Kept(**{n: t for n, t in derived.read(changed, path, derived.LAYERS["graph"]).items()})
+    repair = graph.repaired(edges, kept, spark.createDataFrame([(5,), (40,), (7,)], "doc_id long"))
+    assert not any("content" in scan for scan in scans(repair)) and key(repair) == got
+    assert key(graph.repaired(edges, kept, spark.range(100).select(F.col("id").alias("doc_id")))) == whole
+
+
+def test_graph_candidates_mentions_and_pruning_by_brute_force(spark, docs, monkeypatch):
+    for name, n in {"POSTINGS": 5, "COUNTED": 9, "CANDIDATES": 4, "EDGES": 3, "REFERENCES": 2}.items():
+        monkeypatch.setattr(graph, name, n)
+    text = F.when(F.col("doc_id") % 9 == 0, "see doc_3.csv, Doc_12 and DOC 14 md; not doc_1x or xdoc_2.pdf doc_5 txt").otherwise(F.col("content"))
+    made = graph.nodes(docs.withColumn("content", text)).persist()
+    nodes = {r.doc_id: r for r in made.collect()}
+    by = {}
+    for i, r in nodes.items():
+        of = [("term", t, w) for t, w in r.terms.items()] + [("phrase", p, 1.0) for p in r.phrases] + [("dir", d, 1.0) for d in r.dirs[-1:]]
+        for kind, k, w in of:
+            by.setdefault((graph.KINDS.index(kind), k), []).append((-w, i))
+    words = lambda x: re.findall(r"\w+", x.replace("_", " ").casefold())
+    named, content = {}, {r.doc_id: r.content for r in docs.withColumn("content", text).collect()}
+    for i, r in nodes.items():
+        for a in {" ".join(words(r.name)), " ".join(words(r.name.rpartition(".")[0]))}:
+            named.setdefault(a, []).append(i)
+    pairs = {}
+    for i in nodes:
+        body = f" {' '.join(words(content[i] or ''))} "
+        met = {t for a, of in named.items() if f" {a} " in body for t in sorted(of)[:5] if t != i}
+        pairs[i] = sorted(met)[:2]
+    got = graph.mentions(docs.withColumn("content", text), made).collect()
+    assert {(r.doc_id, r.target) for r in got} == {(i, t) for i, of in pairs.items() for t in of} and got
+    monkeypatch.setattr(graph, "MOST_ALIASES", 1)
+    assert sorted(map(tuple, graph.mentions(docs.withColumn("content", text), made).collect())) == sorted(map(tuple, got))
+    both = {(i, t) for i, of in pairs.items() for t in of} | {(t, i) for i, of in pairs.items() for t in of}
+    shared, first = Counter(), {}
+    for k, of in by.items():
+        for r, (_, other) in enumerate(sorted(of)[:5], 1):
+            for _, i in of:
+                if i != other:
+                    shared[i, other] += 1
+                    first[i, other] = min(first.get((i, other), (9,)), (*k, r))
+    want = {}
+    for i in nodes:
+        mine = [o for (x, o) in {*shared, *both} if x == i]
+        mine = sorted(mine, key=lambda o: ((i, o) not in both, (i, o) not in first, first.get((i, o), ()), o))[:9]
+        for o in sorted(mine, key=lambda o: ((i, o) not in both, -shared[i, o], o))[:4]:
+            if i < o or (i, o) in both:
+                a, b = min(i, o), max(i, o)
+                n, x = want.get((a, b), (0, 0))
+                want[a, b] = max(n, shared[i, o]), max(x, int((i, o) in both))
+    refs = spark.createDataFrame([(i, t) for i, of in pairs.items() for t in of], "doc_id long, target long")
+    assert {(r.a, r.b): (r.shared, r.named) for r in graph.candidates(graph.keys(made), refs).collect()} == want
+    edges = spark.createDataFrame([(a, b, ((a * 7 + b * 3) % 10) / 10) for a, b in want], "a long, b long, weight double")
+    order, ends = lambda e: (-e[2], e[0], e[1]), {}
+    for e in map(tuple, edges.collect()):
+        for node in e[:2]:
+            ends.setdefault(node, []).append(e)
+    left = {e for of in ends.values() for e in sorted(of, key=order)[:3]}
+    assert set(map(tuple, graph.pruned(edges, 3, None).collect())) == left
+    assert set(map(tuple, graph.pruned(edges, 3, 5).collect())) == set(sorted(left, key=order)[:5])
+
+
+def test_percentiles_by_ranges(spark):
+    values = [(k, float((i * 7919) % 501) if i % 11 else None) for k in ("a", "b", None) for i in range(900 if k == "a" else 40)] + [("one", 5.0)]
+    got = {r.k: tuple(r)[1:] for r in health.percentiles(spark.createDataFrame(values, "k string, v double"), "k", "v", (0.0, 0.5, 0.95, 1.0)).collect()}
+    for k in {k for k, _ in values}:
+        mine = sorted(v for x, v in values if x == k and v is not None)
+        assert got[k] == tuple(mine[min(len(mine) - 1, int(f * (len(mine) - 1)))] for f in (0.0, 0.5, 0.95, 1.0))
 
 
 def node(**k):
@@ -232,6 +299,9 @@ def test_corrections_by_brute_force(spark, small):
         near = [(slow_osa(token, w), -n, w) for w, n in by.items() if len(w) >= 3 and w != token and abs(len(w) - len(token)) <= budget and set(T.one_grams(token)) & set(T.one_grams(w))]
         want += [(token, w, d, -n) for d, n, w in sorted(x for x in near if x[0] <= budget)[: fuzzy.MOST_CORRECTIONS]]
     assert got == Counter(want) and want
+    index = lexical.vocabulary(lexical.index_of(corpus.documents(spark, small)), limit=None)
+    met = fuzzy.corrections(index, ["idiott", "patethic"], variants=fuzzy.neighbourhood(index))
+    assert not re.search("NestedLoop|Cartesian", met._jdf.queryExecution().executedPlan().toString())
 
 
 def test_engine_fallbacks_filters_and_suggestions(spark, docs):
