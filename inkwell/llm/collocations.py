@@ -1,13 +1,13 @@
 """Phrases that stand together more often than their parts, for each language.
 
 Texts are split into pieces, and identical pieces become one with a multiplicity; all later work is on distinct pieces, packed into blocks.
-Blocks send the 64-bit hashes of their n-grams with weighted counts to hash buckets. A bucket is streamed into a duckdb table on disk, whose grouping spills within
-a memory limit, and answers each block with the hashes that reach the least count. Words and pairs go first; longer n-grams are asked for only where all pairs in them came back, as a phrase
+Blocks send the 64-bit hashes of their n-grams with weighted counts to hash buckets. A bucket is streamed into a duckdb table, which goes to disk beyond
+a memory limit as its grouping does, and answers each block with the hashes that reach the least count. Words and pairs go first; longer n-grams are asked for only where all pairs in them came back, as a phrase
 is at most as frequent as its parts. Hashes only choose what is counted: two phrases of one hash can let a rare one through, never lose one. What came back is counted exactly by its words.
 
 Parts of a candidate are looked up by requests, shuffled to the count's key with hot keys salted, and shuffled back. Scores are exact, as decimals of 38 digits.
 
-The duckdb table is a task's scratch, as Spark's own spill is: it lies in the task's temporary folder and goes with it; nothing reads it afterwards.
+What duckdb spills is a task's scratch, as Spark's own spill is: it lies in a temporary folder of the task and goes with it; nothing reads it afterwards.
 
 Null texts count as empty, null languages as `und`. Texts without words give no rows. A piece of very many words is cut into segments that overlap, so that each n-gram
 counts once. Repeated rows count as often as they come. Columns other than language and text are ignored. An empty table gives no rows.
@@ -17,13 +17,13 @@ from __future__ import annotations
 
 import pickle
 import tempfile
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import count
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -37,8 +37,8 @@ LOWER, UPPER = b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What ends a piece becomes a newline, a tab a space.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 TABLE = bytes.maketrans(UPPER + ENDS + b"\t", LOWER + b"\n" * len(ENDS) + b" ")
-#: Words of a segment; bytes of the pieces that a task holds, and of a block.
-SEGMENT, HELD, BLOCK_BYTES = 50_000, 16 << 20, 6 << 20
+#: Words of a segment; characters of the texts whose pieces a task holds, and bytes of a block's pieces.
+SEGMENT, HELD, BLOCK_BYTES = 50_000, 12 << 20, 6 << 20
 #: Memory of a bucket's duckdb table; beyond it lies on disk.
 MEMORY = "192MB"
 #: Keys of one message at most.
@@ -59,77 +59,78 @@ def unpack(x: bytes) -> object:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
 
 
-def segments(text: str, most: int) -> Iterator[tuple[int, bytes]]:
-    """(tail, words joined by spaces) of each piece; the last `tail` words of a segment begin no n-gram, as the next one has them."""
-    for piece in text.encode("utf-8", "surrogatepass").translate(TABLE).split(b"\n"):
-        words = piece.split()
-        for start in range(0, len(words), SEGMENT):
-            part = words[start : start + SEGMENT + most - 1]
-            yield max(0, len(part) - SEGMENT), b" ".join(part)
+def segments(words: list[bytes], most: int) -> Iterator[tuple[int, bytes]]:
+    """(tail, words joined by spaces) of a long piece's segments; the last `tail` words of one begin no n-gram, as the next one has them."""
+    for start in range(0, len(words), SEGMENT):
+        part = words[start : start + SEGMENT + most - 1]
+        yield max(0, len(part) - SEGMENT), b" ".join(part)
+
+
+def pieces_of(text: str, most: int) -> tuple[list[bytes], list[tuple[int, bytes]]]:
+    """A text's pieces with one space between words, and segments of those of very many words."""
+    plain = text.encode("utf-8", "surrogatepass").translate(TABLE)
+    pieces = [p for p in map(bytes.strip, plain.split(b"\n")) if p]
+    if b"  " in plain:
+        pieces = [b" ".join(p.split()) if b"  " in p else p for p in pieces]
+    if max(map(len, pieces), default=0) < 2 * SEGMENT:
+        return pieces, []
+    long = [p.split(b" ") for p in pieces if len(p) >= 2 * SEGMENT]
+    return [p for p in pieces if len(p) < 2 * SEGMENT], [s for words in long for s in segments(words, most)]
 
 
 def distinct_pieces(docs: DataFrame, most: int, lang: str, text: str) -> DataFrame:
     """(lang, tail, piece, n): distinct pieces with how often they occur."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = defaultdict(int), 0
+        held, size = defaultdict(Counter), 0
 
-        def full() -> pa.RecordBatch:
-            return common.batch_of(PIECES, [(name, tail, piece.decode("utf-8", "surrogatepass"), n) for (name, tail, piece), n in held.items()])
+        def full() -> Iterator[pa.RecordBatch]:
+            for (name, tail), n in held.items():
+                k = len(n)
+                yield pa.RecordBatch.from_arrays([pa.array([name]).take(pa.array(np.zeros(k, np.int8))), pa.array(np.full(k, tail, np.int32)), pa.array(n.keys(), pa.binary()).cast(pa.string()), pa.array(n.values(), pa.int64())], schema=PIECES)
 
         for b in batches:
             for name, body in common.rows(b):
-                for tail, piece in segments(body, most):
-                    at = (name, tail, piece)
-                    if at not in held:
-                        size += len(piece) + 100
-                    held[at] += 1
+                pieces, long = pieces_of(body, most)
+                held[name, 0].update(pieces)
+                for tail, piece in long:
+                    held[name, tail][piece] += 1
+                size += len(body)
                 if size >= HELD:
-                    yield full()
-                    held, size = defaultdict(int), 0
-        if held:
-            yield full()
+                    yield from full()
+                    held, size = defaultdict(Counter), 0
+        yield from full()
 
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInArrow(gather, from_arrow_schema(PIECES)).groupBy("lang", "tail", "piece").agg(F.sum("n").alias("n"))
 
 
+def packed(pieces: pa.Table) -> bytes:
+    """A block: its languages, its words with their language, and the pieces as numbers of words."""
+    langs = pieces.column("lang").combine_chunks().dictionary_encode()
+    words = pc.split_pattern(pieces.column("piece").combine_chunks(), " ")
+    sizes, flat = np.diff(words.offsets.to_numpy()).astype(np.int64), words.flatten().dictionary_encode()
+    of = langs.indices.to_numpy().astype(np.int32)
+    # Words are numbered by language.
+    both, ids = np.unique(np.repeat(of, sizes).astype(np.int64) * len(flat.dictionary) + flat.indices.to_numpy(), return_inverse=True)
+    word_lang, word = np.divmod(both, len(flat.dictionary))
+    named = flat.dictionary.take(pa.array(word)).to_pylist()
+    return pack((langs.dictionary.to_pylist(), word_lang.astype(np.int32), "\n".join(named).encode("utf-8", "surrogatepass"), ids.astype(np.int32), sizes, pieces.column("tail").to_numpy().astype(np.int64), pieces.column("n").to_numpy(), of))
+
+
 def blocks_of(pieces: DataFrame) -> DataFrame:
-    """(block, body): packed pieces. A block numbers its words by language."""
+    """(block, body): packed pieces."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def full() -> pa.RecordBatch:
-            step, numbers, langs = count(), {}, []
-            ids, sizes, tails, mult, of = [], [], [], [], []
-            for name, tail, piece, n in held:
-                if name not in numbers:
-                    numbers[name] = (len(langs), defaultdict(step.__next__))
-                    langs.append(name)
-                place, number = numbers[name]
-                words = piece.encode("utf-8", "surrogatepass").split()
-                ids.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
-                sizes.append(len(words))
-                tails.append(tail)
-                mult.append(n)
-                of.append(place)
-            named = [None] * sum(len(number) for _, number in numbers.values())
-            for place, number in numbers.values():
-                for word, i in number.items():
-                    named[i] = (place, word)
-            body = (langs, np.array([p for p, _ in named], np.int32), b" ".join(w for _, w in named), np.concatenate(ids), np.array(sizes, np.int64), np.array(tails, np.int64), np.array(mult, np.int64), np.array(of, np.int32))
-            return common.batch_of(BLOCKS, [((task << 32) | made, pack(body))])
-
         for b in batches:
-            for row in common.rows(b):
-                held.append(row)
-                size += len(row[2]) + 50
-                if size >= BLOCK_BYTES:
-                    yield full()
-                    made, held, size = made + 1, [], 0
-        if held:
-            yield full()
+            held.append(b)
+            size += b.nbytes
+            if size >= BLOCK_BYTES:
+                yield common.batch_of(BLOCKS, [((task << 32) | made, packed(pa.Table.from_batches(held)))])
+                made, held, size = made + 1, [], 0
+        if sum(map(len, held)):
+            yield common.batch_of(BLOCKS, [((task << 32) | made, packed(pa.Table.from_batches(held)))])
 
     return common.written(pieces.select("lang", "tail", "piece", "n").mapInArrow(gather, from_arrow_schema(BLOCKS)), "piece-blocks")
 
@@ -145,7 +146,7 @@ class Block:
 
     def __init__(self, body: bytes) -> None:
         self.langs, self.word_lang, words, self.ids, sizes, tails, mult, of = unpack(body)
-        self.words = words.split(b" ")
+        self.words = words.split(b"\n")  # no word holds one
         seeds = [xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass")) for name in self.langs]
         digest = xxhash.xxh64_intdigest
         hashes = np.fromiter((digest(w, seeds[p]) for w, p in zip(self.words, self.word_lang.tolist(), strict=True)), np.uint64, len(self.words))
@@ -194,15 +195,17 @@ class Block:
                 at = order[start : min(start + KEYS, cuts[b + 1])]
                 yield b, block, keys[at].tobytes(), pack(counts[at])
 
-    def phrases(self, known: np.ndarray) -> Iterator[tuple]:
-        """(lang, n_words, words, f) of known n-grams, and each language's words as n_words 0."""
+    def phrases(self, known: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """(lang, n_words, phrase, f) of known n-grams, and each language's words as n_words 0."""
+        words, langs = pa.array(self.words, pa.binary()).cast(pa.string()), pa.array(self.langs, pa.string())
         for n, (_, first, hashes, counts) in self.grams.items():
             good = np.flatnonzero(np.isin(hashes, known) & (counts > 0))
-            for place, f in zip(first[good].tolist(), counts[good].tolist(), strict=True):
-                words = b" ".join(self.words[i] for i in self.ids[place : place + n].tolist())
-                yield self.langs[self.lang[place]], n, words.decode("utf-8", "surrogatepass"), f
-        for place, name in enumerate(self.langs):
-            yield name, 0, "", int(self.weight[self.lang == place].sum())
+            at = first[good]
+            parts = [words.take(pa.array(self.ids[at + k])) for k in range(n)]
+            phrase = pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]
+            yield pa.RecordBatch.from_arrays([langs.take(pa.array(self.lang[at])), pa.array(np.full(len(at), n, np.int32)), phrase, pa.array(counts[good])], schema=PHRASES)
+        totals = [int(self.weight[self.lang == place].sum()) for place in range(len(self.langs))]
+        yield pa.RecordBatch.from_arrays([langs, pa.array(np.zeros(len(langs), np.int32)), pa.array([""] * len(langs)), pa.array(totals, pa.int64())], schema=PHRASES)
 
 
 def held_keys(group: pa.Table) -> np.ndarray:
@@ -223,19 +226,24 @@ def frequent(messages: DataFrame, least: int, what: str) -> DataFrame:
     """(block, keys): the hashes of each block that are counted `least` times and more over all blocks."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with tempfile.TemporaryDirectory(prefix="spark-") as scratch, duckdb.connect(f"{scratch}/bucket.db") as con:
-            con.execute(f"SET threads = 1; SET memory_limit = '{MEMORY}'; SET temp_directory = '{scratch}'; SET preserve_insertion_order = false")
+        with tempfile.TemporaryDirectory(prefix="spark-") as scratch, duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": scratch, "preserve_insertion_order": "false"}) as con:
             con.execute("CREATE TABLE grams (block BIGINT, h UBIGINT, n BIGINT)")
-            empty = True
+            held: list[tuple] = []
+
+            def insert() -> None:
+                con.register("got", pa.table([np.concatenate(c) for c in zip(*held, strict=True)], names=["block", "h", "n"]))
+                con.execute("INSERT INTO grams SELECT block, h, n FROM got")
+                con.unregister("got")
+                held.clear()
+
             for b in batches:
                 for block, keys, counts in common.rows(b):
                     h = np.frombuffer(keys, np.uint64)
-                    con.register("got", pa.table([np.full(len(h), block), h, unpack(counts)], names=["block", "h", "n"]))
-                    con.execute("INSERT INTO grams SELECT block, h, n FROM got")
-                    con.unregister("got")
-                    empty = False
-            if empty:
-                return
+                    held.append((np.full(len(h), block), h, unpack(counts)))
+                    if sum(len(x) for x, _, _ in held) >= 1 << 19:
+                        insert()
+            if held:
+                insert()
             con.execute("CREATE TABLE frequent AS SELECT h FROM grams GROUP BY h HAVING sum(n) >= ?", [least])
             for found in con.sql("SELECT block, h FROM grams SEMI JOIN frequent USING (h) ORDER BY block").to_arrow_reader(1 << 16):
                 if len(found):
@@ -272,7 +280,7 @@ def counts(docs: DataFrame, least: int = 30, most: int = 4, lang: str = "lang",
         return batches_of(MESSAGES, (m for block, own, _ in opened(left, right) for m in own.asked(block, tuple(range(3, most + 1)), buckets)))
 
     def last(left: pa.Table, right: pa.Table) -> pa.Table:
-        return batches_of(PHRASES, (p for _, own, known in opened(left, right) for p in own.phrases(known)))
+        return pa.Table.from_batches([b for _, own, known in opened(left, right) for b in own.phrases(known)], PHRASES)
 
     meet = lambda answers, f, schema: blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: f(a, b), from_arrow_schema(schema))
     answers = frequent(blocks.mapInArrow(first, from_arrow_schema(MESSAGES)), least, "frequent-pairs")
