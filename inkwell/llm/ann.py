@@ -3,7 +3,7 @@
 Largest inner products become smallest distances by one more component, sqrt(M^2 - |x|^2) with M the largest norm of a block, and
 queries scaled to norm M. Each of `LINES` random lines has a sorted array of the block's projected vectors; a vector's place in each is
 kept. Around a query's own projection a window opens on each line, as wide as the radius asks for; virtual rehashing widens all
-windows with the radius. A vector that lies in at least a share `SHARE` of the windows has collided often enough and is verified on the original
+windows with the radius, and only the places that a window newly takes in are counted, each once however many rounds there are. A vector that lies in at least a share `SHARE` of the windows has collided often enough and is verified on the original
 vectors in double precision. A query is done once its k-th best found is no farther than the radius. Until k are found the radius grows by
 `FACTOR`; then the running k-th distance is the next radius, and the last. Most queries start from the usual distance of some pilot queries and need one round or two.
 
@@ -33,7 +33,7 @@ LINES, SEED = 128, 42
 WIDTH, SHARE, FACTOR = 3.2, 0.852, 1.25
 #: Vectors and queries of a block at most, on average; numbers in them at most; queries that tell the others where to start.
 VECTORS, NUMBERS, PILOTS = 16384, 1 << 22, 32
-#: Queries that are open at once: each holds a flag for each vector of the block.
+#: Queries that are open at once: each holds a flag and a count for each vector of the block.
 OPEN = 1024
 #: Bands of like norm at most.
 BANDS = 16
@@ -43,17 +43,14 @@ class Lines:
     """A block's vectors as sorted arrays on random lines."""
 
     def __init__(self, x: np.ndarray, ids: np.ndarray) -> None:
-        self.x, self.ids, self.verified = x, ids, 0
+        self.x, self.ids, self.verified, self.counted = x, ids, 0, 0
         self.repeated = len(np.unique(ids)) < len(ids)
         norms = (x**2).sum(axis=1)
         self.most = float(np.sqrt(norms.max()))
         self.directions = np.random.default_rng(SEED).standard_normal((x.shape[1] + 1, LINES))
         on = x @ self.directions[:-1] + np.sqrt(np.maximum(self.most**2 - norms, 0))[:, None] * self.directions[-1]
-        order = np.argsort(on, axis=0, kind="stable").T
-        self.values = np.take_along_axis(on.T, order, axis=1)
-        self.places = np.empty(order.shape, np.uint16 if len(x) < 1 << 16 else np.uint32)
-        np.put_along_axis(self.places, order, np.arange(len(x), dtype=self.places.dtype)[None, :], axis=1)
-        self.space = np.empty(len(x), self.places.dtype), np.empty(len(x), bool), np.empty(len(x), np.uint8)
+        self.order = np.ascontiguousarray(np.argsort(on, axis=0, kind="stable").T.astype(np.int32))
+        self.values = np.take_along_axis(on.T, self.order, axis=1)
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Places and inner products of each query's k best, best first, ties to smaller ids; ids equal to own are left out."""
@@ -69,7 +66,7 @@ class Lines:
 
     def rounds(self, queries: np.ndarray, own: np.ndarray, k: int, scale: np.ndarray, on: np.ndarray, open_: np.ndarray, radius: np.ndarray, found: list) -> np.ndarray:
         """Search the open queries, each from its radius; gives their k-th distances."""
-        seen, far = {i: self.ids == own[i] for i in open_.tolist()}, []
+        seen, far, windows = {i: self.ids == own[i] for i in open_.tolist()}, [], {}
         while len(open_):
             half = radius[open_] * (WIDTH / 2)
             low, high = (np.stack([np.searchsorted(v, on[open_, j] + sign * half, side) for j, v in enumerate(self.values)], axis=1) for sign, side in ((-1, "left"), (1, "right")))
@@ -80,7 +77,7 @@ class Lines:
                     radius[i] *= FACTOR  # too few collisions for k candidates
                     left.append(i)
                     continue
-                new = np.flatnonzero(~seen[i] if last else self.collided(low[at], high[at]) & ~seen[i])
+                new = np.flatnonzero(~seen[i] if last else (self.widened(windows, i, low[at], high[at]) >= SHARE * LINES) & ~seen[i])
                 seen[i][new] = True
                 self.verified += len(new)
                 found[i] = self.best(*found[i], new, queries[i], k)
@@ -88,21 +85,21 @@ class Lines:
                 if last or (kth is not None and kth <= radius[i]):
                     far.append(kth or radius[i])
                     del seen[i]
+                    windows.pop(i, None)
                 else:
                     radius[i] = radius[i] * FACTOR if kth is None else kth
                     left.append(i)
             open_ = np.array(left, np.int64)
         return np.array(far)
 
-    def collided(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Whether each vector lies in enough of the windows [low, high) of the sorted arrays."""
-        (away, inside, count), kind = self.space, self.places.dtype.type
-        count[:] = 0
-        for place, a, n in zip(self.places, low.astype(kind), (high - low).astype(kind), strict=True):
-            np.subtract(place, a, out=away)  # below a it wraps to a large number
-            np.less(away, n, out=inside)
-            np.add(count, inside.view(np.uint8), out=count)
-        return count >= SHARE * LINES
+    def widened(self, windows: dict[int, list[np.ndarray]], i: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """On how many lines each vector lies in query i's windows, now [low, high) of the sorted arrays: what they newly take in on either side is added."""
+        counts, left, right = windows.get(i) or (np.zeros(len(self.x), np.uint8), low, low)
+        new = np.concatenate([o[a:z] for o, a, z in zip(self.order, low, left, strict=True)] + [o[a:z] for o, a, z in zip(self.order, right, high, strict=True)])
+        self.counted += len(new)
+        counts += np.bincount(new, minlength=len(counts)).astype(np.uint8)
+        windows[i] = [counts, low, high]
+        return counts
 
     def best(self, at: np.ndarray, scores: np.ndarray, new: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best of those at hand and the new ones."""
@@ -133,8 +130,8 @@ def blocks_for(count: Column, dim: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(count / F.greatest(F.lit(1), F.least(F.lit(VECTORS), F.floor(F.lit(NUMBERS) / dim))))).cast("long")
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", tally: Accumulator | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest by inner product of each row where is_query holds. tally: gets the number of verified vectors."""
+def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", tally: Accumulator | None = None, places: Accumulator | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest by inner product of each row where is_query holds. tally: gets the number of verified vectors; places: of counted places of the sorted arrays."""
     spark = vectors.sparkSession
     common.prepare(spark)
     valid = vectors.where(F.col(key).isNotNull() & F.coalesce(usable(vector), F.lit(False)))
@@ -167,6 +164,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
         found = lines.search(matrix(right.column("v")), own, k)
         if tally is not None:
             tally.add(lines.verified)
+        if places is not None:
+            places.add(lines.counted)
         return pa.table([np.repeat(own, [len(at) for at, _ in found]), np.concatenate([ids[at] for at, _ in found]), np.concatenate([s for _, s in found])], schema=schema)
 
     keys = ["dim", "band", "d", "q"]
