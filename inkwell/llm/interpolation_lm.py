@@ -30,6 +30,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 
@@ -260,8 +261,7 @@ def score(docs: DataFrame, folds: int = 7, unseen: int = 2, apart: int = 10, key
     v, n_kept, n_apart = (x or 0 for x in answers.where(F.col("kind") == TOTAL).agg(F.sum("n_words"), F.sum("n_kept"), F.sum("n_apart")).first())
     totals = Totals(n_kept + n_apart, v, n_kept)
     weights = learn(answers, totals)
-    kind_of_id = docs.schema[key].dataType.simpleString()
-    id_type = pa.int64() if kind_of_id in ("bigint", "int") else pa.string()
+    kind_of_id, id_type = docs.schema[key].dataType.simpleString(), to_arrow_type(docs.schema[key].dataType)
     schema = pa.schema([("id", id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:

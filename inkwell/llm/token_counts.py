@@ -2,8 +2,8 @@
 
 The cache is a table (tokenizer, digest, n_tokens). A call joins the digests of its texts to it, encodes each
 distinct text that it lacks once, appends those counts and joins again. The tokenizer's version is the SHA-256 of
-its files and its libraries' versions, so that a changed file or library never meets old counts. Only digests meet in the joins; a text crosses the
-network at most once, and not at all where the cache has every text.
+its files and its libraries' versions, so that a changed file or library never meets old counts. Only digests meet in the joins. One row of each digest that the cache lacks is named by its
+id; where these are few they are broadcast and no text crosses the network, else each text crosses it once, dealt by digest and id, so that copies of one text lie apart.
 
 Null texts count as empty (0 tokens). Rows are kept as they come, repeated ones and null ids too; columns of the
 input other than the id and the text are not returned. An empty table gives no rows.
@@ -27,6 +27,8 @@ from . import common
 #: Characters that every Unicode version in use classes alike: Latin blocks and common punctuation. Other texts go
 #: to the tokenizer's own library.
 PLAIN = re.compile("[\t\n\r -~\xa0-ɏ‐-‧€]*")
+#: Digests that are broadcast at most.
+FEW = 50_000
 CACHE = "tokenizer string, digest binary, n_tokens long"
 
 
@@ -106,29 +108,36 @@ class DigestCache:
         counts.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(self.path)
 
 
+def misses(texts: DataFrame, one: DataFrame, n: int) -> DataFrame:
+    """(digest, body) of the rows of texts (digest, body, id) that `one` (digest, id) names, n of them."""
+    named = one.select(F.col("digest").alias("_digest"), F.col("id").alias("_id"))
+    named = F.broadcast(named) if n <= FEW else named.hint("shuffle_hash")  # a table of digests: texts are not sorted
+    return texts.join(named, (F.col("digest") == F.col("_digest")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("digest", "body")
+
+
 def count_tokens(docs: DataFrame, cache: DigestCache, tokenizer: str, ranks: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_tokens) for each row of docs; the cache afterwards has every distinct text of docs."""
     common.prepare(docs.sparkSession)
     version = version_of(tokenizer, ranks)
     body = F.coalesce(F.col(text), F.lit(""))
     digest = F.unhex(F.sha2(body.cast("binary"), 256)).alias("digest")
-    texts = docs.select(digest, body.alias("body"))
+    texts = docs.select(digest, body.alias("body"), F.col(key).alias("id"))
     schema = pa.schema([("digest", pa.binary()), ("n_tokens", pa.int64())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = None
+        count, seen = None, set()
         for b in batches:
             count = count or counter(tokenizer, ranks)
+            fresh = [i for i, d in enumerate(b.column(0).to_pylist()) if d not in seen and not seen.add(d)]  # rows of one id and text
+            b = b.take(pa.array(fresh, pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.binary()), pa.array(count(b.column(1).to_pylist()), pa.int64())], schema=schema)
 
     sized = common.written(docs.select(F.col(key), F.octet_length(body).cast("long").alias("n_bytes"), digest), "sized")
-    rows = sized.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-    missing = common.written(rows.select("digest").join(cache.read(version), "digest", "left_anti"), "missing")
-    if not missing.isEmpty():
-        # Copies are dropped where they are read, before texts are dealt by digest.
-        misses = texts.dropDuplicates(["digest"]).join(missing, "digest", "left_semi")
-        cache.append(misses.mapInArrow(encode, "digest binary, n_tokens long"), version)
+    rows = sized.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("id"))
+    missing = common.written(rows.select("digest", "id").join(cache.read(version), "digest", "left_anti"), "missing")
+    if n := missing.count():
+        cache.append(misses(texts, missing, n).mapInArrow(encode, "digest binary, n_tokens long").dropDuplicates(["digest"]), version)
     # Two runs that append at once may both store a digest; their counts are equal.
     counts = cache.read(version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    known = common.written(rows.join(counts, "digest"), "counts")
+    known = common.written(rows.select("digest", "n").join(counts, "digest"), "counts")
     return common.salted_join(sized, known, "digest", "n", F.xxhash64(key), "inner").select(key, "n_bytes", "n_tokens")

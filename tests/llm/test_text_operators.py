@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from inkwell.llm import bpe, common, interpolation_lm, queries, token_counts, toxicity, winnowing
@@ -402,3 +403,32 @@ def test_toxicity_odd_rows(spark):
     none = toxicity.train(docs, labels.limit(0))
     assert {r.predicted for r in toxicity.score(docs, none).collect()} == {0}
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_a_half_filled_cache_is_asked_first(spark, tmp_path, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    cache = token_counts.DigestCache(spark, str(tmp_path / "cache"))
+    rows = [(i, f"text number {i % 30} of the table") for i in range(90)] + [(None, "no id"), (None, None), (5, "text number 5 of the table"), (5, "another text of one id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    token_counts.count_tokens(docs.where("doc_id % 2 = 0"), cache, path).count()
+    version = token_counts.version_of(path)
+    before = cache.read(version).count()
+    counter = token_counts.counter(path)
+    for few in (token_counts.FEW, 0):  # broadcast, then dealt
+        monkeypatch.setattr(token_counts, "FEW", few)
+        got = sorted(((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(docs, cache, path).collect()), key=repr)
+        assert got == sorted(((i, counter([t or ""])[0]) for i, t in rows), key=repr)
+    assert before == 15 and cache.read(version).select("digest").distinct().count() == len({t or "" for _, t in rows})
+    texts = docs.select(F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("digest"), F.coalesce("text", F.lit("")).alias("body"), F.col("doc_id").alias("id"))
+    one = spark.createDataFrame([(bytearray(32), 1)], "digest binary, id long")
+    plan = lambda n: token_counts.misses(texts, one, n)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.undo()
+    assert "BroadcastHashJoin" in plan(1) and "hashpartitioning" not in plan(1)  # no text is dealt
+    assert "ShuffledHashJoin" in plan(token_counts.FEW + 1)
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "decimal(12,0)"])
+def test_language_model_keeps_the_ids_type(spark, kind):
+    docs = spark.createDataFrame([(1, "a b a b"), (2, "a b"), (3, "b c")], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = interpolation_lm.score(docs)
+    assert got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType and {str(r.doc_id) for r in got.collect()} == {"1", "2", "3"}
