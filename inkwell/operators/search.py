@@ -28,12 +28,7 @@ class Engine:
 
     def search(self, query: str, limit: int = 20, source: str | None = None, doc_type: str | None = None, pool: int | None = None) -> DataFrame:
         """The best results. The fallbacks run only where the words match nothing and no filter is given."""
-        plan = language.plan(query)
-        if source:
-            plan.filters.append(("source", "=", source))
-        if doc_type:
-            plan.filters.append(("type", "=", f".{doc_type.lstrip('.').lower()}"))
-        docs = self.index.docs
+        plan, docs = planned(query, source, doc_type), self.index.docs
         if plan.match is None:
             found = lexical.filter_only(docs, plan, limit) if plan.filters and plan.exclude is None else docs.limit(0)
             return self.shown(found.withColumn("score", F.lit(0.0)), [], "filter")
@@ -114,5 +109,15 @@ class Engine:
         return sorted(first.values(), key=lambda s: (s["distance"], -s["results"], s["query"]))[:most]
 
 
+def planned(query: str, source: str | None = None, doc_type: str | None = None) -> language.Plan:
+    """The plan of a query with filters given beside its text."""
+    plan = language.plan(query)
+    if source:
+        plan.filters.append(("source", "=", source))
+    if doc_type:
+        plan.filters.append(("type", "=", f".{doc_type.lstrip('.').lower()}"))
+    return plan
+
+
 def fuzzy_snippet(content):  # noqa: ANN001, ANN201
     return T.short_snippet(content)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
 from inkwell.operators import derived, evaluate, fuzzy, graph, health, ingest, intelligence, lexical, organize, ranking, semantic, usage
-from inkwell.operators.search import Engine
+from inkwell.operators.search import Engine, planned
 from inkwell.plans import language
 from inkwell.plans.corpus import DOCS_SQL, NOW, TOK_FOLD_SQL, TOK_GRAM_SQL, TOK_INDEX_SQL, TOK_RANK_SQL, USAGE_SQL, documents, table, usage_events
 from inkwell.session import new_folder
@@ -217,6 +217,21 @@ def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return organize.page_after(documents(spark, sf_dir), "doc_id", 100, 128).select("doc_id", "path")
 
 
+KEYWORDS = planned("the OR und", source="src3", doc_type="CSV")
+
+
+@query(bm25_sql(KEYWORDS) + " SELECT doc_id, round(bm25, 6) AS bm25 FROM matched")
+def search_with_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters given beside the query's text."""
+    return lexical.matches(lexical.index_of(documents(spark, sf_dir)), {"q": KEYWORDS}).select("doc_id", r6("bm25").alias("bm25"))
+
+
+@query(f"WITH {DOCS_SQL} SELECT doc_id, path, 'filter' AS layer FROM docs WHERE extension = '.pdf' AND size > 300 ORDER BY modified_at DESC, path LIMIT 40")
+def search_without_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query of filters alone gives the newest documents."""
+    return Engine(lexical.index_of(documents(spark, sf_dir)), NOW).search("type:pdf size:>300", limit=40).select("doc_id", "path", "layer")
+
+
 # --- text ----------------------------------------------------------------------------------------------------------
 
 
@@ -244,6 +259,32 @@ def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.postings(documents(spark, sf_dir)).select("token", "doc_id").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
+NEAR_WORDS = ("idiott", "patethic", "wrothless")
+
+
+@query(f"""WITH {POSTINGS_SQL}, v AS (SELECT DISTINCT token AS word FROM postings WHERE length(token) >= 3), q(token) AS (VALUES {", ".join(f"('{w}')" for w in NEAR_WORDS)}),
+c AS (SELECT token, word, CASE WHEN length(token) < 4 THEN 0 WHEN length(token) < 8 THEN 1 ELSE 2 END AS budget,
+      list_sum(list_transform(list_distinct(string_split(token, '')), lambda x: least(length(token) - length(replace(token, x, '')), length(word) - length(replace(word, x, ''))))) AS common FROM v, q)
+SELECT token, word, budget, common::BIGINT AS common FROM c WHERE abs(length(token) - length(word)) <= budget AND common >= greatest(length(token) - budget, 1)""")
+def letters_within_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheap condition before distances: words whose length and letters leave few enough edits."""
+    asked = spark.createDataFrame([(w,) for w in NEAR_WORDS], "token string")
+    words = lexical.postings(documents(spark, sf_dir)).select(F.col("token").alias("word")).distinct().where(F.length("word") >= 3)
+    near = words.crossJoin(F.broadcast(asked)).where(fuzzy.within_edits(F.col("token"), F.col("word")))  # three asked words against all
+    return near.select("token", "word", T.edit_budget(F.col("token")).alias("budget"), fuzzy.shared_letters(F.col("token"), F.col("word")).cast("long").alias("common"))
+
+
+@query(f"WITH {POSTINGS_SQL} SELECT DISTINCT token, CASE WHEN length(token) < 4 THEN 0 WHEN length(token) < 8 THEN 1 ELSE 2 END AS budget FROM postings")
+def edit_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.postings(documents(spark, sf_dir)).select("token").distinct().select("token", T.edit_budget(F.col("token")).alias("budget"))
+
+
+@query(f"""WITH {DOCS_SQL}, f AS (SELECT doc_id, trim(regexp_replace(coalesce(content, ''), '\\s+', ' ', 'g')) AS flat FROM docs)
+SELECT doc_id, CASE WHEN length(flat) <= 200 THEN flat ELSE coalesce(nullif(regexp_extract(substr(flat, 1, 200), '^(.*)\\s', 1), ''), substr(flat, 1, 200)) || ' ...' END AS snippet FROM f""")
+def fuzzy_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", T.short_snippet(F.col("content")).alias("snippet"))
+
+
 STOP_SQL = ", ".join(f"'{w}'" for w in intelligence.stopwords())
 WORDS_SQL = f"""{DOCS_SQL}, wt AS (SELECT doc_id, {TOK_RANK_SQL.format(x="content")} AS t FROM docs),
 words AS (SELECT * FROM (SELECT doc_id, unnest(t) AS term, unnest(range(len(t))) AS pos FROM wt) WHERE length(term) >= 3 AND term NOT IN ({STOP_SQL}) AND NOT regexp_full_match(term, '\\p{{N}}+')),
@@ -502,6 +543,19 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.build(documents(spark, sf_dir)).select("a", "b", r6("weight").alias("weight"), "edge_type")
 
 
+@query(f"""WITH {DOCS_SQL}, cw AS (SELECT doc_id, list_filter({TOK_RANK_SQL.format(x="content")}, lambda x: length(x) >= 3 AND x NOT IN ({STOP_SQL}))[1:514] AS w FROM docs),
+tok AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM cw),
+nx AS (SELECT doc_id, i, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+tried AS (SELECT doc_id, 2 AS n, i, a || ' ' || b AS phrase FROM nx WHERE b IS NOT NULL UNION ALL SELECT doc_id, 3, i, a || ' ' || b || ' ' || c FROM nx WHERE c IS NOT NULL),
+held AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n, i) AS t FROM tried QUALIFY t <= 512),
+one AS (SELECT doc_id, phrase, min(t) AS t FROM held GROUP BY doc_id, phrase)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY t) AS n, phrase FROM one QUALIFY n <= 24""")
+def document_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's first runs of two and three content words."""
+    found = graph.nodes(documents(spark, sf_dir)).select("doc_id", F.posexplode("phrases").alias("n", "phrase"))
+    return found.select("doc_id", (F.col("n") + 1).cast("long").alias("n"), "phrase")
+
+
 DIR_SQL = f"""{DOCS_SQL}, dirs AS (SELECT doc_id, list_extract(string_split(lower(path), '/'), -2) AS key FROM docs),
 cap AS (SELECT doc_id, key FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS r FROM dirs) WHERE r <= 64)"""
 
@@ -639,6 +693,27 @@ def reconcile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.reconcile(scan, stored, "/").select("doc_id", "size")
 
 
+@query(f"WITH {DOCS_SQL} SELECT doc_id, size + CASE WHEN doc_id % 3 = 0 AND doc_id % 5 <> 0 THEN 1 ELSE 0 END AS size FROM docs WHERE doc_id % 5 <> 0 OR doc_id % 7 <> 0")
+def reconcile_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pass that may have missed files deletes nothing."""
+    scan, stored = scan_and_store(spark, sf_dir)
+    return ingest.reconcile(scan, stored, "/", complete=False).select("doc_id", "size")
+
+
+@query("SELECT event_type, user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) = 1")
+def latest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest record of each kind and user."""
+    return ingest.latest(table(spark, sf_dir, "events"), ["event_type", "user_id"], "event_id").select("event_type", "user_id", "event_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 4 = 0 OR doc_id % 5 = 0 OR doc_id % 6 = 0")
+def analysis_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose analysis is missing, of another version or of other content."""
+    docs = documents(spark, sf_dir).withColumn("content_hash", F.sha2(F.col("content").cast("binary"), 256))
+    kept = docs.where("doc_id % 4 != 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "other").otherwise(F.col("content_hash")).alias("content_hash"), F.when(F.col("doc_id") % 6 == 0, 1).otherwise(2).alias("version"))
+    return intelligence.stale(docs, kept, 2).select("doc_id")
+
+
 @query(f"WITH {DOCS_SQL} SELECT doc_id, size + CASE WHEN doc_id % 3 = 0 AND doc_id % 5 <> 0 THEN 1 ELSE 0 END AS size, sha256(content) AS content_hash FROM docs WHERE doc_id % 7 <> 0")
 def reconcile_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     scan, stored = scan_and_store(spark, sf_dir)
