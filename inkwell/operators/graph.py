@@ -54,15 +54,18 @@ def nodes(docs: DataFrame) -> DataFrame:
     lexical = top(counts.unionByName(terms.select("doc_id", "term", F.lit(1.0).alias("w"))).groupBy("doc_id", "term").agg(F.max("w").alias("w")), "w", "term", MOST_LEXICAL)
     vector = lambda rows, name: rows.groupBy("doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "w")))).alias(name))
     words = F.filter(T.tok_rank(body), content_word)
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - n + 1, F.lit(1))), lambda i: F.slice("words", i, n))
-    tried = F.slice(F.concat(runs(2), runs(3)), 1, PHRASE_TRIALS)
-    phrases = F.slice(F.array_distinct(F.transform(F.filter(tried, lambda p: F.size(p) >= 2), lambda p: F.array_join(p, " "))), 1, MOST_PHRASES)
+    after = lambda k: F.slice("words", k, F.greatest(F.size("words"), F.lit(1)))
+    joined = lambda a, b: F.concat(a, F.lit(" "), b)
+    two = F.zip_with("words", after(2), joined)  # null where a run would pass the end
+    three = F.zip_with(two, after(3), joined)
+    whole = lambda runs: F.filter(runs, lambda p: p.isNotNull())
+    phrases = F.slice(F.array_distinct(F.slice(F.concat(whole(two), whole(three)), 1, PHRASE_TRIALS)), 1, MOST_PHRASES)
     dirs = F.filter(F.slice(F.split(F.lower("path"), "[\\\\/]"), 1, F.greatest(F.size(F.split("path", "[\\\\/]")) - 1, F.lit(0))), lambda p: p != "")
     base = docs.select("doc_id", "name", "path", "source", F.slice(words, 1, PHRASE_TRIALS + 2).alias("words"), dirs.alias("dirs")).withColumn("phrases", phrases).drop("words")
     title_terms = labels.groupBy("doc_id").agg(F.collect_set("term").alias("title_terms"))
-    joined = base.join(vector(terms, "terms"), "doc_id", "left").join(vector(lexical, "lexical"), "doc_id", "left").join(title_terms, "doc_id", "left")
+    met = base.join(vector(terms, "terms"), "doc_id", "left").join(vector(lexical, "lexical"), "doc_id", "left").join(title_terms, "doc_id", "left")
     none = F.create_map().cast("map<string,double>")
-    return joined.withColumns({"terms": F.coalesce("terms", none), "lexical": F.coalesce("lexical", none), "title_terms": F.coalesce("title_terms", F.array().cast("array<string>"))})
+    return met.withColumns({"terms": F.coalesce("terms", none), "lexical": F.coalesce("lexical", none), "title_terms": F.coalesce("title_terms", F.array().cast("array<string>"))})
 
 
 @dataclass
