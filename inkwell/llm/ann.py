@@ -3,7 +3,8 @@
 Largest inner products become smallest distances by one more component, sqrt(M^2 - |x|^2) with M the largest norm of a block, and
 queries scaled to norm M. Each of `LINES` random lines has a sorted array of the block's projected vectors; a vector's place in each is
 kept. Around a query's own projection a window opens on each line, as wide as the radius asks for; virtual rehashing widens all
-windows with the radius, and only the places that a window newly takes in are counted, each once however many rounds there are. A vector that lies in at least a share `SHARE` of the windows has collided often enough and is verified on the original
+windows with the radius. Where windows newly take in a small part of the lines, only those places are counted; where they take in much, as in a query's first round, all places of
+a line are compared with the window at once, which costs less for each (`SCAN`). A vector that lies in at least a share `SHARE` of the windows has collided often enough and is verified on the original
 vectors in double precision. A query is done once its k-th best found is no farther than the radius. Until k are found the radius grows by
 `FACTOR`; then the running k-th distance is the next radius, and the last. Most queries start from the usual distance of some pilot queries and need one round or two.
 
@@ -35,6 +36,8 @@ WIDTH, SHARE, FACTOR = 3.2, 0.852, 1.25
 VECTORS, NUMBERS, PILOTS = 16384, 1 << 22, 32
 #: Queries that are open at once: each holds a flag and a count for each vector of the block.
 OPEN = 1024
+#: Places that are compared in the time that one is counted by itself.
+SCAN = 16
 #: Bands of like norm at most.
 BANDS = 16
 
@@ -51,6 +54,9 @@ class Lines:
         on = x @ self.directions[:-1] + np.sqrt(np.maximum(self.most**2 - norms, 0))[:, None] * self.directions[-1]
         self.order = np.ascontiguousarray(np.argsort(on, axis=0, kind="stable").T.astype(np.int32))
         self.values = np.take_along_axis(on.T, self.order, axis=1)
+        self.places = np.empty(self.order.shape, np.uint16 if len(x) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.places, self.order, np.arange(len(x), dtype=self.places.dtype)[None, :], axis=1)
+        self.space = np.empty(len(x), self.places.dtype), np.empty(len(x), bool)
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Places and inner products of each query's k best, best first, ties to smaller ids; ids equal to own are left out."""
@@ -95,9 +101,19 @@ class Lines:
     def widened(self, windows: dict[int, list[np.ndarray]], i: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """On how many lines each vector lies in query i's windows, now [low, high) of the sorted arrays: what they newly take in on either side is added."""
         counts, left, right = windows.get(i) or (np.zeros(len(self.x), np.uint8), low, low)
-        new = np.concatenate([o[a:z] for o, a, z in zip(self.order, low, left, strict=True)] + [o[a:z] for o, a, z in zip(self.order, right, high, strict=True)])
-        self.counted += len(new)
-        counts += np.bincount(new, minlength=len(counts)).astype(np.uint8)
+        grown = int((left - low).sum() + (high - right).sum())
+        if grown * SCAN > self.places.size:
+            counts[:] = 0
+            (away, inside), kind = self.space, self.places.dtype.type
+            for place, a, n in zip(self.places, low.astype(kind), (high - low).astype(kind), strict=True):
+                np.subtract(place, a, out=away)  # below a it wraps to a large number
+                np.less(away, n, out=inside)
+                np.add(counts, inside.view(np.uint8), out=counts)
+            self.counted += self.places.size
+        elif grown:
+            new = np.concatenate([o[a:z] for o, a, z in zip(self.order, low, left, strict=True)] + [o[a:z] for o, a, z in zip(self.order, right, high, strict=True)])
+            counts += np.bincount(new, minlength=len(counts)).astype(np.uint8)
+            self.counted += grown
         windows[i] = [counts, low, high]
         return counts
 

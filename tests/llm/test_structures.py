@@ -141,22 +141,23 @@ def test_collisions_decide(spark):
     n = docs.count()
     asks = ann.search(docs, F.col("vec_id") % 20 == 0, tally=tally, places=places).select("query_id").distinct().count()
     assert 0 < tally.value < 0.3 * n * asks
-    # Each place of a line is counted once at most over all rounds, and only inside the windows.
-    assert 0 < places.value < ann.LINES * n * asks
+    # Rounds after the first count little beside what the first compares.
+    assert 0 < places.value < 3.5 * ann.LINES * n * asks
 
 
 def test_widened_windows_count_what_they_hold():
     rng = np.random.default_rng(5)
     lines = ann.Lines(rng.standard_normal((300, 8)), np.arange(300))
-    on, windows, total = rng.standard_normal(ann.LINES) * 3, {}, 0
-    for half in (0.1, 0.5, 0.5, 2.0, 40.0):
+    on, windows, total, before = rng.standard_normal(ann.LINES) * 3, {}, 0, 0
+    for half in (0.1, 0.15, 0.2, 0.2, 0.5, 2.0, 40.0):
         low, high = (np.array([np.searchsorted(v, on[j] + s * half, side) for j, v in enumerate(lines.values)]) for s, side in ((-1, "left"), (1, "right")))
         got = lines.widened(windows, 7, low, high)
         want = np.zeros(300, int)
         for o, a, z in zip(lines.order, low, high, strict=True):
             want[o[a:z]] += 1
-        assert (got == want).all() and lines.counted == want.sum() and lines.counted >= total
-        total = lines.counted
+        grown, total = want.sum() - total, want.sum()
+        assert (got == want).all() and lines.counted - before == (grown if grown * ann.SCAN <= lines.places.size else lines.places.size)
+        before = lines.counted
     assert total == 300 * ann.LINES
 
 
