@@ -93,17 +93,20 @@ class Stored(lexical.Index):
     known: list = field(default_factory=list)
 
     def totals(self) -> DataFrame:
-        return self.stats.agg(F.sum("n_docs").alias("N"), (F.sum("n_tokens") / F.sum("n_docs")).alias("avg"))
+        return self.stats.agg(F.sum("n_docs").alias("N"), F.try_divide(F.sum("n_tokens"), F.sum("n_docs")).alias("avg"))
 
     def metadata(self) -> DataFrame:
         return self.about.select("doc_id", *META)
 
+    def table(self, found: list[tuple]) -> DataFrame:
+        return self.docs.sparkSession.createDataFrame(found, f"doc_id {self.docs.schema['doc_id'].dataType.simpleString()}, bm25 double")
+
     def best(self, plans: dict[str, Plan], size: int, docs: DataFrame | None = None) -> DataFrame:
         if docs is not None or not plain(plans):
             return super().best(plans, size, docs)
         name, plan = next(iter(plans.items()))
         found = self.skipping(plan, size)
-        rows = found if isinstance(found, DataFrame) else self.docs.sparkSession.createDataFrame(found, "doc_id long, bm25 double")
+        rows = found if isinstance(found, DataFrame) else self.table(found)
         paths = within(self.about.select("doc_id", "path"), found)
         return paths.join(rows, "doc_id").orderBy("bm25", "path").limit(size).select(F.lit(name).alias("query"), "doc_id", "bm25")
 
@@ -111,8 +114,7 @@ class Stored(lexical.Index):
         if docs is None and plain(plans):
             name, plan = next(iter(plans.items()))
             if not isinstance(found := self.skipping(plan, size), DataFrame):
-                rows = self.docs.sparkSession.createDataFrame(found, "doc_id long, bm25 double")
-                page = within(self.docs, found).join(F.broadcast(rows), "doc_id").orderBy("bm25", "path").limit(size)  # a page of rows
+                page = within(self.docs, found).join(F.broadcast(self.table(found)), "doc_id").orderBy("bm25", "path").limit(size)  # a page of rows
                 return page.withColumn("query", F.lit(name)).select(*self.docs.columns, "query", "bm25")
         cut = self.best(plans, size, docs)
         rows = cut.limit(MOST_IDS + 1).collect()

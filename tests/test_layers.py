@@ -133,6 +133,15 @@ def test_a_stored_search_reads_what_it_needs(spark, tmp_path, monkeypatch):
     assert page and all("In(doc_id" in scan for scan in page)
 
 
+def test_a_stored_index_of_nothing_and_of_other_ids(spark, tmp_path, docs):
+    none = derived.lexical_index(docs.limit(0), str(tmp_path / "none"))
+    assert lexical.pool(none, {"q": language.plan("the of")}).count() == 0 and lexical.matches(none, {"q": language.plan('"of the"')}).count() == 0
+    named = docs.withColumn("doc_id", F.format_string("d%05d", "doc_id"))
+    index = derived.lexical_index(named, str(tmp_path / "named"))
+    key = lambda d: sorted((r.doc_id, round(r.bm25, 9)) for r in d.collect())
+    assert key(lexical.pool(index, {"q": language.plan("the OR und")})) == key(lexical.pool(lexical.index_of(named), {"q": language.plan("the OR und")})) != []
+
+
 def scanned(df):
     """Rows that each file scan of a plan that ran has given out."""
     plan = df._jdf.queryExecution().executedPlan()
