@@ -28,7 +28,7 @@ from . import common
 #: to the tokenizer's own library.
 PLAIN = re.compile("[\t\n\r -~\xa0-ɏ‐-‧€]*")
 #: Digests that are broadcast at most.
-FEW = 50_000
+FEW = 5_000
 CACHE = "tokenizer string, digest binary, n_tokens long"
 
 
