@@ -31,7 +31,7 @@ Tables = dict[str, DataFrame]
 class Layer:
     """build: tables with a doc_id from documents. more: further ones, step by step, from documents, what is written, and the tables before a delta. sums: tables without, from those with; lost: what documents that go take from them.
 
-    order: columns by which a table is dealt and sorted, so that reads prune. whole: any change builds the layer anew.
+    order: columns by which a table is sorted, so that reads prune. whole: any change builds the layer anew.
     """
 
     name: str
@@ -132,9 +132,13 @@ def within(rows: DataFrame, ids: DataFrame, known: list | None) -> DataFrame:
 
 
 def put(table: DataFrame, path: str, order: tuple[str, ...] | None, small: bool = False) -> DataFrame:
-    """Write a table in its order; a small one as one file."""
+    """Write a table sorted by its order; a small one as one file.
+
+    A table of several columns of order is dealt by a hash of the first two, so that the commonest key fills many files and nothing is computed twice to find ranges; filters prune pages in either case.
+    """
     if order:
-        table = (table.coalesce(1) if small else table.repartitionByRange(*order)).sortWithinPartitions(*order)
+        dealt = table.coalesce(1) if small else table.repartition(*order[:2]) if len(order) > 1 else table.repartitionByRange(*order)
+        table = dealt.sortWithinPartitions(*order)
     table.write.mode("overwrite").options(**(store.FINE if order else {})).parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
 

@@ -114,8 +114,11 @@ class Stored(lexical.Index):
         if docs is None and plain(plans):
             name, plan = next(iter(plans.items()))
             if not isinstance(found := self.skipping(plan, size), DataFrame):
-                page = within(self.docs, found).join(F.broadcast(self.table(found)), "doc_id").orderBy("bm25", "path").limit(size)  # a page of rows
-                return page.withColumn("query", F.lit(name)).select(*self.docs.columns, "query", "bm25")
+                if not found:
+                    return self.docs.limit(0).withColumns({"query": F.lit(name), "bm25": F.lit(0.0)})
+                ranks = F.create_map(*(F.lit(x) for row in found for x in row))  # a page of numbers
+                page = within(self.docs, found).withColumns({"query": F.lit(name), "bm25": F.element_at(ranks, F.col("doc_id"))})
+                return page.orderBy("bm25", "path").limit(size)
         cut = self.best(plans, size, docs)
         rows = cut.limit(MOST_IDS + 1).collect()
         if len(rows) > MOST_IDS:
@@ -157,11 +160,12 @@ class Stored(lexical.Index):
         def rated(some: list[int]) -> DataFrame:
             mine = self.entries.where(F.col("token").isin(list(weight)))
             mine = mine if len(some) == len(blocks) else mine.where(F.col("block").isin(some))
+            mine = mine.coalesce(1) if few else mine  # one task sums a few entries without dealing them
             kept = mine.groupBy("doc_id").agg(score, F.collect_set(number).alias("has")).where(condition).select("doc_id", "score")
             return kept.join(self.metadata().where(filters_column(plan.filters)).select("doc_id"), "doc_id", "left_semi") if plan.filters else kept
 
-        least, some = 0.0, [b for _, b, _ in blocks]
-        if sum(c for _, _, c in blocks) > AT_ONCE and len(blocks) > FIRST_BLOCKS:
+        least, some, few = 0.0, [b for _, b, _ in blocks], sum(c for _, _, c in blocks) <= AT_ONCE
+        if not few and len(blocks) > FIRST_BLOCKS:
             top = rated(some[:FIRST_BLOCKS]).orderBy(F.desc("score")).limit(size).collect()  # a page of numbers
             least = top[-1].score * (1 - 1e-9) if len(top) == size else 0.0
             some = [b for bound, b, _ in blocks if bound >= least]
