@@ -11,7 +11,9 @@ import email.policy
 import html
 import io
 import re
+import time
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from inkwell.sources.rules import Ignore
 
-#: Bytes of a file that is read; a larger one has a status and no text.
+#: Bytes of a file that is read, unless limits say otherwise; a larger one has a status and no text.
 MOST_BYTES = 64 << 20
 #: Fixed value: extensions read as text.
 PLAIN = ("txt", "md", "csv", "json", "xml", "py", "js", "ts", "tsx", "jsx", "java", "c", "h", "cpp", "hpp", "cs", "go", "rs", "sql", "yaml", "yml", "toml", "ini", "log")
@@ -36,8 +38,17 @@ MOST_WARNINGS, WARNING_LETTERS = 20, 300
 
 @dataclass(frozen=True)
 class Limits:
-    """What one file may unpack to. characters: of a text; None keeps it whole."""
+    """What one file may hold and unpack to. characters: of a text; None keeps it whole. entries, entry_letters: of the structure.
 
+    seconds: after which a file is left at the next sheet, slide, paragraph, member or message, so that it can't hold up a task; what was read stays and is marked truncated. Reruns may then differ; None sets no such limit.
+    """
+
+    input_bytes: int = MOST_BYTES
+    sheets: int = 500
+    slides: int = 1000
+    seconds: float | None = 30.0
+    entries: int = 64
+    entry_letters: int = 200
     members: int = 4096
     member_bytes: int = 16 << 20
     total_bytes: int = 256 << 20
@@ -56,6 +67,33 @@ class Found:
     partial: bool = False
     truncated: bool = False
 
+    def left_out(self, why: str) -> None:
+        """A part could not be read; the rest counts."""
+        self.warnings.append(why)
+        self.partial = True
+
+    def stopped(self, why: str) -> None:
+        """A limit ended the reading."""
+        self.warnings.append(why)
+        self.truncated = True
+
+
+class Clock:
+    """The time that a reader has for one file."""
+
+    def __init__(self, limits: Limits) -> None:
+        self.seconds, self.start = limits.seconds, time.monotonic()
+
+    def late(self, found: Found, what: str, n: int) -> bool:
+        """Whether time is up before the n-th part, counted from 0."""
+        if self.seconds is None or time.monotonic() - self.start <= self.seconds:
+            return False
+        found.stopped(f"out of time after {self.seconds:g} s and {n} {what}")
+        return True
+
+
+#: What an unreadable member raises: wrong XML, a broken or encrypted zip, a method of compression that is not known, a limit.
+UNREADABLE = (ValueError, expat.ExpatError, zipfile.BadZipFile, zlib.error, OSError, EOFError, NotImplementedError, RuntimeError)
 
 Reader = Callable[[bytes, Limits], Found]
 
@@ -76,7 +114,7 @@ def plain(data: bytes, limits: Limits) -> Found:
 
 def markdown(data: bytes, limits: Limits) -> Found:
     text = decoded(data)
-    return Found(text, [one_line(h) for h in re.findall(r"(?m)^#{1,6}[ \t]+(.+?)[ \t]*$", text)])
+    return Found(text, re.findall(r"(?m)^#{1,6}[ \t]+(.+?)[ \t]*$", text))
 
 
 def flattened(text: str) -> str:
@@ -163,47 +201,75 @@ def runs(e: ElementTree.Element, between: str = "") -> str:
     return between.join(t.text or "" for t in inside(e, "t"))
 
 
+def trees(package: Package, pattern: str, found: Found, what: str = "parts", most: int | None = None, clock: Clock | None = None) -> Iterator[ElementTree.Element]:
+    """The trees of the members of a name, in order and within limits. One that can't be read is left out with a warning."""
+    members = package.matching(pattern)
+    for n, member in enumerate(members):
+        if most is not None and n >= most:
+            found.stopped(f"stopped at {most} of {len(members)} {what}")
+            return
+        if clock and clock.late(found, what, n):
+            return
+        try:
+            yield package.tree(member)
+        except UNREADABLE as e:
+            found.left_out(f"{member.filename}: {e}")
+
+
 def docx(data: bytes, limits: Limits) -> Found:
-    package, found = Package(data, limits), Found()
+    """Paragraphs, one a line. The document's own part must be readable; its title may be missing."""
+    clock, package, found = Clock(limits), Package(data, limits), Found()
     lines = []
     for member in package.matching(r"word/document\.xml"):
-        for p in inside(package.tree(member), "p"):
+        for n, p in enumerate(inside(package.tree(member), "p")):
+            if clock.late(found, "paragraphs", n):
+                break
             if text := runs(p):
                 lines.append(text)
-                if any(attribute(s, "val").startswith("Heading") for s in inside(p, "pStyle")):
-                    found.structure.append(one_line(text))
-    for member in package.matching(r"docProps/core\.xml"):
-        found.structure[:0] = [one_line(t.text) for t in inside(package.tree(member), "title") if t.text and t.text.strip()][:1]
+                if any(attribute(s, "val").lower().startswith("heading") for s in inside(p, "pStyle")):
+                    found.structure.append(text)
+    for core in trees(package, r"docProps/core\.xml", found):
+        found.structure[:0] = [t.text for t in inside(core, "title") if t.text and t.text.strip()][:1]
     found.text = "\n".join(lines)
     return found
 
 
 def pptx(data: bytes, limits: Limits) -> Found:
-    package, found, slides = Package(data, limits), Found(), []
-    for member in package.matching(r"ppt/slides/slide\d+\.xml"):
-        texts = [t.text for t in inside(package.tree(member), "t") if t.text and t.text.strip()]
+    """Slides by number, one a line."""
+    clock, package, found, slides = Clock(limits), Package(data, limits), Found(), []
+    for slide in trees(package, r"ppt/slides/slide\d+\.xml", found, "slides", limits.slides, clock):
+        texts = [t.text for t in inside(slide, "t") if t.text and t.text.strip()]
         if texts:
             slides.append(" ".join(texts))
-            found.structure.append(one_line(texts[0]))
+            found.structure.append(texts[0])
     found.text = "\n".join(slides)
     return found
 
 
 def xlsx(data: bytes, limits: Limits) -> Found:
-    """Cells in order, one a line: shared and inline strings, and raw values."""
-    package, lines = Package(data, limits), []
-    shared = [runs(si) for m in package.matching(r"xl/sharedStrings\.xml") for si in inside(package.tree(m), "si")]
-    names = [one_line(attribute(s, "name")) for m in package.matching(r"xl/workbook\.xml") for s in inside(package.tree(m), "sheet")]
-    for member in package.matching(r"xl/worksheets/sheet\d+\.xml"):
-        for cell in inside(package.tree(member), "c"):
-            kind, value = attribute(cell, "t"), next((v.text or "" for v in inside(cell, "v")), "")
-            text = runs(cell) if kind == "inlineStr" else shared[int(value)] if kind == "s" and value else value
-            if text:
-                lines.append(text)
-    return Found("\n".join(lines), names)
+    """The sheets' names, then cells in order, one a line: shared and inline strings, and raw values. A number of a shared string that is none gives nothing."""
+    clock, package, found = Clock(limits), Package(data, limits), Found()
+    shared = [runs(si) for part in trees(package, r"xl/sharedStrings\.xml", found) for si in inside(part, "si")]
+    names = [n for part in trees(package, r"xl/workbook\.xml", found) for s in inside(part, "sheet") if (n := attribute(s, "name"))]
+    lines, numbers = list(names), []
+
+    def cell_text(cell: ElementTree.Element) -> str:
+        kind, value = attribute(cell, "t"), next((v.text or "" for v in inside(cell, "v")), "")
+        if kind == "inlineStr":
+            return runs(cell)
+        if kind != "s":
+            return value
+        return shared[int(value)] if re.fullmatch(r"\s*[0-9]{1,9}\s*", value) and int(value) < len(shared) else ""
+
+    for sheet in trees(package, r"xl/worksheets/sheet\d+\.xml", found, "sheets", limits.sheets, clock):
+        lines += filter(None, map(cell_text, inside(sheet, "c")))
+        numbers.append(f"sheet{len(numbers) + 1}")
+    found.text, found.structure = "\n".join(lines), names or numbers
+    return found
 
 
 def odt(data: bytes, limits: Limits) -> Found:
+    """Paragraphs and headings, one a line."""
     package = Package(data, limits)
     lines = ["".join(p.itertext()) for m in package.matching(r"content\.xml") for p in package.tree(m).iter() if local(p) in ("p", "h")]
     return Found("\n".join(x for x in lines if x))
@@ -211,12 +277,13 @@ def odt(data: bytes, limits: Limits) -> Found:
 
 def archive_members(data: bytes, limits: Limits) -> tuple[list[tuple[str, int, str]], Found]:
     """(name, bytes, text) of an archive's text members, and what was left out: archives in archives, other formats, unsafe members."""
-    package, found, out, other, nested, refused = Package(data, limits), Found(), [], 0, 0, []
+    clock, package, found, out, other, nested, refused = Clock(limits), Package(data, limits), Found(), [], 0, 0, []
     infos = package.zip.infolist()
     if len(infos) > limits.members:
-        found.warnings.append(f"stopped at {limits.members} of {len(infos)} members")
-        found.truncated = True
-    for member in infos[: limits.members]:
+        found.stopped(f"stopped at {limits.members} of {len(infos)} members")
+    for n, member in enumerate(infos[: limits.members]):
+        if clock.late(found, "members", n):
+            break
         suffix = member.filename.rpartition("/")[2].rpartition(".")[2].lower()
         if member.is_dir():
             continue
@@ -229,13 +296,13 @@ def archive_members(data: bytes, limits: Limits) -> tuple[list[tuple[str, int, s
         else:
             try:
                 body = package.read(member)
-            except (ValueError, OSError, zipfile.BadZipFile, NotImplementedError, RuntimeError) as e:
+            except UNREADABLE as e:
                 refused.append(f"{member.filename}: {e}")
                 continue
             out.append((member.filename, len(body), decoded(body)))
     found.warnings += [f"refused: {w}" for w in refused[:5]]
     found.warnings += [f"{n} {what}" for n, what in ((nested, "archives not opened"), (other, "members of other formats"), (len(refused), "members refused")) if n]
-    found.partial, found.structure = bool(nested or other or refused), [one_line(n) for n, _, _ in out]
+    found.partial, found.structure = bool(nested or other or refused), [n for n, _, _ in out]
     return out, found
 
 
@@ -296,10 +363,12 @@ def mail(data: bytes, limits: Limits) -> Found:
 
 
 def mail_box(data: bytes, limits: Limits) -> Found:
-    every = messages(data)
-    found = Found(truncated=len(every) > limits.messages, warnings=[f"stopped at {limits.messages} of {len(every)} messages"] if len(every) > limits.messages else [])
-    texts = []
-    for raw in every[: limits.messages]:
+    clock, every, found, texts = Clock(limits), messages(data), Found(), []
+    if len(every) > limits.messages:
+        found.stopped(f"stopped at {limits.messages} of {len(every)} messages")
+    for n, raw in enumerate(every[: limits.messages]):
+        if clock.late(found, "messages", n):
+            break
         one = message(raw)
         texts.append(one.text or "")
         found.structure += one.structure
@@ -324,6 +393,12 @@ READERS: dict[str, Reader] = {
 }
 
 
+def outline(names: list[str], limits: Limits) -> list[str]:
+    """A file's structure: distinct lines in their order, bounded in number and length."""
+    lines = (one_line(n, limits.entry_letters) for n in names)
+    return list(dict.fromkeys(filter(None, lines)))[: limits.entries]
+
+
 def text_of(extension: str, data: bytes | None, why: str | None, readers: dict[str, Reader], limits: Limits) -> tuple[str, Found]:
     """(status, what was found): ok, partial, truncated, empty, failed, unsupported, or why the file was not to be read."""
     reader = readers.get(extension)
@@ -337,7 +412,8 @@ def text_of(extension: str, data: bytes | None, why: str | None, readers: dict[s
         found.text, found.truncated = found.text[: limits.characters], True
     if not found.text or not found.text.strip():
         found.text = None
-    return "truncated" if found.truncated else "empty" if found.text is None else "partial" if found.partial else "ok", found
+    found.structure = outline(found.structure, limits)
+    return "truncated" if found.truncated else "partial" if found.partial else "empty" if found.text is None else "ok", found
 
 
 ROWS = "path string, name string, suffix string, size long, modified_at timestamp, content string, status string, warnings array<string>, truncated boolean, structure array<string>"
@@ -348,7 +424,7 @@ def extracted(raw: DataFrame, readers: dict[str, Reader] | None = None, limits:
     readers = READERS if readers is None else readers
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.lower(F.regexp_extract(name, "[.]([^.]+)$", 1))
-    why = F.when(F.lit(False) if read_if is None else ~read_if, "not_read").when(F.col("length") > MOST_BYTES, "too_large")
+    why = F.when(F.lit(False) if read_if is None else ~read_if, "not_read").when(F.col("length") > limits.input_bytes, "too_large")
     rows = raw.select("path", name.alias("name"), suffix.alias("suffix"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), F.when(why.isNull(), F.col("content")).alias("data"), why.alias("why"))
     lists = pa.list_(pa.string())
 
@@ -378,7 +454,7 @@ def parts(raw: DataFrame, limits: Limits = Limits()) -> DataFrame:
     schema = pa.schema([("path", pa.string()), ("part", pa.int32()), ("name", pa.string()), ("content", pa.string()), ("status", pa.string())])
 
     def members(path: str, size: int, data: bytes) -> list[tuple]:
-        if size > MOST_BYTES:
+        if size > limits.input_bytes:
             return [(path, None, None, None, "too_large")]
         try:
             if path.lower().endswith(".zip"):
@@ -400,7 +476,7 @@ def parts(raw: DataFrame, limits: Limits = Limits()) -> DataFrame:
                 for k in range(0, len(found), 256):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found[k : k + 256], strict=True), schema.types, strict=True)], schema=schema)
 
-    content = F.when(F.col("length") <= MOST_BYTES, F.col("content")).alias("content")
+    content = F.when(F.col("length") <= limits.input_bytes, F.col("content")).alias("content")
     return raw.where(F.lower("path").rlike("[.](zip|mbox|mbx)$")).select("path", "length", content).mapInArrow(each, "path string, part int, name string, content string, status string")
 
 

@@ -65,7 +65,7 @@ def test_formats(spark, tmp_path):
     assert got["h.md"].structure == ["One", "Two #x"] and text["p.png"] == (None, "unsupported")
     assert text["d.docx"] == ("Head\nab", "ok") and got["d.docx"].structure == ["The title", "Head"]
     assert text["evil.docx"][1] == text["broken.zip"][1] == "failed" and "declares entities" in got["evil.docx"].warnings[0]
-    assert text["x.xlsm"] == ("one\ninline\n42", "ok") and got["x.xlsm"].structure == ["First"]
+    assert text["x.xlsm"] == ("First\none\ninline\n42", "ok") and got["x.xlsm"].structure == ["First"]
     assert text["m.email"] == ("Hi\nFrom: a@b.example\nTo: c@d.example\nDate: Mon, 01 Jan 2024 00:00:00 +0000\nBody text", "ok")
     assert text["b.mbox"] == ("One\nFrom: x@y.example\nfirst\nFrom here on\n\nTwo\nFrom: w@y.example\nsecond", "ok")
     assert text["z.zip"] == ("\n=== a.txt (5 bytes) ===\nalpha\n=== in/b.py (4 bytes) ===\nbeta", "partial") and got["z.zip"].structure == ["a.txt", "in/b.py"]
@@ -230,3 +230,52 @@ def test_parts_tell_what_they_leave_out(spark, tmp_path):
 @pytest.mark.parametrize("name", ["/abs.txt", "C:x.txt", "a/../b.txt", "a//b.txt", "./a.txt"])
 def test_unsafe_members(name):
     assert files.refusal(zipfile.ZipInfo(name), files.Limits())
+
+
+SHEET = '<w><c><v>{}</v></c></w>'
+
+
+def read(extension, data, **limits):
+    return files.text_of(extension, data, None, files.READERS, files.Limits(**limits))
+
+
+def test_an_unreadable_part_leaves_the_rest():
+    sheets = {f"xl/worksheets/sheet{n}.xml": SHEET.format(n) for n in (10, 2, 1)}
+    status, found = read("xlsx", zipped(**sheets, **{"xl/worksheets/sheet3.xml": "<w><c>"}))
+    assert (status, found.text, found.structure) == ("partial", "1\n2\n10", ["sheet1", "sheet2", "sheet3"]) and found.warnings[0].startswith("xl/worksheets/sheet3.xml")
+    # Shared strings that declare entities are refused; numbers of strings that are not there give nothing.
+    cells = '<w><c t="s"><v>0</v></c><c t="s"><v>x</v></c><c t="s"><v>-1</v></c><c t="s"/><c><v>7</v></c></w>'
+    status, found = read("xlsx", zipped(**{"xl/sharedStrings.xml": '<!DOCTYPE d [<!ENTITY a "b">]><sst/>', "xl/worksheets/sheet1.xml": cells}))
+    assert (status, found.text) == ("partial", "7") and "declares entities" in found.warnings[0]
+    slides = {"ppt/slides/slide1.xml": "<p><t>one</t><t>two</t></p>", "ppt/slides/slide2.xml": "", "ppt/slides/slide3.xml": "<p><t>one</t></p>"}
+    status, found = read("pptx", zipped(**slides))
+    assert (status, found.text, found.structure) == ("partial", "one two\none", ["one"])
+    assert read("xlsx", zipped(**{"xl/worksheets/sheet1.xml": "<"}))[0] == "partial"
+    assert read("xlsx", zipped(**{"xl/worksheets/sheet1.xml": "<w/>"}))[0] == "empty"
+    document = {"word/document.xml": '<d><p><pStyle val="heading 2"/><t>Head</t></p></d>', "docProps/core.xml": "<c>"}
+    status, found = read("docx", zipped(**document))
+    assert (status, found.text, found.structure) == ("partial", "Head", ["Head"])
+
+
+def test_limits_of_parts_and_time():
+    sheets = zipped(**{f"xl/worksheets/sheet{n}.xml": SHEET.format(n) for n in range(1, 6)})
+    slides = zipped(**{f"ppt/slides/slide{n}.xml": f"<p><t>s{n}</t></p>" for n in range(1, 6)})
+    for extension, data, limit, text in (("xlsx", sheets, {"sheets": 2}, "1\n2"), ("pptx", slides, {"slides": 3}, "s1\ns2\ns3")):
+        status, found = read(extension, data, **limit)
+        assert (status, found.text) == ("truncated", text) and found.warnings == [f"stopped at {next(iter(limit.values()))} of 5 {next(iter(limit))}"]
+        assert read(extension, data, **{next(iter(limit)): 5})[0] == "ok"
+    late = {"xlsx": sheets, "pptx": slides, "docx": zipped(**{"word/document.xml": "<d><p><t>a</t></p></d>"}), "zip": zipped(**{"a.txt": "alpha"}), "mbox": BOX}
+    for extension, data in late.items():
+        status, found = read(extension, data, seconds=-1.0)
+        assert (status, found.text, found.truncated) == ("truncated", None, True) and "out of time" in found.warnings[0], extension
+        assert read(extension, data, seconds=None)[0] == read(extension, data)[0] == "ok", extension
+    headings = "\n".join(f"# {'h' * 300}{n % 100}" for n in range(200)) + "\n# z\n# z\n"
+    assert read("md", headings.encode())[1].structure == ["h" * 200, "z"]
+    assert len(read("md", "\n".join(f"# {n}" for n in range(200)).encode())[1].structure) == 64
+    assert len(read("md", "\n".join(f"# {n}" for n in range(200)).encode(), entries=150)[1].structure) == 150
+
+
+def test_files_beyond_the_bytes_that_are_read(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("0123456789")
+    raw = spark.read.format("binaryFile").load(str(tmp_path))
+    assert [files.extracted(raw, limits=files.Limits(input_bytes=n)).first().status for n in (9, 10)] == ["too_large", "ok"]
