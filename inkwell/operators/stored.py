@@ -116,8 +116,7 @@ class Stored(lexical.Index):
             if not isinstance(found := self.skipping(plan, size), DataFrame):
                 if not found:
                     return self.docs.limit(0).withColumns({"query": F.lit(name), "bm25": F.lit(0.0)})
-                ranks = F.create_map(*(F.lit(x) for row in found for x in row))  # a page of numbers
-                page = within(self.docs, found).withColumns({"query": F.lit(name), "bm25": F.element_at(ranks, F.col("doc_id"))})
+                page = within(self.docs, found).withColumns({"query": F.lit(name), "bm25": ranks(found)})
                 return page.orderBy("bm25", "path").limit(size)
         cut = self.best(plans, size, docs)
         rows = cut.limit(MOST_IDS + 1).collect()
@@ -192,7 +191,22 @@ def holds(tree: tuple | None, has: set[int]) -> bool:
 
 def within(rows: DataFrame, found: list | DataFrame) -> DataFrame:
     """Rows of documents that were found: their ids reach the scan as a filter."""
-    return rows.join(found.select("doc_id"), "doc_id", "left_semi") if isinstance(found, DataFrame) else rows.where(F.col("doc_id").isin([r[0] if not hasattr(r, "doc_id") else r.doc_id for r in found]))
+    if isinstance(found, DataFrame):
+        return rows.join(found.select("doc_id"), "doc_id", "left_semi")
+    ids = [r.doc_id if hasattr(r, "doc_id") else r[0] for r in found]
+    return rows.where(f"doc_id IN ({', '.join(map(str, ids))})" if whole_numbers(ids) else F.col("doc_id").isin(ids))
+
+
+def ranks(found: list[tuple]) -> Column:
+    """A document's rank by its id; a page of numbers."""
+    if whole_numbers([i for i, _ in found]):
+        return F.expr(f"element_at(map({', '.join(f'{i}L, {r!r}D' for i, r in found)}), CAST(doc_id AS BIGINT))")
+    return F.element_at(F.create_map(*(F.lit(x) for row in found for x in row)), F.col("doc_id"))
+
+
+def whole_numbers(ids: list) -> bool:
+    """Whether ids can be written into SQL text, which is parsed in one call to the JVM; Columns of literals need several for each."""
+    return bool(ids) and all(type(i) is int and abs(i) < 1 << 63 for i in ids)
 
 
 def part(f, n_tokens, average):  # noqa: ANN001, ANN201
