@@ -10,7 +10,7 @@ A stamp names each base or delta, in order; a layer is what its stamps say, so a
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -282,4 +282,17 @@ def graph_edges(docs: DataFrame, path: str) -> DataFrame:
 
 
 def semantic_index(docs: DataFrame, path: str, rebuild: bool = True) -> semantic.SemanticIndex:
-    return semantic.opened(read(docs, path, LAYERS["semantic"], rebuild))
+    tables = read(docs, path, LAYERS["semantic"], rebuild)
+    index = semantic.opened(tables)
+    return replace(index, norms=norms(docs.sparkSession, path, index))
+
+
+def norms(spark: SparkSession, path: str, index: semantic.SemanticIndex) -> DataFrame:
+    """The documents' norms in the layer's present state. All depend on the frequencies of all grams, so a change computes them anew from the stored grams; searches read them."""
+    now, before = chain(spark, path, "semantic")[-1], last(spark, path, "norms")
+    if before is not None and before.kind == BASE and before.snapshot == str(now.n):
+        return spark.read.parquet(f"{path}/{before.folder}/norms")
+    folder = f"norms-{now.n}"
+    made = put(index.norms, f"{path}/{folder}/norms", ("doc_id",))
+    stamp(spark, path, "norms", now.version, str(now.n), folder, ["norms"], BASE)
+    return made

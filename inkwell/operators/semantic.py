@@ -1,13 +1,15 @@
 """Similarity by weighted character n-grams: the fallback where no word matches.
 
 A document keeps its most frequent n-grams; weights are (1 + ln tf) * idf over the kept ones. Vectors stay rows
-(doc_id, gram, weight), a query's few grams are broadcast, and cosine is a grouped sum.
+(doc_id, gram, weight), a query's few grams are broadcast, and cosine is a grouped sum. Of a stored index a search reads
+the frequencies and kept grams of its own grams, and norms and words by document.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,13 +47,18 @@ def content_words(docs: DataFrame, most: int = MOST_WORDS) -> DataFrame:
 
 @dataclass
 class SemanticIndex:
-    """weights: (doc_id, gram, weight). norms: (doc_id, norm). frequency: (gram, df). words: (doc_id, words). n_docs: one row."""
+    """weights: (doc_id, gram, weight). norms: (doc_id, norm). frequency: (gram, df). words: (doc_id, words). n_docs: one row.
+
+    kept: (doc_id, gram, tf), where it is stored; then a search looks up the frequencies of its grams alone. known: the number of documents, once it is read.
+    """
 
     weights: DataFrame
     norms: DataFrame
     frequency: DataFrame
     words: DataFrame
     n_docs: DataFrame
+    kept: DataFrame | None = None
+    known: list[int] = field(default_factory=list)
 
 
 def grams_and_words(docs: DataFrame, n: int = N, most: int = MOST_GRAMS) -> dict[str, DataFrame]:
@@ -85,7 +92,8 @@ def index_of(docs: DataFrame, n: int = N, most: int = MOST_GRAMS) -> SemanticInd
 def opened(tables: dict[str, DataFrame]) -> SemanticIndex:
     """An index over the stored layer: sums of all generations, weights and norms from the kept grams."""
     frequency = tables["frequency"].groupBy("gram").agg(F.sum("df").alias("df")).where("df > 0")
-    return weighed(tables["kept"], frequency, tables["n_docs"].agg(F.sum("N").alias("N")), tables["words"])
+    index = weighed(tables["kept"], frequency, tables["n_docs"].agg(F.sum("N").alias("N")), tables["words"])
+    return replace(index, kept=tables["kept"])
 
 
 def shares_word(query: Column, words: Column) -> Column:
@@ -106,10 +114,20 @@ def search(index: SemanticIndex, query: str, limit: int = 20, least: float = LEA
     asked = spark.createDataFrame(sorted(tf.items()), "gram string, tf long")
     grams = list(tf)[:MOST_PUSHED]
     only = (lambda d: d.where(F.col("gram").isin(grams))) if len(tf) <= MOST_PUSHED else (lambda d: d)
-    known = only(index.frequency).join(F.broadcast(asked), "gram").crossJoin(F.broadcast(index.n_docs)).select("gram", ((1 + F.log("tf")) * idf(F.col("N"), F.col("df"))).alias("q"))
-    norm = known.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
+    met = only(index.frequency).join(F.broadcast(asked), "gram")
     # As many rows as the query has grams.
-    dots = only(index.weights).join(F.broadcast(known), "gram").groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("q")).alias("dot"))
-    similar = dots.join(index.norms, "doc_id").crossJoin(F.broadcast(norm)).withColumn("similarity", F.col("dot") / (F.col("norm") * F.col("q_norm"))).where(F.col("similarity") >= least)
+    if index.kept is None:
+        known = met.crossJoin(F.broadcast(index.n_docs)).select("gram", ((1 + F.log("tf")) * idf(F.col("N"), F.col("df"))).alias("q"))
+        norm = known.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
+        dots = only(index.weights).join(F.broadcast(known), "gram").groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("q")).alias("dot")).crossJoin(F.broadcast(norm))
+    else:
+        if not index.known:
+            index.known.append(index.n_docs.first().N or 0)
+        of = {r.gram: (r.tf, math.log((index.known[0] + 1) / (r.df + 1)) + 1) for r in met.collect()}
+        q = {g: (1 + math.log(n)) * weight for g, (n, weight) in of.items()}
+        norm = math.sqrt(math.fsum(x * x for x in q.values()))
+        factors = spark.createDataFrame([(g, x * of[g][1]) for g, x in q.items()], "gram string, factor double")
+        dots = only(index.kept).join(F.broadcast(factors), "gram").groupBy("doc_id").agg(F.sum((1 + F.log("tf")) * F.col("factor")).alias("dot")).withColumn("q_norm", F.lit(norm))
+    similar = dots.join(index.norms, "doc_id").withColumn("similarity", F.col("dot") / (F.col("norm") * F.col("q_norm"))).where(F.col("similarity") >= least)
     passed = similar.join(index.words, "doc_id").where(shares_word(F.array(*(F.lit(w) for w in words)), F.col("words")))
     return passed.select("doc_id", "similarity").orderBy(F.desc("similarity"), "doc_id").limit(limit)

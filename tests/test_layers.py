@@ -165,6 +165,27 @@ def test_stored_layers_search_alike(spark, tmp_path, docs):
     assert scores(derived.lexical_index(docs, str(tmp_path))) == scores(lexical.index_of(docs)) == scores(derived.lexical_index(docs.repartition(5), str(tmp_path / "s")))
 
 
+def test_norms_are_stored_until_a_change(spark, tmp_path, docs):
+    path, layer = str(tmp_path), derived.LAYERS["semantic"]
+    state = lambda: [r.folder for r in derived.stamps(spark, path).where("layer = 'norms'").orderBy("n").collect()]
+    close = lambda i: {r.doc_id: round(r.norm, 9) for r in i.norms.collect()}
+    index = derived.semantic_index(docs, path)
+    read = catalog.semantic.search(index, catalog.SEMANTIC_QUERY)
+    tables = {f.split("/")[-2] for f in read.inputFiles()}
+    assert tables == {"kept", "norms", "words"} and "In(gram" in read._jdf.queryExecution().toString()
+    derived.semantic_index(docs, path)
+    assert len(state()) == 1
+    other = F.col("doc_id") == 3
+    changed = docs.withColumns({"content": F.when(other, F.lit("nothing of the kind was written here")).otherwise(F.col("content")), "modified_at": F.when(other, F.lit("2001-01-01").cast("timestamp")).otherwise(F.col("modified_at"))})
+    again = derived.semantic_index(changed, path)
+    assert len(state()) == 2 and close(again) == close(catalog.semantic.index_of(changed)) != close(index)
+    derived.compact(spark, path, layer)
+    assert close(derived.semantic_index(changed, path)) == close(again)
+    for text in (catalog.SEMANTIC_QUERY, "nothing of the kind", "qzxqzx wvkqj"):
+        found = lambda i, text=text: [(r.doc_id, round(r.similarity, 9)) for r in catalog.semantic.search(i, text).collect()]
+        assert found(again) == found(catalog.semantic.index_of(changed))
+
+
 def test_graph_repair_gives_what_a_rebuild_gives(spark, docs, tmp_path):
     given = docs.select("doc_id", "source", "name", "path", "extension", "size", "modified_at", "content")
     path, text = str(tmp_path), "a rare zebra quagga okapi meets the zebra quagga okapi again and again, see doc_12.md. "
