@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from inkwell.functions import text as T
+from inkwell.session import with_count
 
 #: Words and trigrams of a document's fingerprint, least trigrams, least word, shared share, candidates of a page.
 MOST_WORDS, MOST_GRAMS, LEAST_GRAMS, LEAST_WORD, LEAST_SHARE, MOST_CANDIDATES = 32, 64, 8, 3, 0.2, 50
@@ -64,7 +65,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, gram): trigrams of each document's rarest words, taken from all of them position by position."""
     folded = T.tok_fold(F.concat_ws(" ", F.col("name"), T.text_of(F.col("content"))))
     words = docs.select("doc_id", F.explode(F.array_distinct(folded)).alias("word")).where(F.length("word") >= LEAST_WORD)
-    df = words.join(words.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "word")
+    df = with_count(words, "word", "doc_id", "df")
     rarest = df.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "word"))).where(F.col("r") <= MOST_WORDS)
     grams = rarest.select("doc_id", "r", F.posexplode(F.array_distinct(T.grams(F.col("word")))).alias("pos", "gram"))
     first = grams.groupBy("doc_id", "gram").agg(F.min(F.struct("pos", "r")).alias("at"))

@@ -11,7 +11,10 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows of a key that one task joins in any case.
+HOT_ROWS = 100_000
 #: Set on a SparkContext that has this package.
 SHIPPED = "inkwell_shipped"
 #: Folders of this application's tables, and temporary folders of local sessions that name none, by application.
@@ -76,3 +79,21 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = new_folder(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_count(rows: DataFrame, key: str, by: str, n: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows with, in column n, how many of them have their key; rows without a key go.
+
+    Keys are counted before rows are dealt by them. The rows of a key that has more than hot_rows and a thousandth of all, of which there are fewer than a thousand, are dealt by a hash of
+    column `by` over several tasks, and its count is repeated for each.
+    """
+    counts = written(rows.groupBy(key).agg(F.count(F.lit(1)).alias(n)), "counts")
+    total, most = counts.agg(F.sum(n), F.max(n)).first()
+    least = max(hot_rows, (total or 0) // 1000)
+    if (most or 0) <= least:
+        return rows.join(counts, key)
+    hot = [r[0] for r in counts.where(F.col(n) > least).select(key).collect()]
+    salts = F.when(F.col(key).isin(hot), -(-most // least)).otherwise(1)
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), salts))
+    repeated = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts.cast("long") - 1)))
+    return dealt.join(repeated, [key, "_salt"]).drop("_salt")

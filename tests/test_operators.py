@@ -1,6 +1,7 @@
 """Language, text functions, edit distance, streaming ingestion and sources."""
 
 import os
+from collections import Counter
 
 import pytest
 from hypothesis import given
@@ -11,6 +12,7 @@ from inkwell.functions import text as T
 from inkwell.operators import derived, fuzzy, graph, intelligence, lexical
 from inkwell.operators.search import Engine
 from inkwell.plans import language
+from inkwell.session import with_count
 from inkwell.sources import files
 from inkwell.streaming import reconcile
 
@@ -146,3 +148,23 @@ def test_long_text_is_whole(spark, tmp_path):
         (tmp_path / f"{name}.txt").write_text("x" * 5_000_001 + name)
     got = {r.name: r for r in files.scan(spark, str(tmp_path)).select("name", "status", "content_hash", F.length("content").alias("n")).collect()}
     assert {(r.n, r.status) for r in got.values()} == {(5_000_002, "ok")} and got["a.txt"].content_hash != got["b.txt"].content_hash
+
+
+def test_counts_of_hot_keys_are_dealt_and_whole(spark):
+    words = [("the", i) for i in range(3000)] + [("of", i) for i in range(700)] + [(f"w{i % 50}", i) for i in range(200)] + [("once", 1), (None, 1), ("the", 5)]
+    rows = spark.createDataFrame(words, "word string, doc_id long")
+    want = Counter(w for w, _ in words)
+    for hot_rows in (100, 10**6):
+        counted = with_count(rows, "word", "doc_id", "df", hot_rows)
+        assert counted.columns == ["word", "doc_id", "df"]
+        assert Counter(map(tuple, counted.collect())) == Counter((w, i, want[w]) for w, i in words if w is not None)
+    # The rows of the commonest key lie in several tasks.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        dealt = with_count(rows, "word", "doc_id", "df", 100).where("word = 'the'").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(dealt) > 1 and sum(r["count"] for r in dealt) == 3001
+    assert with_count(rows.limit(0), "word", "doc_id", "df").count() == 0
