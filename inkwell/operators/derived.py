@@ -293,6 +293,7 @@ def norms(spark: SparkSession, path: str, index: semantic.SemanticIndex) -> Data
     if before is not None and before.kind == BASE and before.snapshot == str(now.n):
         return spark.read.parquet(f"{path}/{before.folder}/norms")
     folder = f"norms-{now.n}"
-    made = put(index.norms, f"{path}/{folder}/norms", ("doc_id",))
+    counted = semantic.weighed(index.kept, written(index.frequency, "frequency"), index.n_docs, index.words, counted=True)
+    made = put(counted.norms, f"{path}/{folder}/norms", ("doc_id",))
     stamp(spark, path, "norms", now.version, str(now.n), folder, ["norms"], BASE)
     return made

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
+from inkwell.session import with_count, written
 
 #: N-gram length, n-grams and words kept for a document, least cosine, word lengths.
 N, MOST_GRAMS, MOST_WORDS, LEAST_COSINE, CONTENT_WORD, STEM_WORD = 3, 200, 200, 0.12, 3, 5
@@ -76,9 +77,10 @@ def lost(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {"frequency": tables["kept"].groupBy("gram").agg((-F.count(F.lit(1))).alias("df")), "n_docs": tables["seen"].agg((-F.count(F.lit(1))).alias("N"))}
 
 
-def weighed(kept: DataFrame, frequency: DataFrame, n_docs: DataFrame, words: DataFrame) -> SemanticIndex:
-    """Weights and norms from kept grams and their frequencies; each gram has one frequency."""
-    rows = kept.join(frequency, "gram").crossJoin(F.broadcast(n_docs))  # one row
+def weighed(kept: DataFrame, frequency: DataFrame, n_docs: DataFrame, words: DataFrame, counted: bool = False) -> SemanticIndex:
+    """Weights and norms from kept grams and their frequencies; each gram has one frequency. counted: the frequencies are a written table, so very common grams are found and dealt over several tasks."""
+    met = with_count(kept, "gram", "doc_id", "df", counts=frequency) if counted else kept.join(frequency, "gram")
+    rows = met.crossJoin(F.broadcast(n_docs))  # one row
     weights = rows.select("doc_id", "gram", ((1 + F.log("tf")) * idf(F.col("N"), F.col("df"))).alias("weight"))
     return SemanticIndex(weights, weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")), frequency, words, n_docs)
 
@@ -86,7 +88,7 @@ def weighed(kept: DataFrame, frequency: DataFrame, n_docs: DataFrame, words: Dat
 def index_of(docs: DataFrame, n: int = N, most: int = MOST_GRAMS) -> SemanticIndex:
     tables = grams_and_words(docs, n, most)
     made = sums(tables | {"seen": docs})
-    return weighed(tables["kept"], made["frequency"], made["n_docs"], tables["words"])
+    return weighed(tables["kept"], written(made["frequency"], "frequency"), made["n_docs"], tables["words"], counted=True)
 
 
 def opened(tables: dict[str, DataFrame]) -> SemanticIndex:

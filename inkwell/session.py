@@ -81,13 +81,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_count(rows: DataFrame, key: str, by: str, n: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_count(rows: DataFrame, key: str, by: str, n: str, hot_rows: int = HOT_ROWS, counts: DataFrame | None = None) -> DataFrame:
     """rows with, in column n, how many of them have their key; rows without a key go.
 
     Keys are counted before rows are dealt by them. The rows of a key that has more than hot_rows and a thousandth of all, of which there are fewer than a thousand, are dealt by a hash of
-    column `by` over several tasks, and its count is repeated for each.
+    column `by` over several tasks, and its count is repeated for each. counts: (key, n), where they are written already.
     """
-    counts = written(rows.groupBy(key).agg(F.count(F.lit(1)).alias(n)), "counts")
+    counts = written(rows.groupBy(key).agg(F.count(F.lit(1)).alias(n)), "counts") if counts is None else counts
     total, most = counts.agg(F.sum(n), F.max(n)).first()
     least = max(hot_rows, (total or 0) // 1000)
     if (most or 0) <= least:
