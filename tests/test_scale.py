@@ -48,3 +48,19 @@ def test_pairs_as_windows_slide():
 def test_phrases_and_nodes_are_made_where_texts_are_read(spark, small):
     docs = documents(spark, small)
     assert "hashpartitioning" not in plan(graph.phrases(docs)) and "hashpartitioning" not in plan(graph.nodes(docs))
+
+
+def test_strongest_edges_need_few_whole_nodes(spark, small):
+    kept = graph.kept(documents(spark, small))
+    whole = graph.edges_of(kept, 200).collect()
+    assert graph.edges_of(kept, 200, trials=1000).orderBy("a", "b").collect() == sorted(whole, key=lambda r: (r.a, r.b))
+    pairs = graph.candidates(kept.keys)
+    assert graph.contenders(kept.nodes, pairs, 200, 1000).count() < pairs.count()
+
+
+def test_candidates_in_order_of_keys():
+    common = {(1, "c"): [9, 1, 8]}
+    keys = [{"kind": 2, "key": "a", "others": [8, 1]}, {"kind": 1, "key": "c", "others": None}]
+    assert graph.one_candidates(1, keys, [4], common, True) == [(4, 0, 1), (8, 2, 0), (9, 1, 0)]
+    assert graph.one_candidates(8, keys, [], common, False) == [(9, 1, 0)]
+    assert sorted(graph.one_runs("a b c".split(), {"b"})) == [("b",), ("b c",)]
