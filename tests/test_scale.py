@@ -3,7 +3,7 @@
 from collections import Counter, defaultdict
 
 from inkwell.functions import text as T
-from inkwell.operators import graph, intelligence, semantic
+from inkwell.operators import fuzzy, graph, intelligence, semantic
 from inkwell.plans.corpus import documents
 
 
@@ -64,3 +64,11 @@ def test_candidates_in_order_of_keys():
     assert graph.one_candidates(1, keys, [4], common, True) == [(4, 0, 1), (8, 2, 0), (9, 1, 0)]
     assert graph.one_candidates(8, keys, [], common, False) == [(9, 1, 0)]
     assert sorted(graph.one_runs("a b c".split(), {"b"})) == [("b",), ("b c",)]
+
+
+def test_fingerprints_deal_rare_words_alone(spark, small):
+    docs = documents(spark, small)
+    prints = fuzzy.fingerprints(docs)
+    assert "Window" not in plan(prints)
+    want = sorted(map(tuple, prints.collect()))
+    assert want and sorted(map(tuple, fuzzy.fingerprints(docs, held=50).collect())) == want
