@@ -2,8 +2,10 @@
 
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from inkwell.functions import text as T
-from inkwell.operators import fuzzy, graph, intelligence, semantic
+from inkwell.operators import derived, fuzzy, graph, intelligence, lexical, semantic, stored
 from inkwell.plans.corpus import documents
 
 
@@ -72,3 +74,18 @@ def test_fingerprints_deal_rare_words_alone(spark, small):
     assert "Window" not in plan(prints)
     want = sorted(map(tuple, prints.collect()))
     assert want and sorted(map(tuple, fuzzy.fingerprints(docs, held=50).collect())) == want
+
+
+def test_a_stored_index_deals_no_rows_of_documents(spark, small, tmp_path, monkeypatch):
+    docs, dealt = documents(spark, small), []
+    monkeypatch.setattr(stored, "RUN_TOKENS", 5000)
+    for way in ("repartition", "repartitionByRange"):
+        plainly = getattr(type(docs), way)
+        monkeypatch.setattr(type(docs), way, lambda df, *by, plainly=plainly: dealt.append(df.columns) or plainly(df, *by))
+    index = derived.lexical_index(docs, str(tmp_path))
+    assert dealt and not [columns for columns in dealt if "doc_id" in columns]
+    of = ["doc_id", "col", "pos", "token"]
+    assert sorted(index.postings.select(of).collect()) == sorted(lexical.postings(docs).select(of).collect())
+    counted = lexical.postings(docs).groupBy("token", "doc_id").agg(F.count("*").alias("f")).join(lexical.lengths(docs), "doc_id")
+    of = ["token", "doc_id", "f", "n_tokens"]
+    assert sorted(index.entries.select(of).collect()) == sorted(counted.select(of).collect())
