@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
 from inkwell.operators import derived, fuzzy, graph, intelligence, lexical, semantic, stored
+from inkwell.plans import catalog
 from inkwell.plans.corpus import documents
 
 
@@ -89,3 +90,10 @@ def test_a_stored_index_deals_no_rows_of_documents(spark, small, tmp_path, monke
     counted = lexical.postings(docs).groupBy("token", "doc_id").agg(F.count("*").alias("f")).join(lexical.lengths(docs), "doc_id")
     of = ["token", "doc_id", "f", "n_tokens"]
     assert sorted(index.entries.select(of).collect()) == sorted(counted.select(of).collect())
+
+
+def test_supplier_edges_are_dealt_by_their_number(spark, small, monkeypatch):
+    want = sorted(map(tuple, catalog.QUERIES["graph_top_edges"](spark, small).collect()))
+    monkeypatch.setattr(catalog, "parts_of", lambda rows: 13)
+    assert "l_orderkey#" in plan(edges := catalog.supplier_edges(spark, small)) and ", 13)" in plan(edges) and ", 26)" in plan(edges)
+    assert sorted(map(tuple, catalog.QUERIES["graph_top_edges"](spark, small).collect())) == want
