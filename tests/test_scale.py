@@ -4,9 +4,10 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from inkwell import session
 from inkwell.functions import text as T
 from inkwell.operators import derived, fuzzy, graph, intelligence, lexical, semantic, stored
-from inkwell.plans import catalog
+from inkwell.plans import catalog, language
 from inkwell.plans.corpus import documents
 
 
@@ -97,3 +98,35 @@ def test_supplier_edges_are_dealt_by_their_number(spark, small, monkeypatch):
     monkeypatch.setattr(catalog, "parts_of", lambda rows: 13)
     assert "l_orderkey#" in plan(edges := catalog.supplier_edges(spark, small)) and ", 13)" in plan(edges) and ", 26)" in plan(edges)
     assert sorted(map(tuple, catalog.QUERIES["graph_top_edges"](spark, small).collect())) == want
+
+
+def test_a_batch_of_queries_cuts_each_text_once(spark, small, monkeypatch):
+    docs, written = documents(spark, small), []
+    monkeypatch.setattr(lexical, "written", lambda df, what: written.append(plan(df)) or session.written(df, what))
+    plans = {t: language.plan(t) for t in ("name:doc_7 OR path:fr", '"of the"', "the -of type:md")}
+    found = lambda index, plans: sorted((r.query, r.doc_id, round(r.bm25, 9)) for r in lexical.matches(index, plans).collect())
+    cut = lexical.Index(docs, lexical.postings(docs).drop("n_tokens"), lexical.lengths(docs))
+    want = found(cut, plans)
+    assert {q for q, _, _ in want} == set(plans) and found(lexical.index_of(docs), plans) == want
+    assert len(written) == 1 and "regexp_extract_all" not in plan(lexical.matches(lexical.index_of(docs), plans))
+    # Columns in which no phrase may stand are counted, not made into postings.
+    fields = {q: p for q, p in plans.items() if q.startswith("name:")}
+    assert found(lexical.index_of(docs), fields) == [r for r in want if r[0] in fields]
+    assert "struct(col, content," in written[0].replace("named_struct", "struct") and "struct(col, content," not in written[-1].replace("named_struct", "struct")
+    monkeypatch.setattr(lexical, "MOST_PUSHED", 0)
+    assert found(lexical.index_of(docs), plans) == want
+
+
+def test_documents_without_tokens_and_ids_count_alone(spark):
+    rows = [(1, "a.md", "/x", "."), (2, "b.md", "/y", None), (3, "", "", "..."), (4, None, None, None), (None, "a.md", "/x", "long " * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, name string, path string, content string")
+    index = lexical.index_of(docs).narrowed({"q": (a := language.plan("name:a"))})
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in index.lengths.collect()) == [(0, 53), (1, 3), (2, 3), (3, 0), (4, 0)]
+    assert index.totals().first().N == 5 and [r.doc_id for r in lexical.matches(lexical.index_of(docs), {"q": a}).collect()] == [1]
+
+
+def test_tokens_are_counted_as_they_are_made(spark):
+    every = spark.range(0x110000).where("id NOT BETWEEN 55296 AND 57343").select(F.udf(chr)("id").alias("c"))
+    for x in (F.col("c"), F.concat(F.lit("a"), "c", F.lit("b")), F.concat("c", F.lit("́"), "c", F.lit("ͅ "), F.lit("́Á"), "c")):
+        assert every.where(T.n_tok_index(x) != F.size(T.tok_index(x))).count() == 0
+    assert spark.range(1).select(T.n_tok_index(F.lit(None).cast("string"))).first()[0] == 0
