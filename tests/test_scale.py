@@ -117,6 +117,14 @@ def test_a_batch_of_queries_cuts_each_text_once(spark, small, monkeypatch):
     assert found(lexical.index_of(docs), plans) == want
 
 
+def test_the_best_of_many_queries_cut_each_text_once(spark, small):
+    docs, asked = documents(spark, small), spark.createDataFrame([(1, ["the", "of"]), (2, ["und", "les"])], "query long, tokens array<string>")
+    cut = lexical.Index(docs, lexical.postings(docs).drop("n_tokens"), lexical.lengths(docs))
+    found = lambda index: sorted((r.query, r.doc_id, round(r.bm25, 9)) for r in lexical.best_of_any(index, asked).collect())
+    assert len(want := found(cut)) == 2 and found(lexical.index_of(docs)) == want
+    assert "posexplode" not in plan(lexical.best_of_any(lexical.index_of(docs), asked))
+
+
 def test_documents_without_tokens_and_ids_count_alone(spark):
     rows = [(1, "a.md", "/x", "."), (2, "b.md", "/y", None), (3, "", "", "..."), (4, None, None, None), (None, "a.md", "/x", "long " * 50)]
     docs = spark.createDataFrame(rows, "doc_id long, name string, path string, content string")
